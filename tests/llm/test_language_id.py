@@ -1,0 +1,58 @@
+import random
+import zlib
+
+from cases import AWKWARD, documents
+
+from twinweave.llm.language_id import WINDOW, ByteNet, identify, train, windows_of
+
+WORDS = {"en": ["the", "and", "with", "this", "that", "which"], "de": ["und", "nicht", "mit", "auch", "über", "sich"], "fr": ["les", "est", "dans", "pour", "être", "où"]}
+
+
+def corpus(n=240):
+    rng = random.Random(9)
+    langs = list(WORDS)
+    return [(i, " ".join(rng.choice(WORDS[langs[i % 3]]) for _ in range(rng.randint(8, 150))), langs[i % 3]) for i in range(n)]
+
+
+def test_windows_cover_the_text():
+    data = bytes(range(1, 256)) * 5
+    assert windows_of(data).shape == (-(-len(data) // WINDOW), WINDOW)
+    assert windows_of(b"").shape == (1, WINDOW)
+
+
+def test_compiled_scores_equal_the_plain_ones():
+    import numpy as np
+
+    net = ByteNet(["a", "b"])
+    x = np.random.default_rng(0).integers(0, 158, (5, WINDOW)).astype(np.uint8)
+    assert np.allclose(net.logits(x), net.pooled(x) @ net.dense + net.offset, atol=1e-4)
+
+
+def test_held_out_accuracy_and_awkward_rows(spark):
+    rows = corpus() + [(1000 + (r[0] or 0), r[1], None) for r in AWKWARD] + [(5000, "the and with " * 20000, None)]
+    docs = documents(spark, rows)
+    got = {r.doc_id: r for r in identify(docs, train(docs)).collect()}
+    held = [r for r in corpus() if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert held
+    assert sum(got[r[0]].lang_pred == r[2] for r in held) / len(held) >= 0.95
+    assert all(got[r[0]].held_out == (zlib.crc32(str(r[0]).encode()) % 5 == 0) for r in corpus())
+    for k in (1001, 1002, 1003, 1007):
+        assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+    assert got[5000].lang_pred == "en"
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_labels_and_ids_are_no_inputs(spark):
+    rows = corpus()
+    net = train(documents(spark, rows))
+    plain = sorted((r.lang_pred, r.score) for r in identify(documents(spark, rows), net).collect())
+    other = sorted((r.lang_pred, r.score) for r in identify(documents(spark, [(r[0] + 77, r[1], "xx", "s") for r in rows]), net).collect())
+    assert plain == other
+
+
+def test_without_labels_or_rows(spark):
+    docs = documents(spark, [(1, "some text"), (2, None)])
+    assert train(docs) is None
+    assert {r.lang_pred for r in identify(docs, None).collect()} == {"und"}
+    empty = documents(spark, [])
+    assert identify(empty, train(empty)).collect() == []

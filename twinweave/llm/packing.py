@@ -14,14 +14,35 @@ from pyspark.sql import functions as F
 from twinweave.runtime import materialise
 
 END_ID = 1
-#: White-space-free runs and words remembered per worker.
-REMEMBERED = 300_000
+#: White-space-free parts and words remembered per worker, in each of two generations.
+PARTS = 150_000
+WORDS = 400_000
 #: Third parts tried for each first part of a combination.
 THIRDS = 8
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Recent(dict):
+    """Remembered results of a function: when full, the current generation becomes the old one."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > 64:
+                return found
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
@@ -39,8 +60,8 @@ class Encoder:
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.plain = regex.compile(r"[!-~À-ÖØ-öø-ɏ¿¡«»]*").fullmatch
         self.added = ("<|startoftext|>", "<|endoftext|>")
-        self.words: dict[str, bytes] = {}
-        self.parts = _Parts(self)
+        self.words = Recent(self.ask, WORDS)
+        self.parts = Recent(self.part, PARTS)
 
     def ask(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -48,15 +69,7 @@ class Encoder:
     def part(self, part: str) -> bytes:
         if not self.plain(part) or "<|" in part or "İ" in part:
             return self.ask(part)
-        out, words = [], self.words
-        if len(words) > REMEMBERED:
-            words.clear()
-        for w in self.split(part.lower()):
-            ids = words.get(w)
-            if ids is None:
-                ids = words[w] = self.ask(w)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, self.split(part.lower())))
 
     def encode(self, text: str) -> bytes:
         if any("\x1c" <= c <= "\x1f" for c in text) if not text.isprintable() and not text.isascii() else any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -64,20 +77,6 @@ class Encoder:
         return b"".join(map(self.parts.__getitem__, text.split()))
 
 
-class _Parts(dict):
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        ids = self.encoder.part(part)
-        if len(part) < 64:
-            self[part] = ids
-        return ids
-
-
 @functools.cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)

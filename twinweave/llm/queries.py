@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from twinweave.llm.exact_dedup import exact_dedup
+from twinweave.llm.html_extraction import extract
 from twinweave.llm.language_id import identify, train
+from twinweave.llm.line_dedup import MIN_WORDS, line_dedup
 from twinweave.llm.mixing import mix
+from twinweave.llm.ngram_join import jaccard_components
 from twinweave.llm.packing import pack
 from twinweave.llm.token_counts import token_counts
 from twinweave.llm.topk import exact_top_k
+from twinweave.llm.url_filter import url_filter
 from twinweave.runtime import table
 
-_DOC_CHARS = r"[\x20\x09-\x0D]"
-
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -30,10 +31,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -42,14 +55,76 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op5_exact_dedup, op7_exact_top_k, op8_packing, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_mixing, op3_html_extraction, op4_line_dedup, op5_exact_dedup, op6_url_filter, op7_exact_top_k, op8_packing, op9_ngram_join, op10_language_id)
+}
+
+_ABC, _abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL = {
+    "op4_line_dedup": rf"""
+        WITH lines AS (
+            SELECT doc_id, k - 1 AS line, l, trim(l, E' \t\n\v\f\r') AS s, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words
+            FROM (SELECT doc_id, unnest(string_split(text, E'\n')) AS l, generate_subscripts(string_split(text, E'\n'), 1) AS k FROM documents)
+        ), filled AS (
+            SELECT *, row_number() OVER w AS p, coalesce(sum(words) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM lines WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+        ), runs AS (
+            SELECT doc_id, p, count(*) OVER w AS m, sum(words) OVER w AS n, list(s) OVER w AS run FROM filled
+            WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)
+        ), later AS (
+            SELECT doc_id, p, m FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS k FROM runs WHERE n >= {MIN_WORDS}) WHERE k > 1
+        ), gone AS (
+            SELECT DISTINCT f.doc_id, f.line FROM (SELECT doc_id, unnest(range(p, p + m)) AS p FROM later) g JOIN filled f ON f.doc_id = g.doc_id AND f.p = g.p
+        ), kept AS (
+            SELECT l.doc_id, string_agg(l.l, E'\n' ORDER BY l.line) FILTER (g.line IS NULL) AS text, count(g.line) AS lines_removed
+            FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id
+        )
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.lines_removed, 0) AS lines_removed FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+    """,
+    "op6_url_filter": rf"""
+        WITH RECURSIVE u AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest, coalesce(html, '') AS html FROM pages
+        ), p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_ABC}', '{_abc}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                   regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>'), '(?is)href\s*=\s*["'']?[a-z]+://([^"''\s>]*)', 1) AS target FROM u
+        ), e AS (
+            SELECT host || path AS a, translate(regexp_extract(target, '^[^/?#]*'), '{_ABC}', '{_abc}') || regexp_extract(target, '^[^/?#]*([^?#]*)', 1) AS b FROM p WHERE target <> ''
+        ), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (
+            SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, x.b FROM reach r JOIN both_ways x ON x.a = r.other
+        ), rules(h, q, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+        ), judged AS (
+            SELECT page_id, host, path, (SELECT struct_pack(r := h || q, v := v) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) ORDER BY length(h || q) DESC LIMIT 1) AS x FROM p
+        ), spread AS (
+            SELECT r.node, bool_or(j.x.v = 'allow') AS allowed, bool_or(j.x.v = 'block') AS blocked FROM reach r JOIN judged j ON j.host || j.path = r.other GROUP BY r.node
+        )
+        SELECT j.page_id, j.host, j.path, j.x.r AS rule, coalesce(j.x.v, CASE WHEN s.allowed THEN 'allow' WHEN s.blocked THEN 'block' END, 'allow') AS verdict
+        FROM judged j LEFT JOIN spread s ON s.node = j.host || j.path
+    """,
+    "op9_ngram_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_ABC}', '{_abc}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, md5(s) AS s FROM (
+                SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        l AS (
+            SELECT x.a, x.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2) x
+            JOIN n p ON p.doc_id = x.a JOIN n q ON q.doc_id = x.b WHERE 100 * x.c >= 80 * (p.n + q.n - x.c)
+        ), both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        reach AS (SELECT a AS node, b AS other FROM both_ways UNION SELECT r.node, x.b FROM reach r JOIN both_ways x ON x.a = r.other)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(other) FROM reach WHERE node = w.doc_id), w.doc_id)) AS component_id
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+    """,
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
