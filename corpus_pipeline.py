@@ -3,11 +3,71 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from twinweave.llm.language_id import UNKNOWN, identify, train
+from twinweave.llm.line_dedup import line_dedup
+from twinweave.llm.mixing import WORD, mix
+from twinweave.llm.ngram_join import jaccard_components
+from twinweave.llm.packing import pack
+from twinweave.llm.queries import tokenizer_path
+from twinweave.runtime import materialise, table
+
+#: Documents whose language is less sure than this are rejected.
+SURE = 0.5
+#: No SQL: a network and a tokenizer take part. tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
+_OTHERS = ("lang", "source")
+
+
+def _columns(df: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars counted anew."""
+    return df.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; ``und`` and unsure ones go."""
+    found = identify(docs, train(docs), keep=("text", *_OTHERS))
+    return _columns(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= SURE)))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; those that nothing is left of go."""
+    return _columns(line_dedup(docs, keep=_OTHERS).where((F.col("lines_removed") == 0) | F.col("text").rlike(WORD)))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the least doc_id; those without words or id stay."""
+    stay = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _columns(kept.unionByName(docs.where("doc_id is null")))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes: whole repeats of a document, and its first words for a part."""
+    taken = mix(docs).select(F.col("doc_id").alias("taken_id"), "size", "taken").where("taken > 0")
+    again = F.expr("taken div size")
+    part = F.col("taken") % F.col("size")
+    copies = docs.select("doc_id", "text", *_OTHERS).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).select(
+        "doc_id", *_OTHERS, "text", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), again.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))).alias("words"),
+    )
+    # The first n words with their white space: cut at the start of word n + 1.
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.greatest(F.col("words"), F.lit(0)).cast("int")), "")
+    return _columns(copies.withColumn("text", F.when(F.col("words") < 0, F.col("text")).otherwise(first)))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("packing", packing)]
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
-    raise NotImplementedError
+    """The rows of the last stage over ``documents``; every stage but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
