@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -59,7 +60,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.plain = regex.compile(r"[!-~À-ÖØ-öø-ɏ¿¡«»]*").fullmatch
-        self.added = ("<|startoftext|>", "<|endoftext|>")
+        self.odd = re.compile("[\x1c-\x1f]").search
         self.words = Recent(self.ask, WORDS)
         self.parts = Recent(self.part, PARTS)
 
@@ -72,8 +73,8 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, self.split(part.lower())))
 
     def encode(self, text: str) -> bytes:
-        if any("\x1c" <= c <= "\x1f" for c in text) if not text.isprintable() and not text.isascii() else any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.ask(text)  # white space to Python, not to the file's pattern
+        if self.odd(text):  # white space to Python, not to the file's pattern
+            return self.ask(text)
         return b"".join(map(self.parts.__getitem__, text.split()))
 
 
