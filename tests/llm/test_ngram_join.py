@@ -78,8 +78,13 @@ def test_without_probes_the_join_finds_the_same(spark, monkeypatch):
 
 def test_shingle_sets_name_equal_shingles_alike():
     texts = [t or "" for _, t in AWKWARD] + ["A b C d e f g", "a B c D e F g", "x a b c d e f g"]
-    found = shingle_sets([t.encode() for t in texts])
+    tokens, bounds, classes = shingle_sets([t.encode() for t in texts])
+    found = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert [len(x) for x in found] == [len(shingles(t)) for t in texts]
+    assert all((np.diff(x.astype(np.int64)) > 0).all() for x in found)
+    assert classes[-3] == classes[-2] != classes[-1]
+    assert [c == 0 for c in classes] == [len(x) == 0 for x in found]
+    assert shingle_sets([])[1].tolist() == [0]
     assert (found[-3] == found[-2]).all()
     assert set(found[-2].tolist()) < set(found[-1].tolist())
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.operators.components import connected_components
@@ -47,41 +47,45 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text, whole.
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, bounds, classes) of fewer than 65,536 texts, whole.
 
-    Words are maximal runs without white space, A-Z folded. Under SHINGLE words,
-    the whole sequence is the one shingle; without words the set is empty.
+    tokens[bounds[i] : bounds[i + 1]] are text i's sorted distinct shingle hashes,
+    classes[i] is a signed 64-bit name of that set (0 if empty); equal sets have
+    equal names. Words are maximal runs without white space, A-Z folded. Under
+    SHINGLE words, the whole sequence is the one shingle.
     """
     data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
     space = _IS_SPACE[data]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
     power, inverse = _powers(_BASE, len(data)), _powers(pow(_BASE, -1, 1 << 64), len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_FOLD[data].astype(np.uint64) + np.uint64(1)) * power[:-1])])
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_FOLD[data].astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
     words = _mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    bounds = np.searchsorted(starts, np.cumsum([1] + [len(t) + 1 for t in texts]))
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(bounds))
     weighted = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
     for j in range(SHINGLE):
         weighted += words[j : j + len(weighted)] * _WEIGHTS[j]
-    shingles = _mixed(weighted) >> np.uint64(64 - BITS)
-    bounds = np.searchsorted(starts, np.cumsum([1] + [len(t) + 1 for t in texts]))
-    out = []
-    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if high - low >= SHINGLE:
-            out.append(np.unique(shingles[low : high - SHINGLE + 1]))
-        elif high > low:
-            own = words[low:high]
-            out.append(_mixed((own * _WEIGHTS[: len(own)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(own))) >> np.uint64(64 - BITS))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
-
-
-def set_class(tokens: np.ndarray) -> int:
-    """A signed 64-bit name for a set; equal sets have equal names."""
-    with np.errstate(over="ignore"):
-        a, b = _mixed(tokens).sum(dtype=np.uint64), _mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-        return int(_mixed(np.array([a * np.uint64(3) + _mixed(np.array([b], np.uint64))[0] + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+    inside = owner[: len(weighted)] == owner[SHINGLE - 1 :] if len(weighted) else np.zeros(0, bool)
+    keys = [owner[: len(weighted)][inside] << np.uint64(BITS) | _mixed(weighted[inside]) >> np.uint64(64 - BITS)]
+    count = np.diff(bounds)
+    for i in np.flatnonzero((count > 0) & (count < SHINGLE)).tolist():
+        own = words[bounds[i] : bounds[i + 1]]
+        keys.append(np.uint64(i) << np.uint64(BITS) | _mixed((own * _WEIGHTS[: len(own)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(own))) >> np.uint64(64 - BITS))
+    both = np.sort(np.concatenate(keys))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    tokens = both & np.uint64((1 << BITS) - 1)
+    limits = np.searchsorted(both, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(BITS)) if len(texts) else np.zeros(1, int)
+    sizes = np.diff(limits)
+    classes = np.zeros(len(texts), np.int64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        x = np.add.reduceat(_mixed(tokens), limits[full])
+        y = np.add.reduceat(_mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), limits[full])
+        classes[full] = _mixed(x * np.uint64(3) + _mixed(y) + sizes[full].astype(np.uint64)).view(np.int64)
+    return tokens, limits, classes
 
 
 def need(n):
@@ -94,16 +98,21 @@ def longest_prefix(n: int) -> int:
     return min(n, n - need(n) + n // 10 + 4)
 
 
+def matches_kept(n: int) -> int:
+    """Tokens that kept prefixes of a set of n and of any partner share at least."""
+    return min(need(n), need(n) // 10 + 4)
+
+
 def _grouped(texts):
-    run, size, first = [], 0, 0
-    for i, t in enumerate(texts):
-        if run and size + len(t) > GROUP:
-            yield first, run
-            run, size, first = [], 0, i
+    run, size = [], 0
+    for t in texts:
+        if run and (size + len(t) > GROUP or len(run) >= 60_000):
+            yield run
+            run, size = [], 0
         run.append(t)
         size += len(t) + 1
     if run:
-        yield first, run
+        yield run
 
 
 def _binary(x: np.ndarray) -> bytes:
@@ -116,23 +125,28 @@ def _tokens(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _fresh(seen: set[int], name: int) -> bool:
+    """Whether a class is new to this task, as far as a bounded memory knows."""
+    if name in seen:
+        return False
+    if len(seen) > 1_000_000:
+        seen.clear()
+    seen.add(name)
+    return True
+
+
 def _profiles(batches):
     """A row per document; the first of a class in this task carries the prefix."""
     seen: set[int] = set()
     for batch in batches:
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
         sizes, names, prefixes = [], [], []
-        for _, run in _grouped(texts):
-            for tokens in shingle_sets(run):
-                name = set_class(tokens) if len(tokens) else None
-                sizes.append(len(tokens))
-                names.append(name)
-                fresh = name is not None and name not in seen
-                if fresh:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(name)
-                prefixes.append(_binary(tokens[: longest_prefix(len(tokens))]) if fresh else None)
+        for run in _grouped([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
+            tokens, bounds, classes = shingle_sets(run)
+            for i, name in enumerate(classes.tolist()):
+                low, high = int(bounds[i]), int(bounds[i + 1])
+                sizes.append(high - low)
+                names.append(name if high > low else None)
+                prefixes.append(_binary(tokens[low : low + longest_prefix(high - low)]) if high > low and _fresh(seen, name) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(prefixes, pa.binary())], names=["doc_id", "n", "cls", "prefix"])
 
 
@@ -142,29 +156,24 @@ def _sets_of(wanted):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             names, sets = [], []
-            for _, group in _grouped(texts):
-                for tokens in shingle_sets(group):
-                    if len(tokens):
-                        name = set_class(tokens)
-                        if name not in seen and (wanted is None or _among(wanted.value, name)):
-                            if len(seen) > 1_000_000:
-                                seen.clear()
-                            seen.add(name)
-                            names.append(name)
-                            sets.append(_binary(tokens))
+            for group in _grouped([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]):
+                tokens, bounds, classes = shingle_sets(group)
+                want = np.diff(bounds) > 0
+                if wanted is not None:
+                    ids = wanted.value
+                    want &= ids[np.minimum(np.searchsorted(ids, classes), len(ids) - 1)] == classes
+                for i in np.flatnonzero(want).tolist():
+                    name = int(classes[i])
+                    if _fresh(seen, name):
+                        names.append(name)
+                        sets.append(_binary(tokens[bounds[i] : bounds[i + 1]]))
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "tokens"])
 
     return run
 
 
-def _among(values: np.ndarray, x: int) -> bool:
-    i = int(np.searchsorted(values, x))
-    return i < len(values) and int(values[i]) == x
-
-
 def _links(batches):
     """The pairs whose sets pass 100 * intersection >= 80 * union."""
     for batch in batches:
@@ -205,7 +214,7 @@ def prefix_plan(tokens: np.ndarray, n: int, heavy: np.ndarray) -> tuple[int, int
     first = n - need(n)
     heavy_in = np.cumsum(~light)[first:]  # with l = 1, 2, ...
     spare = np.arange(1, len(heavy_in) + 1) - heavy_in
-    spare = spare[: min(need(n), need(n) // 10 + 4)]  # every partner keeps that much of its own prefix
+    spare = spare[: matches_kept(n)]
     aim = min(4, 1 + n // 100)
     for e in range(aim, 0, -1):
         at = np.flatnonzero(spare >= e)
@@ -215,7 +224,12 @@ def prefix_plan(tokens: np.ndarray, n: int, heavy: np.ndarray) -> tuple[int, int
 
 
 def _entries(heavy, dense: bool):
-    """Light tokens of planned prefixes; with dense, heavy prefix tokens of sets without a plan."""
+    """Light tokens of planned prefixes; with dense, heavy kept tokens of sets without a plan.
+
+    info packs a set's size with the matches it requires, or, with dense, with the
+    number of its heavy tokens that count: all but the most frequent of what kept
+    prefixes share.
+    """
 
     def run(batches):
         table = heavy.value
@@ -226,10 +240,11 @@ def _entries(heavy, dense: bool):
                 length, e, light = prefix_plan(tokens, size, table)
                 if dense and e:
                     continue
-                own = tokens[: size - need(size) + 1][~light[: size - need(size) + 1]] if dense else tokens[:length][light[:length]]
+                own = tokens[~light] if dense else tokens[:length][light[:length]]
+                info = (size << 24) | (len(own) - matches_kept(size) + 1) if dense else (size << 24) | (e or 1)
                 out[0].append(own.astype(np.int64))
                 out[1].extend([c] * len(own))
-                out[2].extend([(size << 3) | (e or 1)] * len(own))
+                out[2].extend([info] * len(own))
                 out[3].extend([comp] * len(own))
             if out[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), *(pa.array(x, pa.int64()) for x in out[1:])], names=["token", "cls", "info", "comp"])
@@ -245,13 +260,12 @@ class _Join:
         self.rows = materialise(profiles.select("doc_id", "n", "cls"), "jaccard-rows")
         self.classes = materialise(profiles.where("prefix is not null").select("cls", "n", "prefix").dropDuplicates(["cls"]), "jaccard-classes")
         drop_table(self.spark, path)
-        self.links = None
         self.components = None
 
     def verify(self, pairs: DataFrame) -> bool:
-        """Adds the pairs (a, b) that pass to the links; sets are built again from the texts."""
+        """Joins the components of the pairs (a, b) that pass; sets are built again from the texts."""
         pairs, path = materialise_at(pairs.select("a", "b").distinct(), "jaccard-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         n = wanted.count()
         if not n:
             drop_table(self.spark, path)
@@ -266,8 +280,9 @@ class _Join:
         found = materialise(both.select("a", "b", "x", "y").mapInArrow(_links, "a long, b long"), "jaccard-links")
         drop_table(self.spark, sets_path)
         drop_table(self.spark, path)
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.components = materialise(connected_components(self.links), "jaccard-components")
+        if self.components is not None:
+            found = found.unionByName(self.components.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.components = materialise(connected_components(found), "jaccard-components")
         return True
 
     def placed(self) -> DataFrame:
@@ -298,20 +313,27 @@ class _Join:
         heavy_set = self.spark.sparkContext.broadcast(heavy)
         placed = self.placed().select("cls", "n", "prefix", "comp")
         ddl = "token long, cls long, info long, comp long"
-        light = placed.mapInArrow(_entries(heavy_set, False), ddl).join(counts.where(F.col("df") <= most).select("token"), "token")
-        a, b = (light.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "info", "comp")]) for s in "ab")
-        met = a.join(b, "token").where("cls_a < cls_b and comp_a <> comp_b and 5 * least(info_a div 8, info_b div 8) >= 4 * greatest(info_a div 8, info_b div 8)")
-        enough = met.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("m"), F.min(F.least(F.col("info_a") % 8, F.col("info_b") % 8)).alias("e")).where("m >= e")
+        light = placed.mapInArrow(_entries(heavy_set, False), ddl).join(counts.where(F.col("df") <= most).select("token"), "token").selectExpr("token", "cls", "comp", "shiftright(info, 24) n", "info % 16777216 e")
+        a, b = (light.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "e", "comp")]) for s in "ab")
+        met = a.join(b, "token").where("cls_a < cls_b and comp_a <> comp_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+        enough = met.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("e_a", "e_b")).alias("e")).where("m >= e")
         self.verify(enough)
         if not len(heavy):
             return
-        # Sets with too many heavy tokens for any kept prefix: leaders first, then whatever is left between components.
-        for pick in (F.min, F.max, None):
-            lists = self.placed().select("cls", "n", "prefix", "comp").mapInArrow(_entries(heavy_set, True), ddl).selectExpr("token", "cls", "info div 8 n", "comp")
+        # Sets with too many heavy tokens for any kept prefix meet in the rarest of them.
+        dense = self.placed().select("cls", "n", "prefix", "comp").mapInArrow(_entries(heavy_set, True), ddl)
+        by_length = Window.partitionBy("cls").orderBy("df", "token")
+        dense = dense.join(counts.where(F.col("df") > most), "token").withColumn("k", F.row_number().over(by_length)).where("k <= info % 16777216")
+        dense = materialise(dense.selectExpr("token", "cls", "shiftright(info, 24) n"), "jaccard-dense")
+        for leaders in (True, False):
+            lists = dense.withColumn("comp", F.col("cls"))
+            if self.components is not None:
+                known = self.components.select(F.col("node").alias("cls"), "component")
+                lists = dense.join(known, "cls", "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("comp"))
             open_ = lists.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("token")
             lists = lists.join(open_, "token", "left_semi")
-            if pick:
-                pairs = self.lead(lists, pick)
+            if leaders:
+                pairs = self.lead(lists, F.min)
             else:
                 x, y = (lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "comp")]) for s in "xy")
                 pairs = x.join(y, "token").where("cls_x < cls_y and comp_x <> comp_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)").select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
@@ -351,8 +373,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        lists. Each set's prefix is lengthened until the matches it requires exceed
        its heavy tokens; light lists are joined, only between components, and pairs
        with enough matches are verified.
-    4. Sets that no kept prefix serves are met in heavy lists: leaders first, then
-       what remains between components.
+    4. Sets that no kept prefix serves meet in the rarest of their heavy tokens:
+       kept prefixes of similar sets share several tokens, so all but the most
+       frequent ones suffice. Leaders first, then what remains between components.
 
     A similar pair thus either is in one component already or shares enough light
     tokens, or a heavy list, and is verified with whole sets; none is lost.
