@@ -56,7 +56,7 @@ def targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
         level = (total - sum(out[i] for i in range(len(sizes)) if i not in open_)) / sum(weights[i] for i in open_)
         above = [i for i in open_ if level * weights[i] > cap * sizes[i]]
         for i in open_ if not above else above:
-            out[i] = cap * sizes[i] if above else level * weights[i]
+            out[i] = float(cap * sizes[i]) if above else level * weights[i]
         open_ = open_ - set(above) if above else set()
     return out
 
