@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.operators.components import connected_components
@@ -17,6 +17,8 @@ BITS = 48
 GROUP = 2 << 20
 #: Prefix tokens by which close copies find a leader before the join.
 PROBES = 8
+#: Leaders of a heavy list.
+LEADERS = 8
 #: Lists up to this long are joined; longer ones cost too much and lengthen prefixes.
 LIST = 48
 #: Bounds of what may be broadcast: heavy tokens, and classes whose sets are wanted.
@@ -226,9 +228,9 @@ def prefix_plan(tokens: np.ndarray, n: int, heavy: np.ndarray) -> tuple[int, int
 def _entries(heavy, dense: bool):
     """Light tokens of planned prefixes; with dense, heavy kept tokens of sets without a plan.
 
-    info packs a set's size with the matches it requires, or, with dense, with the
-    number of its heavy tokens that count: all but the most frequent of what kept
-    prefixes share.
+    info packs a set's size with the matches it requires, or, with dense, with its
+    share of heavy tokens (in thousandths) and the number of them that count: all
+    but the most frequent of what kept prefixes share.
     """
 
     def run(batches):
@@ -241,7 +243,7 @@ def _entries(heavy, dense: bool):
                 if dense and e:
                     continue
                 own = tokens[~light] if dense else tokens[:length][light[:length]]
-                info = (size << 24) | (len(own) - matches_kept(size) + 1) if dense else (size << 24) | (e or 1)
+                info = (((size << 10) | len(own) * 1000 // len(tokens)) << 24) | (len(own) - matches_kept(size) + 1) if dense else (size << 24) | (e or 1)
                 out[0].append(own.astype(np.int64))
                 out[1].extend([c] * len(own))
                 out[2].extend([info] * len(own))
@@ -294,14 +296,14 @@ class _Join:
             known = F.broadcast(known)
         return self.classes.join(known, "cls", "left").select("cls", "n", "prefix", F.coalesce("component", "cls").alias("comp"))
 
-    def lead(self, lists: DataFrame, pick) -> DataFrame:
-        """Each list's leader with every member of another component and fitting size."""
-        leaders = lists.groupBy("token").agg(pick(F.struct("cls", "n", "comp")).alias("l"), F.count("*").alias("members")).where("members > 1")
+    def lead(self, lists: DataFrame, leader: Column, several: int = 1) -> DataFrame:
+        """Each list's leaders (one of each hash bucket) with every member of another component and fitting size."""
+        leaders = lists.groupBy("token", F.pmod(F.xxhash64("cls"), F.lit(several)).alias("bucket")).agg(leader.alias("l")).select("token", "l")
         return lists.join(leaders, "token").where("cls <> l.cls and comp <> l.comp and 5 * least(n, l.n) >= 4 * greatest(n, l.n)").select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b"))
 
     def run(self) -> None:
         probes = self.classes.select("cls", "n", "prefix").mapInArrow(_probes, "token long, cls long, n long").withColumn("comp", F.col("cls"))
-        self.verify(self.lead(probes, F.min))
+        self.verify(self.lead(probes, F.min(F.struct("cls", "n", "comp"))))
         # Lengths of all lists, and the tokens whose lists are too long to join.
         tokens = self.classes.select(F.col("prefix")).mapInArrow(_all_tokens, "token long")
         counts = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-counts")
@@ -324,16 +326,17 @@ class _Join:
         dense = self.placed().select("cls", "n", "prefix", "comp").mapInArrow(_entries(heavy_set, True), ddl)
         by_length = Window.partitionBy("cls").orderBy("df", "token")
         dense = dense.join(counts.where(F.col("df") > most), "token").withColumn("k", F.row_number().over(by_length)).where("k <= info % 16777216")
-        dense = materialise(dense.selectExpr("token", "cls", "shiftright(info, 24) n"), "jaccard-dense")
+        dense = materialise(dense.selectExpr("token", "cls", "shiftright(info, 34) n", "shiftright(info, 24) % 1024 h"), "jaccard-dense")
         for leaders in (True, False):
+            # Copies lose heavy tokens by their edits; the member with most of them is nearest to what was copied.
             lists = dense.withColumn("comp", F.col("cls"))
             if self.components is not None:
                 known = self.components.select(F.col("node").alias("cls"), "component")
-                lists = dense.join(known, "cls", "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+                lists = dense.join(known, "cls", "left").select("token", "cls", "n", "h", F.coalesce("component", "cls").alias("comp"))
             open_ = lists.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("token")
             lists = lists.join(open_, "token", "left_semi")
             if leaders:
-                pairs = self.lead(lists, F.min)
+                pairs = self.lead(lists, F.max(F.struct("h", "cls", "n", "comp")), LEADERS)
             else:
                 x, y = (lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "comp")]) for s in "xy")
                 pairs = x.join(y, "token").where("cls_x < cls_y and comp_x <> comp_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)").select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
