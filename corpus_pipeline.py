@@ -34,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; those that nothing is left of go."""
-    return _columns(line_dedup(docs, keep=_OTHERS).where((F.col("lines_removed") == 0) | F.col("text").rlike(WORD)))
+    return _columns(line_dedup(docs, keep=_OTHERS, whole=True).where((F.col("lines_removed") == 0) | F.col("text").rlike(WORD)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

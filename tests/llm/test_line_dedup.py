@@ -66,3 +66,47 @@ def test_kept_columns_and_empty(spark):
     row = line_dedup(docs, keep=("lang", "k", "row")).first()
     assert (row.lang, row.k, row.row) == ("en", 9, 7)
     assert line_dedup(documents(spark, [])).collect() == []
+
+
+def brute_whole(rows, min_words):
+    """All lines inside later copies of any run of at least min_words words."""
+    runs, gone = defaultdict(list), defaultdict(set)
+    for i, text in rows:
+        filled = [(k, x.strip(WS)) for k, x in enumerate((text or "").split("\n")) if x.strip(WS)]
+        for p in range(len(filled)):
+            for q in range(p, len(filled)):
+                if sum(len(x.split()) for _, x in filled[p : q + 1]) >= min_words:
+                    runs[tuple(x for _, x in filled[p : q + 1])].append((i, [k for k, _ in filled[p : q + 1]]))
+    for places in runs.values():
+        for i, own in places[1:]:
+            gone[i].update(own)
+    return {i: (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) for i, t in rows}
+
+
+def test_whole_runs_leave_no_last_lines(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    two, three = [words("a", 30), words("b", 20)], [words("c", 30), words("d", 10), words("e", 10)]
+    rows = [(i, "\n".join([f"first {i}", *two, f"middle {i}", *three, f"last {i}"])) for i in range(5)]
+    got = {r.doc_id: r for r in line_dedup(documents(spark, rows), whole=True).collect()}
+    assert got[0].lines_removed == 0
+    assert all(got[i].text == f"first {i}\nmiddle {i}\nlast {i}" for i in range(1, 5))
+
+    rng = random.Random(5)
+    pool = [" ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.randint(1, 9))) for _ in range(9)]
+    rows = []
+    for i in range(90):
+        own = [rng.choice([*pool, f"own {i} {j}", " "]) for j in range(rng.randint(0, 12))]
+        own[1:1] = pool[2:7] if i % 3 == 0 else []
+        rows.append((i, "\n".join(own + pool[:1] * (6 if i % 8 == 0 else 0))))
+    rows += [(200, None), (201, "")]
+    for min_words in (1, 6, 13, 25):
+        got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup(documents(spark, rows).repartition(5), min_words, whole=True).collect()}
+        assert got == brute_whole(rows, min_words), min_words
+
+
+def test_pipeline_stage_takes_whole_runs(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"a{i}" for i in range(30)) + "\n" + " ".join(f"b{i}" for i in range(20))
+    docs = documents(spark, [(i, f"first {i}\n{passage}", "en", "s") for i in range(3)])
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == {0: f"first 0\n{passage}", 1: "first 1", 2: "first 2"}

@@ -22,17 +22,38 @@ def ranked(keys: DataFrame, columns: list[str]) -> DataFrame:
     return materialise(ordered.withColumn("rank", F.monotonically_increasing_id()), "suffix-rank")
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def _ending(state: DataFrame, longest: int, level: int) -> DataFrame:
+    """The runs of ``b`` lines that end at a line, named by first line and interval."""
+    order, head, tail = Window.partitionBy("k").orderBy("p"), F.lit(None).cast("long"), F.lit(None).cast("long")
+
+    def earlier(j: int, back: int):
+        return F.when(F.lag("p", back).over(order) == F.col("p") - back, F.lag(f"r{j}", back).over(order)) if back else F.col(f"r{j}")
+
+    for j in range(level + 1):
+        for m in range(1 << j, min(2 << j, longest + 1)):
+            head = F.when(F.col("b") == m, earlier(j, m - 1)).otherwise(head)
+        tail = F.when((F.col("b") >= 1 << j) & (F.col("b") < 2 << j), earlier(j, (1 << j) - 1)).otherwise(tail)
+    found = state.withColumn("head", head).withColumn("tail", tail).where("b > 0 and head is not null and tail is not null")
+    return found.select("k", "doc_id", (F.col("p") - F.col("b") + 1).cast("int").alias("p"), F.col("b").alias("m"), "head", "tail")
+
+
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """Every row with later copies of repeated line runs deleted.
 
     Returns doc_id, text, lines_removed and the columns in ``keep``. Lines are
     parted by line feeds and compared without white space at their ends; blank
     lines are stepped over and always stay. From each line, the run that first
     reaches ``min_words`` words is looked up; of equal runs the one in the least
-    doc_id (null last), then least line, stays and the others' lines go. Longer
-    repeated runs are unions of such runs. Runs don't cross documents. Rows alike
-    in id and text are one document and stay alike. A null text stays null with
-    0 removed; an empty table gives no rows.
+    doc_id (null last), then least line, stays and the others' lines go. So the last
+    lines of a longer repeated run stay if they hold fewer than ``min_words``
+    words and the line before them closes a run by itself. With ``whole``, the
+    runs that first reach ``min_words`` backward from each line are looked up as
+    well. Both together cover every run of at least ``min_words`` words: a line of
+    it lies in the run that starts there, the one that ends there or the one from
+    the run's first line, and a later copy of the long run holds later copies of
+    these. So exactly the lines inside later copies of any such run go. Runs don't
+    cross documents. Rows alike in id and text are one document and stay alike. A
+    null text stays null with 0 removed; an empty table gives no rows.
 
     Only lines that occur more than once take part. The suffix array over their
     ids is built by prefix doubling: ranks of 1, 2, 4, ... lines, each from the
@@ -55,9 +76,14 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     numbered = filled.withColumn("p", F.row_number().over(in_doc)).withColumn("before", F.coalesce(F.sum("words").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     reach = Window.partitionBy("k").orderBy("before").rangeBetween(Window.currentRow, min_words - 1)
     runs = numbered.withColumn("m", F.count("*").over(reach)).withColumn("in_run", F.sum("words").over(reach))
-    state = runs.join(first_ranks, "id").select("k", "doc_id", "p", "line", "m", "in_run", F.col("rank").alias("r0"))
+    if whole:
+        # b: lines of the run that ends here, 0 if it is too short or is what its first line finds forward.
+        back = Window.partitionBy("k").orderBy("upto").rangeBetween(1 - min_words, Window.currentRow)
+        runs = runs.withColumn("upto", F.col("before") + F.col("words")).withColumn("b", F.when(F.sum("words").over(back) - F.col("words") >= min_words, F.count("*").over(back)).otherwise(0))
+    ends = ["b"] if whole else []
+    state = runs.join(first_ranks, "id").select("k", "doc_id", "p", "line", "m", "in_run", *ends, F.col("rank").alias("r0"))
     state, state_path = materialise_at(state, "suffix-0")
-    longest = state.where(F.col("in_run") >= min_words).agg(F.max("m")).first()[0] or 0
+    longest = state.agg(F.max(F.greatest(F.when(F.col("in_run") >= min_words, F.col("m")), *ends, F.lit(0)))).first()[0] or 0
     level = 0
     while 2 << level <= longest:
         # Rank of 2^(level + 1) lines from the ranks of both halves; the second half must follow without a gap.
@@ -85,7 +111,10 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     if longest:
         named = state.withColumn("head", head).withColumn("tail", starts).where((F.col("in_run") >= min_words) & F.col("head").isNotNull() & F.col("tail").isNotNull())
         place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k", "p")
-        named = materialise(named.select("k", "doc_id", "p", "m", "head", "tail"), "suffix-runs")
+        named = named.select("k", "doc_id", "p", "m", "head", "tail")
+        if whole:
+            named = named.unionByName(_ending(state, longest, level))
+        named = materialise(named, "suffix-runs")
         intervals = named.groupBy("m", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
         later = named.join(intervals, ["m", "head", "tail"]).where(~((F.col("k") == F.col("first.k")) & (F.col("p") == F.col("first.p"))))
         gone = later.select("k", F.explode(F.sequence(F.col("p"), (F.col("p") + F.col("m") - 1).cast("int"))).alias("p")).distinct()
