@@ -43,3 +43,20 @@ def test_wrappers_find_content_without_main_markup(spark):
     assert got[102].text == "A"
     assert extract(pages.limit(0)).collect() == []
     assert content([]) == []
+
+
+def extracted(spark, bodies, host="h.org"):
+    pages = spark.createDataFrame([(i, f"http://{host}/{i}", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in extract(pages.repartition(4)).collect()}
+
+
+def test_template_texts_inside_a_marked_region_go(spark):
+    bodies = [page(f"<article><h1>T{i}</h1><div class='k9'><p>Only this week: all at half price</p></div><p>story {i}</p><p>more {i * i}</p>{'<ul><li>x</ul>' if i % 3 == 0 else ''}<p>Read the next one</p></article>") for i in range(12)]
+    bodies += [page("<article><h2>Twin</h2><p>the same text</p></article>")] * 6
+    got = extracted(spark, bodies)
+    assert got[3] == "T3\n\nstory 3\n\nmore 9\n\nx"
+    assert got[4] == "T4\n\nstory 4\n\nmore 16"
+    assert got[13] == "Twin\n\nthe same text"  # one page six times is no template
+    # Few pages prove nothing, and a region of nothing but such a text keeps it.
+    assert extracted(spark, bodies[:3])[1] == "T1\n\nOnly this week: all at half price\n\nstory 1\n\nmore 1\n\nRead the next one"
+    assert extracted(spark, [page(f"<div class=x>{i}</div><article><p>closed</p></article>") for i in range(8)])[2] == "closed"

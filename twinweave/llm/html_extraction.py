@@ -22,6 +22,11 @@ HOST_BOUND = 20_000
 SALTS = 16
 #: Bytes of local summaries a task holds before it sends them on.
 LOCAL_KEYS = 20_000
+#: A text is the template's if so many distinct pages of the host have it at a container, outside and
+#: inside a marked main region, and they are this share of the pages that have the container.
+SAME_PAGES = 3
+SAME_MARKED = 5
+SAME_SHARE = 0.9
 
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,11 +260,46 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return partial.groupBy("host").applyInPandas(_aligned, "host string, salt int, wrapper string").select("host", "wrapper")
 
 
-def main_text(page: str, slots: frozenset[str]) -> str:
-    """A page's content blocks: its marked main region, else the wrapper's content slots."""
+def place_of(signature: str, kind: str, text: str) -> int:
+    """Hash of a block's container, whether it is marked (bit 32), and its text."""
+    return (zlib.crc32(signature.encode()) >> 2) << 33 | (kind == "main") << 32 | zlib.crc32(text.encode())
+
+
+def _places(batches):
+    """host, place and page text of all blocks that may be content."""
+    for batch in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            blocks = [b for b in blocks_of(page or "") if b[1] != "out"]
+            places = {place_of(*b) for b in blocks}
+            out[0].extend([host or ""] * len(places))
+            out[1].extend(places)
+            out[2].extend([zlib.crc32("\n".join(b[2] for b in blocks).encode())] * len(places))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "place", "page"])
+
+
+def template_texts(pages: DataFrame) -> DataFrame:
+    """host and the sorted places of the texts that its template repeats at one container.
+
+    Pages alike in what may be content count once. The rows shuffled are three
+    numbers and a host per block; equal ones meet in their task first.
+    """
+    found = materialise(pages.select("host", "html").mapInArrow(_places, "host string, place long, page long"), "html-places")
+    texts = found.distinct().groupBy("host", "place").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.shiftright("place", 32) % 2 == 1, SAME_MARKED).otherwise(SAME_PAGES))
+    around = found.select("host", F.shiftright("place", 32).alias("item"), "page").distinct().groupBy("host", "item").agg(F.count("*").alias("of"))
+    same = texts.withColumn("item", F.shiftright("place", 32)).join(around, ["host", "item"]).where(F.col("n") >= SAME_SHARE * F.col("of"))
+    return same.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("same"))
+
+
+def main_text(page: str, slots: frozenset[str], same: frozenset[int] = frozenset()) -> str:
+    """A page's content blocks: its marked main region, else the wrapper's content slots, without the template's texts.
+
+    A marked region that holds nothing else keeps them.
+    """
     blocks = blocks_of(page)
-    chosen = [t for _, kind, t in blocks if kind == "main"] or [t for s, kind, t in blocks if kind == "" and s in slots]
-    return "\n\n".join(chosen)
+    own = [b for b in blocks if b[1] != "out" and place_of(*b) not in same] if same else blocks
+    marked = [t for _, kind, t in own if kind == "main"] or [t for _, kind, t in blocks if kind == "main"]
+    return "\n\n".join(marked or [t for s, kind, t in own if kind == "" and s in slots])
 
 
 @functools.lru_cache(10_000)
@@ -267,12 +307,17 @@ def _slots(wrapper: str | None) -> frozenset[str]:
     return frozenset(content(json.loads(wrapper))) if wrapper else frozenset()
 
 
+@functools.lru_cache(10_000)
+def _same(places: tuple[int, ...]) -> frozenset[int]:
+    return frozenset(places)
+
+
 def _extracted(wrappers):
     def run(batches):
         for batch in batches:
             ids, urls, hosts, pages = (batch.column(i) for i in range(4))
-            found = [wrappers.value.get(h or "") for h in hosts.to_pylist()] if wrappers else batch.column(4).to_pylist()
-            texts = [main_text(p or "", _slots(w)) for p, w in zip(pages.to_pylist(), found, strict=True)]
+            found = [wrappers.value.get(h or "", (None, None)) for h in hosts.to_pylist()] if wrappers else list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True))
+            texts = [main_text(p or "", _slots(w), _same(tuple(same or ()))) for p, (w, same) in zip(pages.to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
@@ -289,18 +334,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Wrappers are union-free expressions over blocks: items in order, optional or
     repeated, each a constant or a text slot, inferred by aligning the block
-    streams of a host's pages. A page's main region, where its markup names one, is
-    its content; otherwise the wrapper's densest container of text slots is, and
-    constants of the template are not.
+    streams of a host's pages. Texts that nearly all of a host's distinct pages with
+    a container repeat there (SAME_PAGES, SAME_MARKED, SAME_SHARE) are the template's
+    and no content, also inside a marked main region or a repeated group. The rest of a page's main region, where its markup
+    names one, is its content; otherwise the wrapper's densest container of text
+    slots is.
     """
     from twinweave.llm.url_filter import host_of
 
     url = F.col(url_col).cast("string")
     given = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), F.col(html_col).cast("string").alias("html"))
-    wrappers = materialise(infer_wrappers(given), "html-wrappers")
+    wrappers = materialise(infer_wrappers(given).join(template_texts(given), "host", "left"), "html-wrappers")
     schema = "page_id long, url string, text string, n_chars long"
-    n, size = wrappers.agg(F.count("*"), F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()
+    n, size = wrappers.agg(F.count("*"), F.coalesce(F.sum(F.length("wrapper") + 8 * F.coalesce(F.size("same"), F.lit(0))), F.lit(0))).first()
     if n <= HOST_BOUND and size < 64 << 20:
-        known = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.collect()})
+        known = pages.sparkSession.sparkContext.broadcast({r.host: (r.wrapper, tuple(r.same or ())) for r in wrappers.collect()})
         return given.mapInArrow(_extracted(known), schema)
-    return given.join(wrappers, "host", "left").select("page_id", "url", "host", "html", "wrapper").mapInArrow(_extracted(None), schema)
+    return given.join(wrappers, "host", "left").select("page_id", "url", "host", "html", "wrapper", "same").mapInArrow(_extracted(None), schema)
