@@ -60,3 +60,24 @@ def test_template_texts_inside_a_marked_region_go(spark):
     # Few pages prove nothing, and a region of nothing but such a text keeps it.
     assert extracted(spark, bodies[:3])[1] == "T1\n\nOnly this week: all at half price\n\nstory 1\n\nmore 1\n\nRead the next one"
     assert extracted(spark, [page(f"<div class=x>{i}</div><article><p>closed</p></article>") for i in range(8)])[2] == "closed"
+
+
+def test_pages_without_main_markup_have_their_own_region(spark):
+    top, low = "<div class=top><p>Welcome to the site</p></div>", "<div class=low><p>All rights</p></div>"
+    some = lambda name, i: f"{name} {i} " * 30
+    # Two templates on one host, one of them with a list of links that differ.
+    posts = [f"{top}<div class=post><h2>P{i}</h2><p>{some('post', i)}</p></div><div class=latest><p>see {i}</p></div>{low}" for i in range(12)]
+    stories = [f"{top}<div class=story><p>{some('story', i)}</p></div>{low}" for i in range(4)]
+    got = extracted(spark, posts + stories)
+    assert got[2] == f"P2\n\n{some('post', 2).strip()}"
+    assert got[14] == some("story", 2).strip()
+    # Sections beside each other.
+    got = extracted(spark, [f"{top}<div class=wrap><section class=intro><p>{some('a', i)}</p></section><section class=body><p>{some('b', i)}</p></section><section class=end><p>{some('c', i)}</p></section></div>{low}" for i in range(6)])
+    assert got[5] == "\n\n".join(some(x, 5).strip() for x in "abc")
+    # A container of its own on every page.
+    got = extracted(spark, [f"{top}<div id='title-{'abcdefgh'[i]}'><p>{some('own', i)}</p></div>{low}" for i in range(8)])
+    assert got == {i: some("own", i).strip() for i in range(8)}
+    # One page again and again is no template.
+    assert extracted(spark, [f"<div class=body><p>{some('x', 1)}</p></div>"] * 5 + [page("<article><p>A</p></article>")])[3] == some("x", 1).strip()
+    # A short page keeps to the region of its class.
+    assert extracted(spark, [*posts, f"{top}<div class=post><p>Brief</p></div><div class=latest><p>{'see this ' * 9}</p></div>{low}"])[12] == "Brief"

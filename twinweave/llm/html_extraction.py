@@ -27,6 +27,8 @@ LOCAL_KEYS = 20_000
 SAME_PAGES = 3
 SAME_MARKED = 5
 SAME_SHARE = 0.9
+#: A container with this share of a page's content characters holds all of the content.
+HOLDS = 0.8
 
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +39,7 @@ _NOT_MAIN_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion related recommended respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 _MAIN_NAMES = frozenset("article articlebody maincontent postcontent entrycontent storybody".split())
+_CONTAINERS = frozenset("html body div section center details dl fieldset table tbody tr td".split())
 _ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -201,20 +204,42 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return merged
 
 
-def content(wrapper: list[list]) -> list[str]:
-    """Signatures of the slots that hold content where a page marks no main region.
+def content(wrapper: list[list], same: frozenset[int] = frozenset()) -> list[tuple[str, float]]:
+    """Characters a page that has it shows in each slot of unmarked kind, on average.
 
-    Among slots of unmarked kind, the container with the most text; items that are
-    constant over several pages belong to the template.
+    Items whose one text is the template's are no slots.
     """
     chars: dict[str, int] = defaultdict(int)
-    for signature, kind, _, _, seen, size, same in wrapper:
-        if kind == "" and not (same is not None and seen > 2):
-            chars[signature.rpartition(">")[0]] += size
-    if not chars:
-        return []
-    top = max(sorted(chars), key=lambda c: chars[c])
-    return sorted({s for s, kind, _, _, seen, _, same in wrapper if kind == "" and not (same is not None and seen > 2) and (s.rpartition(">")[0] == top or s.startswith(f"{top}>"))})
+    pages: dict[str, int] = defaultdict(int)
+    for signature, kind, _, _, seen, size, text in wrapper:
+        if kind == "" and not (text is not None and _place(signature, kind, text) in same):
+            chars[signature] += size
+            pages[signature] = max(pages[signature], seen)
+    return [(s, chars[s] / pages[s]) for s in sorted(chars)]
+
+
+def region(slots: dict[str, float]) -> str:
+    """The innermost container that holds the content of a page with these slots.
+
+    From the root on, a container inside the last one is taken while it holds
+    HOLDS of its characters, those of containers inside it included; so sections
+    beside each other stay together.
+    """
+    at, inside = "", slots
+    while True:
+        sums: dict[str, float] = defaultdict(float)
+        for s, size in inside.items():
+            tag = s[len(at) :].lstrip(">").split(">", 1)[0]
+            if tag.split(".", 1)[0] in _CONTAINERS:
+                sums[f"{at}>{tag}" if at else tag] += size
+        top = max(sorted(sums), key=lambda c: sums[c], default=None)
+        if top is None or sums[top] < HOLDS * sum(inside.values()):
+            return at
+        at, inside = top, {s: size for s, size in inside.items() if _within(s, top)}
+
+
+def _within(signature: str, container: str) -> bool:
+    return not container or signature == container or signature.startswith(f"{container}>")
 
 
 def _structures(batches):
@@ -262,7 +287,11 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 def place_of(signature: str, kind: str, text: str) -> int:
     """Hash of a block's container, whether it is marked (bit 32), and its text."""
-    return (zlib.crc32(signature.encode()) >> 2) << 33 | (kind == "main") << 32 | zlib.crc32(text.encode())
+    return _place(signature, kind, zlib.crc32(text.encode()))
+
+
+def _place(signature: str, kind: str, text: int) -> int:
+    return (zlib.crc32(signature.encode()) >> 2) << 33 | (kind == "main") << 32 | text
 
 
 def _places(batches):
@@ -291,20 +320,27 @@ def template_texts(pages: DataFrame) -> DataFrame:
     return same.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("same"))
 
 
-def main_text(page: str, slots: frozenset[str], same: frozenset[int] = frozenset()) -> str:
-    """A page's content blocks: its marked main region, else the wrapper's content slots, without the template's texts.
+def main_text(page: str, slots: dict[str, float] | frozenset[str], same: frozenset[int] = frozenset()) -> str:
+    """A page's content blocks without the template's texts: its marked main region, else the region of its slots.
 
-    A marked region that holds nothing else keeps them.
+    A marked region that holds nothing else keeps the template's texts. Slots that
+    the wrapper does not know weigh what the page itself has there.
     """
     blocks = blocks_of(page)
     own = [b for b in blocks if b[1] != "out" and place_of(*b) not in same] if same else blocks
     marked = [t for _, kind, t in own if kind == "main"] or [t for _, kind, t in blocks if kind == "main"]
-    return "\n\n".join(marked or [t for s, kind, t in own if kind == "" and s in slots])
+    if marked:
+        return "\n\n".join(marked)
+    plain, sizes = [(s, t) for s, kind, t in own if kind == ""], defaultdict(int)
+    for s, t in plain:
+        sizes[s] += len(t)
+    at = region({s: slots[s] if s in slots else size for s, size in sizes.items()})
+    return "\n\n".join(t for s, t in plain if _within(s, at))
 
 
 @functools.lru_cache(10_000)
-def _slots(wrapper: str | None) -> frozenset[str]:
-    return frozenset(content(json.loads(wrapper))) if wrapper else frozenset()
+def _slots(wrapper: str | None, places: tuple[int, ...]) -> dict[str, float]:
+    return dict(content(json.loads(wrapper), _same(places))) if wrapper else {}
 
 
 @functools.lru_cache(10_000)
@@ -317,7 +353,7 @@ def _extracted(wrappers):
         for batch in batches:
             ids, urls, hosts, pages = (batch.column(i) for i in range(4))
             found = [wrappers.value.get(h or "", (None, None)) for h in hosts.to_pylist()] if wrappers else list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True))
-            texts = [main_text(p or "", _slots(w), _same(tuple(same or ()))) for p, (w, same) in zip(pages.to_pylist(), found, strict=True)]
+            texts = [main_text(p or "", _slots(w, tuple(same or ())), _same(tuple(same or ()))) for p, (w, same) in zip(pages.to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
@@ -337,8 +373,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     streams of a host's pages. Texts that nearly all of a host's distinct pages with
     a container repeat there (SAME_PAGES, SAME_MARKED, SAME_SHARE) are the template's
     and no content, also inside a marked main region or a repeated group. The rest of a page's main region, where its markup
-    names one, is its content; otherwise the wrapper's densest container of text
-    slots is.
+    names one, is its content. Otherwise a page's own slots, each weighed by its
+    average characters in the wrapper, show the innermost container that holds
+    nearly all of them (HOLDS), and all slots in it are the content: pages of other
+    templates or with containers of their own have their own region.
     """
     from twinweave.llm.url_filter import host_of
 
