@@ -76,6 +76,14 @@ def test_without_probes_the_join_finds_the_same(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard_components(documents(spark, rows)).collect()) == brute(rows)
 
 
+def test_members_meet_where_no_leader_fits(spark):
+    """Leaders are all truncated copies; the whole ones still meet each other."""
+    template = [f"t{i}" for i in range(200)]
+    rows = [(100 + i, " ".join([*template[:150], f"a{i}"])) for i in range(70)] + [(200 + i, " ".join([*template[110:], f"b{i}"])) for i in range(70)]
+    rows += [(300 + i, " ".join(template + [f"own{i}x{j}" for j in range(20)])) for i in range(3)]
+    assert Counter(tuple(r) for r in jaccard_components(documents(spark, rows)).collect()) == brute(rows)
+
+
 def test_shingle_sets_name_equal_shingles_alike():
     texts = [t or "" for _, t in AWKWARD] + ["A b C d e f g", "a B c D e F g", "x a b c d e f g"]
     tokens, bounds, classes = shingle_sets([t.encode() for t in texts])

@@ -340,8 +340,7 @@ class _Join:
             else:
                 x, y = (lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "comp")]) for s in "xy")
                 pairs = x.join(y, "token").where("cls_x < cls_y and comp_x <> comp_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)").select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
-            if not self.verify(pairs):
-                return
+            self.verify(pairs)
 
     def result(self) -> DataFrame:
         keyed = self.rows.withColumn("grp", F.col("cls"))
