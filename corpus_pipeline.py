@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinweave.llm import mixing
 from twinweave.llm.language_id import UNKNOWN, identify, train
 from twinweave.llm.line_dedup import line_dedup
-from twinweave.llm.mixing import WORD, mix
+from twinweave.llm.mixing import WORD
 from twinweave.llm.ngram_join import jaccard_components
 from twinweave.llm.packing import pack
 from twinweave.llm.queries import tokenizer_path
@@ -44,17 +45,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _columns(kept.unionByName(docs.where("doc_id is null")))
 
 
+def mix(docs: DataFrame) -> DataFrame:
+    """The mix in whole documents."""
+    return mixing.mix(docs, whole=True)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: whole repeats of a document, and its first words for a part."""
-    taken = mix(docs).select(F.col("doc_id").alias("taken_id"), "size", "taken").where("taken > 0")
-    again = F.expr("taken div size")
-    part = F.col("taken") % F.col("size")
-    copies = docs.select("doc_id", "text", *_OTHERS).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).select(
-        "doc_id", *_OTHERS, "text", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), again.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))).alias("words"),
-    )
-    # The first n words with their white space: cut at the start of word n + 1.
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.greatest(F.col("words"), F.lit(0)).cast("int")), "")
-    return _columns(copies.withColumn("text", F.when(F.col("words") < 0, F.col("text")).otherwise(first)))
+    """Every document as often as the mix takes it, always whole."""
+    taken = mix(docs).select(F.col("doc_id").alias("taken_id"), F.expr("cast(taken div size as int)").alias("copies")).where("copies > 0")
+    copies = docs.select("doc_id", "text", *_OTHERS).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return _columns(copies.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

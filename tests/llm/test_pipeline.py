@@ -84,3 +84,19 @@ def test_run_and_empty(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 0
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_mixture_takes_whole_documents(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 60)), "en", rng.choice("abc"), 0) for i in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    text, goal, got = {r[0]: r[1] for r in rows}, defaultdict(int), Counter()
+    for r in corpus_pipeline.mixing.mix(docs).collect():
+        goal[rows[r.doc_id][3]] += r.taken
+    copies = Counter()
+    for r in corpus_pipeline.mixture(spark, docs.repartition(4), "").collect():
+        assert r.text == text[r.doc_id]
+        got[r.source] += len(r.text.split())
+        copies[r.doc_id] += 1
+    assert max(copies.values()) <= 3
+    assert all(2 * abs(goal[s] - got[s]) <= 60 for s in "abc"), (goal, got)

@@ -61,7 +61,17 @@ def targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _carried(rows: pd.DataFrame) -> pd.DataFrame:
+    """Whether the document that ends each shard's quota is taken; at most SHARDS rows."""
+    rows, carry, up = rows.sort_values("shard"), 0, []
+    for part, size in zip(rows.part.tolist(), rows["size"].tolist(), strict=True):
+        carry += part
+        up.append(2 * carry >= size)
+        carry -= size if up[-1] else 0
+    return rows.assign(up=up)[["src", "shard", "up"]]
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
     """How many words of every document a mix of the sources takes.
 
     Returns doc_id, size, source_size, target, taken. Size counts WORD in the text
@@ -74,6 +84,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: in
     the order is a hash of seed and id. Repeated rows share the words in turn. An
     empty table gives no rows; other columns are not read.
 
+    With ``whole``, documents are taken whole only. At most one document of a shard
+    is taken in part; its part is carried along the source's shards in turn, and the
+    document is taken where that reaches half of it, so a source's total differs
+    from the one above by at most half of its longest document.
+
     The source totals (a row per source: the mix's own settings table) are the only
     rows the driver sees. Words are summed by cells of about CELL_ROWS rows before
     documents are ordered, and cells are summed along a shard, so neither a hot
@@ -115,4 +130,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: in
     lined = keyed.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(cell_plan, ["src", "shard", "cell"])
     rounds, rest = F.expr("words div greatest(shard_size, 1)"), F.expr("words % greatest(shard_size, 1)")
     part = F.least(F.greatest(rest - F.col("cell_start") - F.col("start"), F.lit(0)), F.col("size"))
-    return lined.select("doc_id", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"))
+    lined = lined.select("src", "shard", "doc_id", "size", "source_size", "target", (rounds * F.col("size")).alias("again"), part.alias("part"))
+    if whole:
+        lined = materialise(lined, "mix-lined")
+        ends = lined.where("part > 0 and part < size").select("src", "shard", "part", "size").groupBy("src").applyInPandas(_carried, "src int, shard int, up boolean")
+        lined = lined.join(ends, ["src", "shard"], "left").withColumn("part", F.when(F.col("part") < F.col("size"), F.when(F.col("part") > 0, F.when(F.col("up"), F.col("size")).otherwise(0)).otherwise(0)).otherwise(F.col("part")))
+    return lined.select("doc_id", "size", "source_size", "target", (F.col("again") + F.col("part")).cast("long").alias("taken"))
