@@ -27,6 +27,12 @@ def _columns(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With ``key``, a number that only rows alike in every column share."""
+    given = ("doc_id", "text", *_OTHERS)
+    return docs.withColumn("key", F.xxhash64(*given, *[F.col(c).isNull() for c in given]))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; ``und`` and unsure ones go."""
     found = identify(docs, train(docs), keep=("text", *_OTHERS))
@@ -39,22 +45,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the least doc_id; those without words or id stay."""
-    stay = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _columns(kept.unionByName(docs.where("doc_id is null")))
+    """One row of each group of near copies, that of the least doc_id (null last); those without words stay."""
+    keyed = _keyed(docs)
+    groups = jaccard_components(keyed, id_col="key").select(F.col("doc_id").alias("key"), "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")
+    stay = groups.join(keyed.select("key", "doc_id").distinct(), "key").groupBy("component_id").agg(F.min(first)["key"].alias("key")).select("key")
+    return _columns(keyed.join(stay, "key", "left_semi").dropDuplicates(["key"]))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, row_col: str | None = None) -> DataFrame:
     """The mix in whole documents."""
-    return mixing.mix(docs, whole=True)
+    return mixing.mix(docs, whole=True, row_col=row_col)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, always whole."""
-    taken = mix(docs).select(F.col("doc_id").alias("taken_id"), F.expr("cast(taken div size as int)").alias("copies")).where("copies > 0")
-    copies = docs.select("doc_id", "text", *_OTHERS).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return _columns(copies.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))))
+    """Every document as often as the mix takes it, always whole; rows alike are interchangeable."""
+    keyed = _keyed(docs)
+    copies = F.expr("cast(taken div size as int)")
+    taken = mix(keyed, "key").where("taken > 0").groupBy("key").agg(F.sum(copies).cast("int").alias("copies"))
+    rows = keyed.select("key", "doc_id", "text", *_OTHERS).dropDuplicates(["key"]).join(taken, "key")
+    return _columns(rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

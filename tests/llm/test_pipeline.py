@@ -100,3 +100,17 @@ def test_mixture_takes_whole_documents(spark):
         copies[r.doc_id] += 1
     assert max(copies.values()) <= 3
     assert all(2 * abs(goal[s] - got[s]) <= 60 for s in "abc"), (goal, got)
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    text = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, text("a"), "en", "s", 0), (1, text("b"), "en", "s", 0), (1, text("b"), "en", "s", 0), (2, text("b") + " more", "en", "s", 0), (None, text("c"), "en", "s", 0), (None, text("c") + " more", "en", "s", 0), (None, text("d"), "en", "s", 0), (5, text("d"), "en", "s", 0)]
+    stay = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
+    found = sorted((r.doc_id or 0, r.text[0]) for r in stay.collect())
+    assert found == [(0, "c"), (1, "a"), (1, "b"), (5, "d")]
+
+    rows = [(None, text(f"x{i}_", 8 + i % 5), "en", "a", 0) for i in range(40)] + [(7, text(f"y{i}_", 9), "en", "a", 0) for i in range(20)] + [(9, text("z", 9), "en", "a", 0)] * 6
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    mixed = Counter(r.text for r in corpus_pipeline.mixture(spark, docs, "").collect())
+    want = Counter(r[1] for r in rows)  # one source: everything once, up to the ends of three shards
+    assert sum((mixed - want).values()) + sum((want - mixed).values()) <= 3

@@ -71,7 +71,7 @@ def _carried(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(up=up)[["src", "shard", "up"]]
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False, row_col: str | None = None) -> DataFrame:
     """How many words of every document a mix of the sources takes.
 
     Returns doc_id, size, source_size, target, taken. Size counts WORD in the text
@@ -84,7 +84,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: in
     the order is a hash of seed and id. Repeated rows share the words in turn. An
     empty table gives no rows; other columns are not read.
 
-    With ``whole``, documents are taken whole only. At most one document of a shard
+    With ``row_col``, that column (a number that rows alike in everything share) is
+    returned in place of doc_id, and orders rows alike in id and size. With
+    ``whole``, documents are taken whole only. At most one document of a shard
     is taken in part; its part is carried along the source's shards in turn, and the
     document is taken where that reaches half of it, so a source's total differs
     from the one above by at most half of its longest document.
@@ -95,11 +97,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: in
     source nor a large table puts many rows in one group.
     """
     spark = docs.sparkSession
+    key = ["row_key"] if row_col else []
     sized = materialise(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col).cast("long")).alias("h"),
+            F.xxhash64(F.lit(seed), F.col(id_col).cast("long")).alias("h"), *([F.col(row_col).cast("long").alias("row_key")] if row_col else []),
         ), "mix-sized",
     )
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -111,7 +114,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: in
     sources = spark.createDataFrame([(i, r.source, r["size"], goal[i], int(blocks[i])) for i, r in enumerate(found)], "src int, source string, source_size long, target double, blocks long")
     keyed = (
         sized.join(F.broadcast(sources.select("src", "source")) if len(found) <= 100_000 else sources.select("src", "source"), sized.source.eqNullSafe(sources.source))
-        .select("doc_id", "size", "h", "src", F.pmod("h", F.lit(SHARDS)).cast("int").alias("shard"), F.pmod(F.shiftrightunsigned("h", 20), F.lit(cells)).alias("cell"))
+        .select("doc_id", *key, "size", "h", "src", F.pmod("h", F.lit(SHARDS)).cast("int").alias("shard"), F.pmod(F.shiftrightunsigned("h", 20), F.lit(cells)).alias("cell"))
     )
     by_cell = keyed.groupBy("src", "shard", "cell").agg(F.sum("size").alias("cell_size"))
     along = Window.partitionBy("src", "shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -126,13 +129,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: in
 
     shares = by_shard.groupBy("src").applyInPandas(quotas, "src int, shard int, shard_size long, source_size long, target double, words long")
     cell_plan = placed.join(shares, ["src", "shard"])
-    inside = Window.partitionBy("src", "shard", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src", "shard", "cell").orderBy("h", "doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
     lined = keyed.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(cell_plan, ["src", "shard", "cell"])
     rounds, rest = F.expr("words div greatest(shard_size, 1)"), F.expr("words % greatest(shard_size, 1)")
     part = F.least(F.greatest(rest - F.col("cell_start") - F.col("start"), F.lit(0)), F.col("size"))
-    lined = lined.select("src", "shard", "doc_id", "size", "source_size", "target", (rounds * F.col("size")).alias("again"), part.alias("part"))
+    lined = lined.select("src", "shard", "doc_id", *key, "size", "source_size", "target", (rounds * F.col("size")).alias("again"), part.alias("part"))
     if whole:
         lined = materialise(lined, "mix-lined")
         ends = lined.where("part > 0 and part < size").select("src", "shard", "part", "size").groupBy("src").applyInPandas(_carried, "src int, shard int, up boolean")
         lined = lined.join(ends, ["src", "shard"], "left").withColumn("part", F.when(F.col("part") < F.col("size"), F.when(F.col("part") > 0, F.when(F.col("up"), F.col("size")).otherwise(0)).otherwise(0)).otherwise(F.col("part")))
-    return lined.select("doc_id", "size", "source_size", "target", (F.col("again") + F.col("part")).cast("long").alias("taken"))
+    return lined.select(F.col("row_key").alias(row_col) if row_col else F.col("doc_id"), "size", "source_size", "target", (F.col("again") + F.col("part")).cast("long").alias("taken"))
