@@ -1,12 +1,13 @@
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 from cases import AWKWARD, documents, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from twinweave.llm.mixing import apportion, mix, targets
+from twinweave.llm.mixing import SHARDS, apportion, bounded, mix, shard_words, targets
 
 
 @settings(max_examples=60, deadline=None)
@@ -23,6 +24,75 @@ def test_apportion_takes_the_highest_quotients(weights, seats):
     assert np.allclose(quotients(found), quotients(got))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 9)), min_size=1, max_size=8), st.integers(0, 60))
+def test_bounded_apportionment_deals_on_what_is_full(entries, seats):
+    weights, most = zip(*entries, strict=True)
+    got = np.zeros(len(weights), int)
+    for _ in range(seats):
+        free = [i for i in range(len(weights)) if weights[i] and got[i] < most[i]]
+        if free:
+            got[max(free, key=lambda i: (weights[i] / (2 * got[i] + 1), -i))] += 1
+    found = bounded(weights, seats, most)
+    assert (found <= np.array(most)).all()
+    assert found.sum() == got.sum()
+    quotients = lambda g: sorted(w / (2 * k + 1) for w, n in zip(weights, g, strict=True) for k in range(n))
+    assert np.allclose(quotients(found), quotients(got))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 90), min_size=1, max_size=9), st.integers(0, 200))
+def test_shards_come_within_a_block(sizes, blocks):
+    words = shard_words(sizes, blocks, 8, 3)
+    assert (words <= 3 * np.array(sizes)).all()
+    assert min(8 * blocks, 3 * sum(sizes)) - words.sum() in range(8)
+
+
+def brute_taken(spark, rows, order, goal, seed=11, block=8, cap=3):
+    """taken of every row by one pass over each shard's rows in order of hash, id and size."""
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    hashed = spark.createDataFrame([(i, r[0], None if r[0] is not None else r[1]) for i, r in enumerate(rows)], "i long, id long, t string").selectExpr("i", f"xxhash64({seed}, id, t) h").collect()
+    h = {r.i: r.h for r in hashed}
+    cells = max(1, len(rows) // (SHARDS * 256))
+    sizes = [count(r[1]) for r in rows]
+    blocks = apportion([goal[s] for s in order], -(-sum(sizes) // block))
+    out = Counter()
+    for k, source in enumerate(order):
+        shards = defaultdict(list)
+        for i, r in enumerate(rows):
+            if r[3] == source:
+                shards[h[i] % SHARDS].append(((h[i] % 2**64 >> 20) % cells, h[i], r[0] is not None, r[0] or 0, sizes[i]))
+        own = sorted(shards)
+        quota = shard_words([sum(x[4] for x in shards[s]) for s in own], int(blocks[k]), block, cap)
+        for s, words in zip(own, quota.tolist(), strict=True):
+            total = sum(x[4] for x in shards[s])
+            again, rest = divmod(words, total) if total else (0, 0)
+            for _, _, has, doc_id, size in sorted(shards[s]):
+                part = min(rest, size)
+                rest -= part
+                out[doc_id if has else None, size, again * size + part] += 1
+    return out
+
+
+def test_taken_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(0, 60)), "en", rng.choice(["big", "big", "big", "mid"])) for i in range(500)] + [(600 + i, prose(rng, rng.randint(0, 12)), "en", "a small one") for i in range(30)]
+    rows += [(None, f"no id {i}", "en", "mid") for i in range(9)]
+    got = mix(documents(spark, rows).repartition(3)).collect()
+    totals, words = {}, Counter()
+    for i, r in enumerate(rows):
+        totals.setdefault(r[3], 0)
+        totals[r[3]] += len((r[1] or "").split())
+    order = sorted(totals)
+    goal = dict(zip(order, targets([totals[s] for s in order], [5.0, 2.0, 1.0], 3), strict=True))
+    assert Counter((r.doc_id, r["size"], r.taken) for r in got) == brute_taken(spark, rows, order, goal)
+    source = {r[0]: r[3] for r in rows}
+    for r in got:
+        words[source[r.doc_id]] += r.taken
+    assert goal["a small one"] == 3 * totals["a small one"]  # capped: every shard is filled
+    assert all(abs(words[s] - goal[s]) <= 16 for s in order), (words, goal)
+
+
 def test_targets_stop_at_the_cap():
     t = targets([10, 1000, 1000], [5.0, 2.0, 1.0], 3)
     assert t[0] == 30

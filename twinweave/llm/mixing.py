@@ -49,6 +49,39 @@ def apportion(weights, seats: int) -> np.ndarray:
     return got
 
 
+def bounded(weights, seats: int, most) -> np.ndarray:
+    """As apportion, but no entry gets more than its ``most`` seats; the others get what it can't hold."""
+    w, most = np.asarray(weights, float), np.asarray(most, np.int64)
+    got, open_ = np.zeros(len(w), np.int64), w > 0
+    while open_.any():
+        part = np.zeros(len(w), np.int64)
+        part[open_] = apportion(w[open_], seats - int(got[~open_].sum()))
+        full = open_ & (part >= most)
+        if not (part > most).any():
+            got[open_] = part[open_]
+            break
+        got[full] = most[full]
+        open_ &= ~full
+    return got
+
+
+def shard_words(sizes, blocks: int, block: int, cap: int) -> np.ndarray:
+    """Words that each shard gives when ``blocks`` blocks are dealt by size and none gives more than cap times its words.
+
+    A shard's last block may be cut by its cap; what that leaves is dealt on in
+    whole blocks, so less than one block is short unless all shards are full.
+    """
+    sizes = np.asarray(sizes, np.int64)
+    room = cap * sizes
+    want, seats = min(blocks * block, int(room.sum())), blocks
+    while True:
+        words = np.minimum(bounded(sizes, seats, -(-room // block)) * block, room)
+        short = want - int(words.sum())
+        if short < block:
+            return words
+        seats += short // block
+
+
 def targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
     """Shares of the total by weight, at most cap * size each, the excess reshared by weight."""
     total, out, open_ = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
@@ -78,11 +111,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: in
     (null: 0). Sources in code point order, null last, weigh ``weights`` in turn
     and share all words; a target stops at ``cap`` times its source's size.
     ``block`` words make a block. Sainte-Laguë gives blocks to sources by target,
-    then to each source's shards by size. A shard's documents lie in seeded order;
-    its blocks are taken from the start, again and again if the quota exceeds the
-    shard, so no document gives more than ``cap`` times its words. Reruns agree:
-    the order is a hash of seed and id. Repeated rows share the words in turn. An
-    empty table gives no rows; other columns are not read.
+    then to each source's shards by size, none more than ``cap`` times its words (what
+    one can't hold goes to the next quotients), so a source's words come within one
+    block of its apportioned blocks. A shard's documents lie in seeded order; its
+    blocks are taken from the start, again and again if the quota exceeds the shard,
+    so no document gives more than ``cap`` times its words. Reruns agree: the order
+    is a hash of seed and id (without id, of the text); ties go by id and size.
+    Repeated rows share the words in turn. An empty table gives no rows; other
+    columns are not read.
 
     With ``row_col``, that column (a number that rows alike in everything share) is
     returned in place of doc_id, and orders rows alike in id and size. With
@@ -102,7 +138,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: in
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col).cast("long")).alias("h"), *([F.col(row_col).cast("long").alias("row_key")] if row_col else []),
+            F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.col(text_col).cast("string"))).alias("h"), *([F.col(row_col).cast("long").alias("row_key")] if row_col else []),
         ), "mix-sized",
     )
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -123,8 +159,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: in
 
     def quotas(rows: pd.DataFrame) -> pd.DataFrame:  # at most SHARDS rows
         rows = rows.sort_values("shard")
-        n = apportion(rows.shard_size.to_numpy(), int(rows.blocks.iloc[0]))
-        rows["words"] = np.minimum(n * block, cap * rows.shard_size.to_numpy())
+        rows["words"] = shard_words(rows.shard_size.to_numpy(), int(rows.blocks.iloc[0]), block, cap)
         return rows[["src", "shard", "shard_size", "source_size", "target", "words"]]
 
     shares = by_shard.groupBy("src").applyInPandas(quotas, "src int, shard int, shard_size long, source_size long, target double, words long")
