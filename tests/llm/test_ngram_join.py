@@ -84,9 +84,44 @@ def test_members_meet_where_no_leader_fits(spark):
     assert Counter(tuple(r) for r in jaccard_components(documents(spark, rows)).collect()) == brute(rows)
 
 
+def test_blocks_against_brute_force(spark, monkeypatch):
+    """Every list is long and blocks hold a few sets: one group of near copies about the threshold spans many blocks."""
+    monkeypatch.setattr(ngram_join, "LIST", 1)
+    monkeypatch.setattr(ngram_join, "PROBES", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK_WEIGHT", 4000)
+    rng = random.Random(9)
+    base = prose(rng, 120)
+    rows = [(i, edited(rng, base, rng.randint(1, 4))) for i in range(60)] + [(100 + i, edited(rng, prose(rng, 60), 1)) for i in range(5)] + AWKWARD
+    assert Counter(tuple(r) for r in jaccard_components(documents(spark, rows)).collect()) == brute(rows)
+
+
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    for size, most in ((3, 40), (60, 90), (150, 5000)):
+        x, y = ([rng.choice(6000, int(rng.integers(0, most)), replace=False).astype(np.uint64) for _ in range(size)] for _ in "xy")
+        x += [np.arange(100, dtype=np.uint64)] * 5
+        got = ngram_join.common_counts(x, y)
+        assert (got == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all()
+
+
+def test_sets_with_one_name_are_told_apart(spark):
+    rows = [(1, 3, 77, 5, b"a"), (2, 4, 77, 6, b"b"), (3, 3, 77, 5, None), (4, 9, 78, 5, b"c"), (5, 0, None, None, None)]
+    named = ngram_join.distinctly_named(spark.createDataFrame(rows, "doc_id long, n long, cls long, second long, tokens binary"))
+    cls = {r.doc_id: r.cls for r in named.collect()}
+    assert cls[1] == cls[3] != cls[2]
+    assert cls[4] == 78
+    assert cls[5] is None
+
+
+def test_one_long_text_and_many_short_ones(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long), (2, long + " more"), (3, "x" * 2_000_000), (4, "x" * 2_000_000)]
+    assert sorted(tuple(r) for r in jaccard_components(documents(spark, rows)).collect()) == [(1, 299_996, 1), (2, 299_997, 1), (3, 1, 3), (4, 1, 3)]
+
+
 def test_shingle_sets_name_equal_shingles_alike():
     texts = [t or "" for _, t in AWKWARD] + ["A b C d e f g", "a B c D e F g", "x a b c d e f g"]
-    tokens, bounds, classes = shingle_sets([t.encode() for t in texts])
+    tokens, bounds, classes, _ = shingle_sets([t.encode() for t in texts])
     found = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert [len(x) for x in found] == [len(shingles(t)) for t in texts]
     assert all((np.diff(x.astype(np.int64)) > 0).all() for x in found)

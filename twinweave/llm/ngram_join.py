@@ -4,25 +4,29 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinweave.operators.components import connected_components
-from twinweave.runtime import drop_table, materialise, materialise_at
+from twinweave.operators.numbering import summed_before
+from twinweave.runtime import drop_table, materialise, materialise_at, settings
 
 SHINGLE = 5
 #: A shingle is known by this many bits of its hash.
 BITS = 48
 #: Bytes of text hashed at once.
-GROUP = 2 << 20
+GROUP = 1 << 20
 #: Prefix tokens by which close copies find a leader before the join.
 PROBES = 8
-#: Leaders of a heavy list.
-LEADERS = 8
 #: Lists up to this long are joined; longer ones cost too much and lengthen prefixes.
 LIST = 48
-#: Bounds of what may be broadcast: heavy tokens, and classes whose sets are wanted.
-HEAVY_BOUND = 1_000_000
+#: Weight of a block of sets: a set weighs its tokens and SET_WEIGHT.
+BLOCK_WEIGHT = 600_000
+SET_WEIGHT = 1_000
+#: Bits that tell, with few mistakes, which tokens are shared (32 MB), and bits made in one task.
+MARKS = 1 << 28
+PAGE = 1 << 16
+#: Classes whose sets are wanted are broadcast up to this many.
 WANTED_BOUND = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -49,12 +53,12 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, bounds, classes) of fewer than 65,536 texts, whole.
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, bounds, classes, seconds) of fewer than 65,536 texts, whole.
 
     tokens[bounds[i] : bounds[i + 1]] are text i's sorted distinct shingle hashes,
-    classes[i] is a signed 64-bit name of that set (0 if empty); equal sets have
-    equal names. Words are maximal runs without white space, A-Z folded. Under
+    classes[i] is a signed 64-bit name of that set (0 if empty), seconds[i] another
+    one; equal sets have equal names. Words are maximal runs without white space, A-Z folded. Under
     SHINGLE words, the whole sequence is the one shingle.
     """
     data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
@@ -81,13 +85,14 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     tokens = both & np.uint64((1 << BITS) - 1)
     limits = np.searchsorted(both, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(BITS)) if len(texts) else np.zeros(1, int)
     sizes = np.diff(limits)
-    classes = np.zeros(len(texts), np.int64)
+    classes, seconds = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     full = np.flatnonzero(sizes)
     if len(full):
         x = np.add.reduceat(_mixed(tokens), limits[full])
         y = np.add.reduceat(_mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), limits[full])
         classes[full] = _mixed(x * np.uint64(3) + _mixed(y) + sizes[full].astype(np.uint64)).view(np.int64)
-    return tokens, limits, classes
+        seconds[full] = _mixed(y * np.uint64(5) + _mixed(x ^ np.uint64(_BASE))).view(np.int64)
+    return tokens, limits, classes, seconds
 
 
 def need(n):
@@ -127,7 +132,7 @@ def _tokens(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _fresh(seen: set[int], name: int) -> bool:
+def _fresh(seen: set, name) -> bool:
     """Whether a class is new to this task, as far as a bounded memory knows."""
     if name in seen:
         return False
@@ -138,47 +143,37 @@ def _fresh(seen: set[int], name: int) -> bool:
 
 
 def _profiles(batches):
-    """A row per document; the first of a class in this task carries the prefix."""
-    seen: set[int] = set()
+    """A row per document; the first of a class in this task carries the set."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
-        sizes, names, prefixes = [], [], []
-        for run in _grouped([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
-            tokens, bounds, classes = shingle_sets(run)
-            for i, name in enumerate(classes.tolist()):
+        at = 0
+        for run in _grouped(t or b"" for t in _texts(batch.column(1).cast(pa.binary()))):
+            sizes, names, others, sets = [], [], [], []
+            tokens, bounds, classes, seconds = shingle_sets(run)
+            for i, name in enumerate(zip(classes.tolist(), seconds.tolist(), strict=True)):
                 low, high = int(bounds[i]), int(bounds[i + 1])
                 sizes.append(high - low)
-                names.append(name if high > low else None)
-                prefixes.append(_binary(tokens[low : low + longest_prefix(high - low)]) if high > low and _fresh(seen, name) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(prefixes, pa.binary())], names=["doc_id", "n", "cls", "prefix"])
+                names.append(name[0] if high > low else None)
+                others.append(name[1] if high > low else None)
+                sets.append(_binary(tokens[low:high]) if high > low and _fresh(seen, name) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(others, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "n", "cls", "second", "tokens"])
+            at += len(run)
 
 
-def _sets_of(wanted):
-    """Whole sets of wanted classes (None: of all), once per task."""
+def _texts(column: pa.Array):
+    for x in column:
+        yield x.as_py()
 
-    def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            names, sets = [], []
-            for group in _grouped([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]):
-                tokens, bounds, classes = shingle_sets(group)
-                want = np.diff(bounds) > 0
-                if wanted is not None:
-                    ids = wanted.value
-                    want &= ids[np.minimum(np.searchsorted(ids, classes), len(ids) - 1)] == classes
-                for i in np.flatnonzero(want).tolist():
-                    name = int(classes[i])
-                    if _fresh(seen, name):
-                        names.append(name)
-                        sets.append(_binary(tokens[bounds[i] : bounds[i + 1]]))
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "tokens"])
 
-    return run
+def _sliced(batches, rows: int = 500):
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def _links(batches):
     """The pairs whose sets pass 100 * intersection >= 80 * union."""
-    for batch in batches:
+    for batch in _sliced(batches):
         keep = []
         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             x, y = _tokens(a), _tokens(b)
@@ -189,16 +184,18 @@ def _links(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
-def _probes(batches):
-    for batch in batches:
-        cls, n, tokens = [], [], []
-        for c, size, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            own = _tokens(data)[:PROBES]
-            cls += [c] * len(own)
-            n += [size] * len(own)
-            tokens.append(own.astype(np.int64))
-        if cls:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(cls, pa.int64()), pa.array(n, pa.int64())], names=["token", "cls", "n"])
+def _probes(most: int):
+    """token, cls and n of the first ``most`` tokens of each prefix."""
+
+    def run(batches):
+        for batch in _sliced(batches):
+            sets = [_tokens(x)[:most] for x in batch.column(2).to_pylist()]
+            if sets:
+                times = [len(x) for x in sets]
+                columns = (np.concatenate(sets).astype(np.int64), np.repeat(np.asarray(batch.column(0)), times), np.repeat(np.asarray(batch.column(1)), times))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "cls", "n"])
+
+    return run
 
 
 def prefix_plan(tokens: np.ndarray, n: int, heavy: np.ndarray) -> tuple[int, int, np.ndarray]:
@@ -225,122 +222,235 @@ def prefix_plan(tokens: np.ndarray, n: int, heavy: np.ndarray) -> tuple[int, int
     return len(tokens), 0, light
 
 
-def _entries(heavy, dense: bool):
-    """Light tokens of planned prefixes; with dense, heavy kept tokens of sets without a plan.
+def _kept(marks):
+    """token, cls, n and pos of every kept prefix token that is marked (None: of all)."""
+
+    def run(batches):
+        for batch in _sliced(batches):
+            sets = [_tokens(x) for x in batch.column(2).to_pylist()]
+            times = [len(x) for x in sets]
+            columns = [np.concatenate(sets), np.repeat(np.asarray(batch.column(0)), times), np.repeat(np.asarray(batch.column(1)), times), np.concatenate([np.arange(t, dtype=np.int32) for t in times])]
+            if marks is not None:
+                at = columns[0] & np.uint64(8 * len(marks.value) - 1)
+                use = marks.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+                columns = [c[use] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), *(pa.array(c) for c in columns[1:])], names=["token", "cls", "n", "pos"])
+
+    return run
+
+
+def _page(rows: pa.Table) -> pa.Table:
+    bits = np.zeros(PAGE, np.uint8)
+    bits[np.asarray(rows.column("slot")) % PAGE] = 1
+    return pa.table({"page": rows.column("page").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
+
+
+def marked(tokens: DataFrame):
+    """Broadcast bit map of the low bits of the tokens, at most MARKS bits; None if they are too many for it to tell."""
+    n = tokens.count()
+    if n > MARKS // 2:
+        return None
+    size = min(MARKS, max(PAGE, 1 << (16 * n).bit_length()))
+    slots = tokens.select((F.col("token").bitwiseAND(F.lit(size - 1))).alias("slot")).distinct().withColumn("page", F.expr(f"slot div {PAGE}"))
+    found = np.zeros((size // PAGE, PAGE // 8), np.uint8)
+    for r in slots.groupBy("page").applyInArrow(_page, "page long, bits binary").collect():  # at most MARKS bits
+        found[r.page] = np.frombuffer(r.bits, np.uint8)
+    return tokens.sparkSession.sparkContext.broadcast(found.ravel())
 
-    info packs a set's size with the matches it requires, or, with dense, with its
-    share of heavy tokens (in thousandths) and the number of them that count: all
-    but the most frequent of what kept prefixes share.
+
+def _planned(most: int):
+    """Light postings of planned prefixes with the matches required; heavy ones (e = 0) of sets without a plan.
+
+    Of a dense set's heavy tokens all but the most frequent of what kept prefixes
+    share are posted: the rest of the shared ones must be among them.
     """
 
     def run(batches):
-        table = heavy.value
-        for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for c, size, data, comp in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                tokens = _tokens(data)
-                length, e, light = prefix_plan(tokens, size, table)
-                if dense and e:
-                    continue
-                own = tokens[~light] if dense else tokens[:length][light[:length]]
-                info = (((size << 10) | len(own) * 1000 // len(tokens)) << 24) | (len(own) - matches_kept(size) + 1) if dense else (size << 24) | (e or 1)
-                out[0].append(own.astype(np.int64))
-                out[1].extend([c] * len(own))
-                out[2].extend([info] * len(own))
-                out[3].extend([comp] * len(own))
+        for batch in _sliced(batches):
+            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            for cls, n, shared in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                pos, token, df = (np.array([x[k] for x in shared], np.int64) for k in ("pos", "token", "df"))
+                heavy = df > most
+                places = np.arange(longest_prefix(n), dtype=np.uint64)
+                length, e, _ = prefix_plan(places, n, np.sort(pos[heavy]).astype(np.uint64))
+                light = np.flatnonzero(~heavy & (pos < length))
+                rare = np.lexsort((token, df))
+                rare = rare[heavy[rare]][: max(0, int(heavy.sum()) - matches_kept(n) + 1)] if not e else rare[:0]
+                own = np.concatenate([light, rare])
+                out[0].append(token[own])
+                out[1].extend([cls] * len(own))
+                out[2].extend([n] * len(own))
+                out[3].append(df[own])
+                out[4].extend([e or 1] * len(light) + [0] * len(rare))
             if out[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), *(pa.array(x, pa.int64()) for x in out[1:])], names=["token", "cls", "info", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(np.concatenate(out[3])), pa.array(out[4], pa.int64())], names=["token", "cls", "n", "df", "e"])
 
     return run
 
 
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every x with every y, sets of distinct tokens.
+
+    Tokens in many of both go through matrix products, the others pair by pair.
+    """
+    out = np.zeros((len(x), len(y)))
+    names, column = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    rows_x, rows_y = np.repeat(np.arange(len(x)), [len(t) for t in x]), np.repeat(np.arange(len(y)), [len(t) for t in y])
+    at_x, at_y = column[: len(rows_x)], column[len(rows_x) :]
+    in_x, in_y = np.bincount(at_x, minlength=len(names)), np.bincount(at_y, minlength=len(names))
+    pairs = in_x * in_y
+    many = pairs > max(16, len(x) * len(y) // 64)
+    few = (pairs > 0) & ~many
+    number = np.cumsum(many) - 1
+    keep_x, keep_y = many[at_x], many[at_y]
+    cx, rx, cy, ry = number[at_x[keep_x]], rows_x[keep_x], number[at_y[keep_y]], rows_y[keep_y]
+    for first in range(0, int(many.sum()), 4096):
+        a, b = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+        m, k = (cx >= first) & (cx < first + 4096), (cy >= first) & (cy < first + 4096)
+        a[rx[m], cx[m] - first] = 1
+        b[ry[k], cy[k] - first] = 1
+        out += a @ b.T
+    keep_x, keep_y = few[at_x], few[at_y]
+    cx, rx, cy, ry = at_x[keep_x], rows_x[keep_x], at_y[keep_y], rows_y[keep_y]
+    order = np.argsort(cy, kind="stable")
+    cy, ry = cy[order], ry[order]
+    step = max(1, (4 << 20) // max(16, len(x) * len(y) // 64))
+    for first in range(0, len(cx), step):
+        c, r = cx[first : first + step], rx[first : first + step]
+        low, n = np.searchsorted(cy, c), in_y[c]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(np.repeat(r, n) * len(y) + ry[np.repeat(low, n) + inside], minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _block_links(rows: pa.Table) -> pa.Table:
+    """Of two blocks, links that join components; no more than they have sets."""
+    block, cls, comp, n = (np.asarray(rows.column(c)) for c in ("block", "cls", "comp", "n"))
+    tokens, up, found = [_tokens(t) for t in rows.column("tokens").to_pylist()], {}, []
+
+    def root(c):
+        while up.get(c, c) != c:
+            up[c] = c = up.get(up[c], up[c])
+        return c
+
+    xs, ys = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    both = common_counts([tokens[i] for i in xs], [tokens[i] for i in ys])
+    linked = (100 * both >= 80 * (n[xs][:, None] + n[ys][None, :] - both)) & (comp[xs][:, None] != comp[ys][None, :])
+    for i in np.flatnonzero(linked.any(axis=1)).tolist():
+        partners = ys[linked[i]]
+        for j in partners[np.unique(comp[partners], return_index=True)[1]].tolist():
+            a, b = root(int(comp[xs[i]])), root(int(comp[j]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                found.append((int(cls[xs[i]]), int(cls[j])))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def distinctly_named(profiles: DataFrame) -> DataFrame:
+    """profiles, with different sets that share a name (cls) named anew by their second one."""
+    clash = profiles.where("cls is not null").select("cls", "second").distinct().groupBy("cls").agg(F.count("*").alias("names")).where("names > 1").select("cls")
+    clash = materialise(clash, "jaccard-clash")
+    if not clash.count():
+        return profiles
+    found = profiles.join(clash.withColumn("clash", F.lit(True)), "cls", "left")
+    return found.withColumn("cls", F.when(F.col("clash"), F.xxhash64("cls", "second")).otherwise(F.col("cls"))).drop("clash")
+
+
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.spark = docs.sparkSession
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        profiles, path = materialise_at(self.docs.mapInArrow(_profiles, "doc_id long, n long, cls long, prefix binary"), "jaccard-profiles")
-        self.rows = materialise(profiles.select("doc_id", "n", "cls"), "jaccard-rows")
-        self.classes = materialise(profiles.where("prefix is not null").select("cls", "n", "prefix").dropDuplicates(["cls"]), "jaccard-classes")
-        drop_table(self.spark, path)
+        given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        profiles = materialise(given.mapInArrow(_profiles, "doc_id long, n long, cls long, second long, tokens binary"), "jaccard-profiles", "lz4")
+        profiles = distinctly_named(profiles)
+        self.rows = profiles.select("doc_id", "n", "cls")
+        self.sets = profiles.where("tokens is not null").select("cls", "tokens")
+        kept = F.expr(f"substring(tokens, 1, {BITS // 8} * cast(least(n, n - (4 * n + 4) div 5 + n div 10 + 4) as int))")
+        self.classes = materialise(profiles.where("tokens is not null").select("cls", "n", kept.alias("prefix")).dropDuplicates(["cls"]), "jaccard-classes", "lz4")
         self.components = None
 
-    def verify(self, pairs: DataFrame) -> bool:
-        """Joins the components of the pairs (a, b) that pass; sets are built again from the texts."""
-        pairs, path = materialise_at(pairs.select("a", "b").distinct(), "jaccard-pairs")
-        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    def sets_of(self, wanted: DataFrame) -> tuple[DataFrame, str] | tuple[None, None]:
+        """The sets of the classes ``wanted`` (cls), once each, and where they lie; None if there are none."""
         n = wanted.count()
         if not n:
-            drop_table(self.spark, path)
-            return False
-        if n <= WANTED_BOUND:
-            ids = np.sort(np.asarray(wanted.toArrow().column(0)))
-            sets = self.docs.select("text").mapInArrow(_sets_of(self.spark.sparkContext.broadcast(ids)), "cls long, tokens binary").dropDuplicates(["cls"])
-        else:
-            sets = self.docs.select("text").mapInArrow(_sets_of(None), "cls long, tokens binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
-        sets, sets_path = materialise_at(sets, "jaccard-sets")
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
-        found = materialise(both.select("a", "b", "x", "y").mapInArrow(_links, "a long, b long"), "jaccard-links")
-        drop_table(self.spark, sets_path)
-        drop_table(self.spark, path)
+            return None, None
+        found = self.sets.join(F.broadcast(wanted) if n <= WANTED_BOUND else wanted, "cls", "left_semi").dropDuplicates(["cls"])
+        return materialise_at(found, "jaccard-sets", "lz4")
+
+    def joined(self, links: DataFrame, name: str) -> None:
+        """Components with the links (a, b)."""
         if self.components is not None:
-            found = found.unionByName(self.components.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        self.components = materialise(connected_components(found), "jaccard-components")
-        return True
+            links = links.unionByName(self.components.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.components = materialise(connected_components(links), f"jaccard-components-{name}")
+
+    def verify(self, pairs: DataFrame, name: str) -> None:
+        """Joins the components of the pairs (a, b) that pass."""
+        pairs, path = materialise_at(pairs.select("a", "b").distinct(), "jaccard-pairs")
+        sets, sets_path = self.sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+        if sets is not None:
+            both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
+            found, found_path = materialise_at(both.select("a", "b", "x", "y").mapInArrow(_links, "a long, b long"), "jaccard-links")
+            drop_table(self.spark, sets_path)
+            self.joined(found, name)
+            drop_table(self.spark, found_path)
+        drop_table(self.spark, path)
 
-    def placed(self) -> DataFrame:
-        """Classes with their component so far."""
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows with the component so far of their class."""
         if self.components is None:
-            return self.classes.select("cls", "n", "prefix", F.col("cls").alias("comp"))
+            return rows.withColumn("comp", F.col("cls"))
         known = self.components.select(F.col("node").alias("cls"), "component")
         if self.components.count() <= WANTED_BOUND:
             known = F.broadcast(known)
-        return self.classes.join(known, "cls", "left").select("cls", "n", "prefix", F.coalesce("component", "cls").alias("comp"))
-
-    def lead(self, lists: DataFrame, leader: Column, several: int = 1) -> DataFrame:
-        """Each list's leaders (one of each hash bucket) with every member of another component and fitting size."""
-        leaders = lists.groupBy("token", F.pmod(F.xxhash64("cls"), F.lit(several)).alias("bucket")).agg(leader.alias("l")).select("token", "l")
-        return lists.join(leaders, "token").where("cls <> l.cls and comp <> l.comp and 5 * least(n, l.n) >= 4 * greatest(n, l.n)").select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b"))
+        return rows.join(known, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
 
     def run(self) -> None:
-        probes = self.classes.select("cls", "n", "prefix").mapInArrow(_probes, "token long, cls long, n long").withColumn("comp", F.col("cls"))
-        self.verify(self.lead(probes, F.min(F.struct("cls", "n", "comp"))))
-        # Lengths of all lists, and the tokens whose lists are too long to join.
-        tokens = self.classes.select(F.col("prefix")).mapInArrow(_all_tokens, "token long")
-        counts = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-counts")
-        tally = {r.k: r.n for r in counts.groupBy(F.floor(F.log2("df")).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()}  # at most 64 rows
-        most = LIST
-        while sum(n for k, n in tally.items() if 2 << k > most) > HEAVY_BOUND:
-            most *= 2
-        heavy = np.sort(np.asarray(counts.where(F.col("df") > most).select("token").toArrow().column(0)).astype(np.uint64))
-        heavy_set = self.spark.sparkContext.broadcast(heavy)
-        placed = self.placed().select("cls", "n", "prefix", "comp")
-        ddl = "token long, cls long, info long, comp long"
-        light = placed.mapInArrow(_entries(heavy_set, False), ddl).join(counts.where(F.col("df") <= most).select("token"), "token").selectExpr("token", "cls", "comp", "shiftright(info, 24) n", "info % 16777216 e")
+        # Leaders: the least class in a token's list meets every member of fitting size.
+        probes = self.classes.select("cls", "n", "prefix").mapInArrow(_probes(PROBES), "token long, cls long, n long")
+        leaders = probes.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("l"))
+        led = probes.join(leaders, "token").where("cls <> l.cls and 5 * least(n, l.n) >= 4 * greatest(n, l.n)")
+        self.verify(led.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b")), "led")
+        # The tokens that kept prefixes share, with the lengths of their lists, and each set's plan.
+        kept = lambda marks: self.classes.select("cls", "n", "prefix").mapInArrow(_kept(marks), "token long, cls long, n long, pos int")
+        counts, counts_path = materialise_at(kept(None).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-counts")
+        shared, shared_path = materialise_at(kept(marked(counts)).join(counts, "token"), "jaccard-shared")
+        drop_table(self.spark, counts_path)
+        of_class = shared.groupBy("cls").agg(F.first("n").alias("n"), F.collect_list(F.struct("pos", "token", "df")).alias("shared"))
+        plan, plan_path = materialise_at(of_class.mapInArrow(_planned(LIST), "token long, cls long, n long, df long, e long"), "jaccard-plan")
+        drop_table(self.spark, shared_path)
+        light = self.placed(plan.where("e > 0").select("token", "cls", "n", "e"))
         a, b = (light.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "e", "comp")]) for s in "ab")
         met = a.join(b, "token").where("cls_a < cls_b and comp_a <> comp_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
         enough = met.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("e_a", "e_b")).alias("e")).where("m >= e")
-        self.verify(enough)
-        if not len(heavy):
-            return
-        # Sets with too many heavy tokens for any kept prefix meet in the rarest of them.
-        dense = self.placed().select("cls", "n", "prefix", "comp").mapInArrow(_entries(heavy_set, True), ddl)
-        by_length = Window.partitionBy("cls").orderBy("df", "token")
-        dense = dense.join(counts.where(F.col("df") > most), "token").withColumn("k", F.row_number().over(by_length)).where("k <= info % 16777216")
-        dense = materialise(dense.selectExpr("token", "cls", "shiftright(info, 34) n", "shiftright(info, 24) % 1024 h"), "jaccard-dense")
-        for leaders in (True, False):
-            # Copies lose heavy tokens by their edits; the member with most of them is nearest to what was copied.
-            lists = dense.withColumn("comp", F.col("cls"))
-            if self.components is not None:
-                known = self.components.select(F.col("node").alias("cls"), "component")
-                lists = dense.join(known, "cls", "left").select("token", "cls", "n", "h", F.coalesce("component", "cls").alias("comp"))
-            open_ = lists.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("token")
-            lists = lists.join(open_, "token", "left_semi")
-            if leaders:
-                pairs = self.lead(lists, F.max(F.struct("h", "cls", "n", "comp")), LEADERS)
-            else:
-                x, y = (lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "comp")]) for s in "xy")
-                pairs = x.join(y, "token").where("cls_x < cls_y and comp_x <> comp_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)").select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
-            self.verify(pairs)
+        self.verify(enough, "light")
+        self.blocks(plan.where("e = 0").select("token", "cls", "n", "df"))
+        drop_table(self.spark, plan_path)
+
+    def blocks(self, dense: DataFrame) -> None:
+        """Joins what is linked in long lists, block by block; no pair is ever a row."""
+        lists = self.placed(dense)
+        open_ = lists.groupBy("token").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("token")
+        lists, lists_path = materialise_at(lists.join(open_, "token", "left_semi"), "jaccard-lists")
+        # Sets that share their commonest token lie beside each other, by size.
+        members = lists.groupBy("cls").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max(F.struct("df", "token")).alias("key")).select("cls", "n", "comp", "key.df", "key.token")
+        members, members_path = summed_before(members, ["df", "token", "n", "cls"], F.col("n") + SET_WEIGHT, "weight")
+        members = members.select("cls", "n", "comp", F.expr(f"weight div {BLOCK_WEIGHT}").alias("block"))
+        sets, sets_path = self.sets_of(members.select("cls"))
+        if sets is not None:
+            around = members.groupBy("block").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("n", "comp") for f in (F.min, F.max)])
+            met = lists.select("token", "cls").join(members.select("cls", "block"), "cls").groupBy("token").agg(F.sort_array(F.collect_set("block")).alias("met")).select("met").distinct()
+            each = F.expr("flatten(transform(met, (a, i) -> transform(slice(met, i + 1, size(met) - i), b -> struct(a as a, b as b))))")
+            pairs = met.select(F.explode(each).alias("p")).select("p.*").distinct()
+            x, y = (around.select(*[F.col(c).alias(f"{s}_{c}") for c in around.columns]) for s in "xy")
+            pairs = pairs.join(x, F.col("a") == F.col("x_block")).join(y, F.col("b") == F.col("y_block"))
+            pairs = pairs.where("5 * x_n_max >= 4 * y_n_min and 5 * y_n_max >= 4 * x_n_min and least(x_comp_min, y_comp_min) <> greatest(x_comp_max, y_comp_max)").select("a", "b")
+            sent = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+            full = members.join(sets, "cls").join(sent, "block").select("a", "b", "block", "cls", "comp", "n", "tokens")
+            found, found_path = materialise_at(full.groupBy("a", "b").applyInArrow(_block_links, "a long, b long"), "jaccard-links")
+            drop_table(self.spark, sets_path)
+            self.joined(found, "blocks")
+            drop_table(self.spark, found_path)
+        drop_table(self.spark, members_path)
+        drop_table(self.spark, lists_path)
 
     def result(self) -> DataFrame:
         keyed = self.rows.withColumn("grp", F.col("cls"))
@@ -351,13 +461,6 @@ class _Join:
         return keyed.join(least, "grp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
 
 
-def _all_tokens(batches):
-    for batch in batches:
-        got = [_tokens(d) for d in batch.column(0).to_pylist()]
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).astype(np.int64))], names=["token"])
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links) of every row.
 
@@ -367,7 +470,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     has an empty set and links with nothing; a row without id gets the least id of
     its group, if any. An empty table gives no rows; other columns are not read.
 
-    1. Sets are reduced to their prefix in hash order, one per class.
+    1. Texts are read once; each class's set is kept, its prefix in hash order too.
     2. The first PROBES tokens of a prefix name leaders (the least class in a
        token's list); pairs with leaders are verified, so that large groups of near
        copies become one component without all their pairs.
@@ -375,13 +478,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        lists. Each set's prefix is lengthened until the matches it requires exceed
        its heavy tokens; light lists are joined, only between components, and pairs
        with enough matches are verified.
-    4. Sets that no kept prefix serves meet in the rarest of their heavy tokens:
-       kept prefixes of similar sets share several tokens, so all but the most
-       frequent ones suffice. Leaders first, then what remains between components.
+    4. Sets that no kept prefix serves (dense) meet in the rarest of their heavy
+       tokens: kept prefixes of similar sets share several tokens, so all but the
+       most frequent ones suffice. Such lists are never joined row by row: dense
+       sets with an open list (one with several components) lie in blocks, sets of
+       one commonest token beside each other by size; two blocks that share an open
+       token and hold fitting sizes of different components are compared whole in
+       one task, which returns only links that join components.
 
     A similar pair thus either is in one component already or shares enough light
-    tokens, or a heavy list, and is verified with whole sets; none is lost.
+    tokens, or a heavy list, and is verified with whole sets; none is lost. Memory
+    of a task is two blocks; the work of step 4 is quadratic in those dense sets
+    that share tokens and are not yet of one component.
     """
-    join = _Join(docs, id_col, text_col)
-    join.run()
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch="4m"):
+        join = _Join(docs, id_col, text_col)
+        join.run()
     return join.result()
