@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import array
 import functools
+import json
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -12,12 +15,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinweave.llm.pieces import distinct
 from twinweave.runtime import materialise
 
 END_ID = 1
-#: White-space-free parts and words remembered per worker, in each of two generations.
-PARTS = 150_000
-WORDS = 400_000
+#: White-space-free parts, and ids of distinct pieces, remembered per worker.
+PARTS = 100_000
+IDS = 4 << 20
+#: Characters handled at once; a longer text is cut at white space.
+GROUP = 1 << 20
+#: Partitions whose offsets are broadcast: at most 16 KB each.
+PARTITION_BOUND = 2_000
 #: Third parts tried for each first part of a combination.
 THIRDS = 8
 
@@ -44,39 +52,171 @@ class Recent(dict):
         return found
 
 
-class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
+_NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NOT_PLAIN, SPACE, LETTER, DIGIT, OTHER = range(5)
+#: Ranges in which every character folds alone, to one character, and is its own composed form.
+PLAIN = ((0x21, 0x7F), (0xA1, 0xA8), (0xA9, 0xAA), (0xAB, 0xAF), (0xBF, 0x130), (0x131, 0x1C4), (0x1CD, 0x1F1), (0x1F4, 0x250), (0x400, 0x460), (0x2010, 0x2028), (0x2030, 0x203F), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0x9FA6))
+
+
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class and folded form of every code point; what isn't plain is left to the library."""
+    kind, fold = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for low, high in PLAIN:
+        for i in range(low, high):
+            kind[i] = {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(i))[0], OTHER)
+            fold[i] = ord(chr(i).lower())
+    kind[[0x20, 0xA0, *range(0x09, 0x0E)]] = SPACE
+    return kind, fold
+
+
+def piece_bounds(points: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the split's pieces in folded plain text that begins and ends in white space."""
+    before = np.concatenate([[SPACE], kind[:-1]])
+    starts = (kind == DIGIT) | (kind >= LETTER) & (kind != before)
+    # An apostrophe that opens a piece takes the letters after it that make a contraction.
+    quotes = np.flatnonzero((points == ord("'")) & (before != OTHER))
+    if len(quotes):
+        at = np.minimum(quotes[:, None] + (1, 2), len(points) - 1)
+        one, two = points[at[:, 0]], points[at[:, 1]]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        pair = np.zeros(len(quotes), bool)
+        for a, b in ("re", "ve", "ll"):
+            pair |= (one == ord(a)) & (two == ord(b))
+        found = short | pair
+        opened, after = quotes[found] + 1, quotes[found] + np.where(short[found], 2, 3)
+        starts[opened] = False
+        starts[after[kind[after] >= LETTER]] = True
+    begin = np.flatnonzero(starts)
+    ends = np.flatnonzero((kind != SPACE) & (np.concatenate([kind[1:], [SPACE]]) == SPACE)) + 1
+    stop = np.empty(len(begin), np.int64)
+    stop[:-1] = begin[1:]
+    last = np.searchsorted(begin, ends) - 1
+    stop[last] = ends
+    return begin, stop
+
 
-    The file's split never crosses white space, so a text is the run of its
-    white-space-free parts; what the library gives for a part is remembered.
-    Parts in Latin letters are folded and split first, so that words are shared
-    between parts; all others go to the library as they are.
+class Encoder:
+    """Token ids of whole texts, as little-endian unsigned 32-bit numbers.
+
+    The file's split never crosses white space, so a text is the run of its pieces.
+    Texts of plain characters (PLAIN) are folded and split in numpy, all of a group
+    at once; each distinct piece goes to the library once and its ids are
+    remembered. Other texts are taken by white-space-free parts, which go to the
+    library as they are. A file with another normalizer or split, or with ids that
+    tails can't hold, is refused.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"] if spec["pre_tokenizer"]["type"] == "Sequence" else []
+        if (spec["normalizer"] or {}).get("normalizers") != _NORMALISED or [(x["pattern"], x["behavior"], x["invert"]) for x in steps] != [({"Regex": _SPLIT}, "Removed", True)]:
+            raise ValueError("only files with the known folding and split are encoded")
+        if max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) > 0xFFFF:
+            raise ValueError("token ids above 65535 don't fit the tails")
         self.library = Tokenizer.from_file(path)
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.plain = regex.compile(r"[!-~À-ÖØ-öø-ɏ¿¡«»]*").fullmatch
         self.odd = re.compile("[\x1c-\x1f]").search
-        self.words = Recent(self.ask, WORDS)
-        self.parts = Recent(self.part, PARTS)
+        self.parts = Recent(self.ask, PARTS)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.lengths, self.flat = array.array("q"), array.array("H")
 
     def ask(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def part(self, part: str) -> bytes:
-        if not self.plain(part) or "<|" in part or "İ" in part:
-            return self.ask(part)
-        return b"".join(map(self.words.__getitem__, self.split(part.lower())))
-
     def encode(self, text: str) -> bytes:
+        """Any text, by parts."""
         if self.odd(text):  # white space to Python, not to the file's pattern
             return self.ask(text)
         return b"".join(map(self.parts.__getitem__, text.split()))
 
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of distinct pieces in the table of remembered ids."""
+        if len(self.flat) > IDS:
+            self.clear()
+        out = np.empty(len(pieces), np.int64)
+        for i, piece in enumerate(pieces):
+            k = self.number.get(piece)
+            if k is None:
+                k = self.number[piece] = len(self.lengths)
+                ids = self.library.encode(piece, add_special_tokens=False).ids
+                self.lengths.append(len(ids))
+                self.flat.extend(ids)
+            out[i] = k
+        return out
+
+    def plain(self, texts: list[str], points: np.ndarray, kind: np.ndarray, joined: str) -> list[bytes]:
+        """Texts of plain characters; ``joined`` has a line feed before, between and after them."""
+        points = _tables()[1][points]
+        begin, stop = piece_bounds(points, kind)
+        if not len(begin):
+            return [b""] * len(texts)
+        first, same = distinct(points, begin, stop)
+        lowered = [joined[a:b].lower() for a, b in zip(begin[first].tolist(), stop[first].tolist(), strict=True)]
+        which = self.numbers(lowered)[same]
+        lengths = np.frombuffer(self.lengths, np.int64)
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        n = lengths[which]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        ids = np.frombuffer(self.flat, np.uint16)[np.arange(total) - np.repeat(ends - n - offsets[which], n)].astype("<u4")
+        del lengths
+        edges = np.cumsum([1] + [len(t) + 1 for t in texts])
+        cuts = np.concatenate([[0], ends])[np.searchsorted(begin, edges)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def group(self, texts: list[str]) -> list[bytes]:
+        """Ids of a few texts of together about GROUP characters."""
+        joined = "\n".join(["", *texts, ""])
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = _tables()[0][points]
+        edges = np.cumsum([1] + [len(t) + 1 for t in texts])
+        bad = np.add.reduceat(kind == NOT_PLAIN, edges[:-1], dtype=np.int64) > 0 if texts else np.zeros(0, bool)
+        slow = {i: self.encode(t) for i, t in enumerate(texts) if bad[i] or "<|" in t}
+        if not slow:
+            return self.plain(texts, points, kind, joined)
+        rest = [t for i, t in enumerate(texts) if i not in slow]
+        found = iter(self.group(rest) if rest else [])
+        return [slow[i] if i in slow else next(found) for i in range(len(texts))]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, in groups; a long text is cut at white space."""
+        pieces, owner = [], []
+        for i, text in enumerate(texts):
+            at = 0
+            while len(text) - at > GROUP and not self.odd(text):
+                cut = max(text.rfind(" ", at, at + GROUP), text.rfind("\n", at, at + GROUP))
+                if cut <= at:
+                    m = re.compile(r"[ \n]").search(text, at + 1)
+                    cut = m.start() if m else len(text)
+                if cut >= len(text):
+                    break
+                pieces.append(text[at:cut])
+                owner.append(i)
+                at = cut
+            pieces.append(text[at:] if at else text)
+            owner.append(i)
+        out, run, size = [], [], 0
+        for t in pieces:
+            if run and size + len(t) > GROUP:
+                out += self.group(run)
+                run, size = [], 0
+            run.append(t)
+            size += len(t) + 1
+        out += self.group(run) if run else []
+        if len(pieces) == len(texts):
+            return out
+        joined: list[list[bytes]] = [[] for _ in texts]
+        for i, ids in zip(owner, out, strict=True):
+            joined[i].append(ids)
+        return [b"".join(x) for x in joined]
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
@@ -91,12 +231,13 @@ _TAILS = pa.schema(
 
 def _tokenised(path: str, window: int):
     def run(batches):
-        encode, pid, seen, windows = encoder(path).encode, TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
+        encode, pid, seen, windows = encoder(path).encode_all, TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
         last = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + last
+            encoded = encode([t or "" for t in batch.column(1).to_pylist()])
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids += last
                 n = len(ids) // 4
                 whole, bin_ = n // window, n % window
                 crcs = [zlib.crc32(ids[4 * window * i : 4 * window * (i + 1)]) for i in range(whole)]
@@ -244,7 +385,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, id_col: str = "doc
     lengths that fill a window get repeat counts by non-negative least squares,
     which are rounded and taken as far as the histogram allows; the rest is packed
     greedily, longest first, in one line that is cut at every window, and what
-    remains at its end becomes sequences whose lengths are powers of two. A tail's
+    remains at its end becomes sequences whose lengths are powers of two. Of triples,
+    THIRDS second lengths are tried for each first one, and the solver takes a fixed
+    number of steps: both bound the plan, not what is packed. A tail's
     place follows from its length and its rank among equal lengths, so only ranks
     are exchanged: counts by partition and length.
     """
@@ -257,5 +400,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, id_col: str = "doc
         histogram[r.bin] = r.n
     before = Window.partitionBy("bin").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("pid", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = tails.join(offsets, ["pid", "bin"]).withColumn("rank", F.col("first") + F.col("local_rank"))
+    # A row per partition of the tails, at most ``window`` numbers each: broadcast up to PARTITION_BOUND, else joined.
+    offsets = offsets.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("bin", "first"))).alias("first"))
+    small = counts.select("pid").distinct().count() <= PARTITION_BOUND
+    ranked = tails.join(F.broadcast(offsets) if small else offsets.hint("merge"), "pid").withColumn("rank", F.element_at("first", F.col("bin")) + F.col("local_rank"))
     return ranked.select("pid", "windows_before", "doc_id", "doc_tokens", "crcs", "bin", "rank", "tail").mapInArrow(_pieces(Plan(histogram, window), window), _PIECES)
