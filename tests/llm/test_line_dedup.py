@@ -9,11 +9,12 @@ WS = " \t\n\x0b\x0c\r"
 
 
 def brute(rows, min_words):
+    """All lines inside later copies of any run of at least min_words words."""
     docs = {}
     for r in rows:
         docs.setdefault((r[0] is None, r[0] or 0, r[1]), r)
     lines = {k: (r[1] or "").split("\n") if r[1] is not None else [] for k, r in docs.items()}
-    runs = defaultdict(list)
+    runs, gone = defaultdict(list), defaultdict(set)
     for k in sorted(docs, key=lambda k: (k[0], k[1], k[2] or "")):
         filled = [(i, x.strip(WS)) for i, x in enumerate(lines[k]) if x.strip(WS)]
         for p in range(len(filled)):
@@ -22,8 +23,6 @@ def brute(rows, min_words):
                 words += len([w for w in filled[q][1].translate(str.maketrans(WS, " " * 6)).split(" ") if w])
                 if words >= min_words:
                     runs[tuple(x for _, x in filled[p : q + 1])].append((k, [i for i, _ in filled[p : q + 1]]))
-                    break
-    gone = defaultdict(set)
     for places in runs.values():
         for k, own in places[1:]:
             gone[k].update(own)
@@ -68,26 +67,11 @@ def test_kept_columns_and_empty(spark):
     assert line_dedup(documents(spark, [])).collect() == []
 
 
-def brute_whole(rows, min_words):
-    """All lines inside later copies of any run of at least min_words words."""
-    runs, gone = defaultdict(list), defaultdict(set)
-    for i, text in rows:
-        filled = [(k, x.strip(WS)) for k, x in enumerate((text or "").split("\n")) if x.strip(WS)]
-        for p in range(len(filled)):
-            for q in range(p, len(filled)):
-                if sum(len(x.split()) for _, x in filled[p : q + 1]) >= min_words:
-                    runs[tuple(x for _, x in filled[p : q + 1])].append((i, [k for k, _ in filled[p : q + 1]]))
-    for places in runs.values():
-        for i, own in places[1:]:
-            gone[i].update(own)
-    return {i: (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) for i, t in rows}
-
-
 def test_whole_runs_leave_no_last_lines(spark):
     words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     two, three = [words("a", 30), words("b", 20)], [words("c", 30), words("d", 10), words("e", 10)]
     rows = [(i, "\n".join([f"first {i}", *two, f"middle {i}", *three, f"last {i}"])) for i in range(5)]
-    got = {r.doc_id: r for r in line_dedup(documents(spark, rows), whole=True).collect()}
+    got = {r.doc_id: r for r in line_dedup(documents(spark, rows)).collect()}
     assert got[0].lines_removed == 0
     assert all(got[i].text == f"first {i}\nmiddle {i}\nlast {i}" for i in range(1, 5))
 
@@ -100,8 +84,18 @@ def test_whole_runs_leave_no_last_lines(spark):
         rows.append((i, "\n".join(own + pool[:1] * (6 if i % 8 == 0 else 0))))
     rows += [(200, None), (201, "")]
     for min_words in (1, 6, 13, 25):
-        got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup(documents(spark, rows).repartition(5), min_words, whole=True).collect()}
-        assert got == brute_whole(rows, min_words), min_words
+        got = Counter(tuple(r) for r in line_dedup(documents(spark, rows).repartition(5), min_words).collect())
+        assert got == brute(rows, min_words), min_words
+
+
+def test_long_runs_and_runs_inside_each_other(spark):
+    """Copies far longer than the prefix that is sought, nested and overlapping ones, and one line again and again."""
+    rng = random.Random(11)
+    long = [f"line {rng.randint(0, 10**6)} of the long one" for _ in range(150)]
+    rows = [(1, "\n".join(long)), (2, "\n".join(["own", *long[20:120], "end"])), (3, "\n".join(long[100:] + long[:30])), (4, "\n".join(long[60:64])), (5, "\n".join(["same line here"] * 40)), (6, "\n".join(["same line here"] * 70 + long[:3]))]
+    for min_words in (3, 25, 60):
+        got = Counter(tuple(r) for r in line_dedup(documents(spark, rows), min_words).collect())
+        assert got == brute(rows, min_words), min_words
 
 
 def test_pipeline_stage_takes_whole_runs(spark):

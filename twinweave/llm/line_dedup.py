@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.runtime import drop_table, materialise, materialise_at
@@ -11,6 +11,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words that a repeated run of lines has at least.
 MIN_WORDS = 25
 
+#: A document: two hashes of its id and text. A suffix: its document and the number of its first line.
+_DOC = ["k", "k2"]
+_PLACE = ["z", "o", "k", "k2", "p"]
+
 
 def ranked(keys: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct ``keys`` with an order-preserving ``rank``.
@@ -22,111 +26,132 @@ def ranked(keys: DataFrame, columns: list[str]) -> DataFrame:
     return materialise(ordered.withColumn("rank", F.monotonically_increasing_id()), "suffix-rank")
 
 
-def _ending(state: DataFrame, longest: int, level: int) -> DataFrame:
-    """The runs of ``b`` lines that end at a line, named by first line and interval."""
-    order, head, tail = Window.partitionBy("k").orderBy("p"), F.lit(None).cast("long"), F.lit(None).cast("long")
+def _following(column: str, n: int, order) -> Column:
+    """``column`` of the suffix n lines on, null if a line between occurs once only."""
+    return F.when(F.lead("p", n).over(order) == F.col("p") + n, F.lead(column, n).over(order)) if n else F.col(column)
+
 
-    def earlier(j: int, back: int):
-        return F.when(F.lag("p", back).over(order) == F.col("p") - back, F.lag(f"r{j}", back).over(order)) if back else F.col(f"r{j}")
+def suffix_ranks(first: DataFrame, levels: int) -> DataFrame:
+    """first (with p, r0) and r1, r2, ...: ranks of 2, 4, ... lines from the ranks of their halves."""
+    state, path = materialise_at(first, "suffix-0")
+    order = Window.partitionBy(*_DOC).orderBy("p")
+    for level in range(levels - 1):
+        halves = state.withColumn("second", _following(f"r{level}", 1 << level, order))
+        ranks = ranked(halves.where("second is not null").select(F.col(f"r{level}").alias("h1"), F.col("second").alias("h2")), ["h1", "h2"])
+        named = ranks.select(F.col("h1").alias(f"r{level}"), F.col("h2").alias("second"), F.col("rank").alias(f"r{level + 1}"))
+        following, following_path = materialise_at(halves.join(named, [f"r{level}", "second"], "left").drop("second"), f"suffix-{level + 1}")
+        drop_table(first.sparkSession, path)
+        state, path = following, following_path
+    return state
 
-    for j in range(level + 1):
-        for m in range(1 << j, min(2 << j, longest + 1)):
-            head = F.when(F.col("b") == m, earlier(j, m - 1)).otherwise(head)
-        tail = F.when((F.col("b") >= 1 << j) & (F.col("b") < 2 << j), earlier(j, (1 << j) - 1)).otherwise(tail)
-    found = state.withColumn("head", head).withColumn("tail", tail).where("b > 0 and head is not null and tail is not null")
-    return found.select("k", "doc_id", (F.col("p") - F.col("b") + 1).cast("int").alias("p"), F.col("b").alias("m"), "head", "tail")
 
+def _intervals(state: DataFrame, min_words: int, levels: int) -> DataFrame:
+    """The suffixes in intervals of the array whose common prefix has ``min_words`` words.
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    ``m`` lines reach them; an interval of m lines is named by the ranks of its
+    first and its last 2^j lines, 2^j <= m < 2^(j+1).
+    """
+    order, head, tail = Window.partitionBy(*_DOC).orderBy("p"), F.lit(None).cast("long"), F.lit(None).cast("long")
+    for j in range(levels):
+        head = F.when((F.col("m") >= 1 << j) & (F.col("m") < 2 << j), F.col(f"r{j}")).otherwise(head)
+        for m in range(1 << j, min(2 << j, min_words + 1)):
+            tail = F.when(F.col("m") == m, _following(f"r{j}", m - (1 << j), order)).otherwise(tail)
+    named = state.withColumn("head", head).withColumn("tail", tail).where(F.col("in_run") >= min_words)
+    named = materialise(named.where("head is not null and tail is not null").select(*_PLACE, "m", "head", "tail"), "suffix-runs")
+    open_ = materialise(named.groupBy("m", "head", "tail").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "suffix-intervals")
+    return named.join(open_, ["m", "head", "tail"], "left_semi").select(*_PLACE)
+
+
+def earlier_prefixes(starts: DataFrame, state: DataFrame, levels: int) -> DataFrame:
+    """starts with ``len``: lines of its longest common prefix with any earlier suffix, below 2^levels.
+
+    The suffixes that share len lines are an interval of the array. From the
+    longest step down, each suffix tries 2^j more lines: those that share them form
+    an interval inside, and all but its least member go on there. That member stands
+    for the interval at shorter steps, so every suffix meets an earlier one if any
+    shares the lines.
+    """
+    spark = starts.sparkSession
+    rows, path = materialise_at(starts.select(*_PLACE, F.lit(0).alias("len"), F.lit(-1).cast("long").alias("name"), *[F.col(c).alias(f"t_{c}") for c in _PLACE]), "suffix-lcp")
+    for j in range(levels - 1, -1, -1):
+        least = rows.where("len > 0").select("len", "name", *[f"t_{c}" for c in _PLACE]).distinct()
+        least = least.select(*[F.col(f"t_{c}").alias(c) for c in _PLACE], "len", "name", *[f"t_{c}" for c in _PLACE], F.lit(False).alias("own"))
+        members = rows.withColumn("own", F.lit(True)).unionByName(least).withColumn("q", F.col("p") + F.col("len"))
+        further = state.select(*_DOC, F.col("p").alias("q"), F.col(f"r{j}").alias("r"))
+        members, members_path = materialise_at(members.join(further, [*_DOC, "q"], "left"), "suffix-members")
+        inside = members.where("r is not null").groupBy("name", "r").agg(F.min(F.struct(*_PLACE)).alias("f"), F.count("*").alias("n")).where("n > 1")
+        inside, inside_path = materialise_at(inside.select("name", "r", "f", F.monotonically_increasing_id().alias("id")), "suffix-inside")
+        met = members.where("own").join(inside, ["name", "r"], "left")
+        goes = F.col("f").isNotNull() & (F.struct(*_PLACE) != F.col("f"))
+        met = met.withColumn("goes", F.coalesce(goes, F.lit(False)))
+        following, following_path = materialise_at(
+            met.select(
+                *_PLACE, (F.col("len") + F.when(F.col("goes"), 1 << j).otherwise(0)).alias("len"), F.when(F.col("goes"), F.col("id") * levels + j).otherwise(F.col("name")).alias("name"),
+                *[F.when(F.col("goes"), F.col(f"f.{c}")).otherwise(F.col(f"t_{c}")).alias(f"t_{c}") for c in _PLACE],
+            ), "suffix-lcp",
+        )
+        for p in (path, members_path, inside_path):
+            drop_table(spark, p)
+        rows, path = following, following_path
+    return rows.select(*_PLACE, "len").where("len > 0")
+
+
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row with later copies of repeated line runs deleted.
 
     Returns doc_id, text, lines_removed and the columns in ``keep``. Lines are
     parted by line feeds and compared without white space at their ends; blank
-    lines are stepped over and always stay. From each line, the run that first
-    reaches ``min_words`` words is looked up; of equal runs the one in the least
-    doc_id (null last), then least line, stays and the others' lines go. So the last
-    lines of a longer repeated run stay if they hold fewer than ``min_words``
-    words and the line before them closes a run by itself. With ``whole``, the
-    runs that first reach ``min_words`` backward from each line are looked up as
-    well. Both together cover every run of at least ``min_words`` words: a line of
-    it lies in the run that starts there, the one that ends there or the one from
-    the run's first line, and a later copy of the long run holds later copies of
-    these. So exactly the lines inside later copies of any such run go. Runs don't
-    cross documents. Rows alike in id and text are one document and stay alike. A
-    null text stays null with 0 removed; an empty table gives no rows.
+    lines are stepped over and always stay. A run of lines that holds at least
+    ``min_words`` words and occurs more than once stays where its doc_id (null
+    last), then its first line, is least; all lines inside its other copies go.
+    Runs don't cross documents, copies in one document may overlap. Rows alike in
+    id and text are one document and stay alike; rows without id come in order of a
+    hash. A null text stays null with 0 removed; an empty table gives no rows.
 
     Only lines that occur more than once take part. The suffix array over their
     ids is built by prefix doubling: ranks of 1, 2, 4, ... lines, each from the
-    ranks of two halves. Suffixes that share a run's lines form an interval of the
-    array (their longest common prefix is at least the run), named by the ranks of
-    two overlapping halves; its least member is the first copy. Ranks are given to
-    distinct keys only, so a very common line is one key, and documents are never
-    gathered beyond their own lines.
+    ranks of two halves. Intervals of the array whose common prefix reaches
+    ``min_words`` words hold all suffixes that open a repeated run. For each of
+    them, the longest common prefix with an earlier suffix is its maximal repeated
+    run, and that later copy goes. It is sought up to as many lines as can be needed
+    for ``min_words`` words: every line of a longer run lies in such a prefix of a
+    suffix further on, or of the run's first one, so the whole run goes.
+
+    Ranks and intervals are aggregated before they are joined, so a very common line
+    is one key on one side; documents are never gathered beyond their own lines.
+    Lines and documents are known by two 64-bit hashes.
     """
-    text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("k"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
-    exploded = base.select("k", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "s")).select("k", "doc_id", "line", F.regexp_replace("s", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("s"))
-    lines = exploded.select("k", "doc_id", "line", F.when(F.col("s") != "", F.xxhash64("s")).alias("id"), F.regexp_count("s", F.lit(WORD)).cast("long").alias("words"))
-    lines = materialise(lines.repartition("k").dropDuplicates(["k", "line"]), "line-ids")
-
-    repeated = lines.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    first_ranks = ranked(repeated, ["id"])
+    text, doc_id = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    base = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("k"), F.xxhash64(F.lit(1), doc_id, text).alias("k2"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
+    exploded = base.select(*_DOC, "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "s")).select(*_DOC, "doc_id", "line", F.regexp_replace("s", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("s"))
+    lines = exploded.select(*_DOC, "doc_id", "line", F.when(F.col("s") != "", F.xxhash64("s")).alias("id"), F.xxhash64(F.lit(1), "s").alias("id2"), F.regexp_count("s", F.lit(WORD)).cast("int").alias("words"))
+    lines = materialise(lines.repartition(*_DOC).dropDuplicates([*_DOC, "line"]), "line-ids")
+
+    levels = min_words.bit_length()  # 2^levels - 1 lines hold min_words words
     filled = lines.where("id is not null")
-    in_doc = Window.partitionBy("k").orderBy("line")
+    repeated = filled.groupBy("id", "id2").agg(F.count("*").alias("n")).where("n > 1").select("id", "id2")
+    in_doc = Window.partitionBy(*_DOC).orderBy("line")
     numbered = filled.withColumn("p", F.row_number().over(in_doc)).withColumn("before", F.coalesce(F.sum("words").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    reach = Window.partitionBy("k").orderBy("before").rangeBetween(Window.currentRow, min_words - 1)
-    runs = numbered.withColumn("m", F.count("*").over(reach)).withColumn("in_run", F.sum("words").over(reach))
-    if whole:
-        # b: lines of the run that ends here, 0 if it is too short or is what its first line finds forward.
-        back = Window.partitionBy("k").orderBy("upto").rangeBetween(1 - min_words, Window.currentRow)
-        runs = runs.withColumn("upto", F.col("before") + F.col("words")).withColumn("b", F.when(F.sum("words").over(back) - F.col("words") >= min_words, F.count("*").over(back)).otherwise(0))
-    ends = ["b"] if whole else []
-    state = runs.join(first_ranks, "id").select("k", "doc_id", "p", "line", "m", "in_run", *ends, F.col("rank").alias("r0"))
-    state, state_path = materialise_at(state, "suffix-0")
-    longest = state.agg(F.max(F.greatest(F.when(F.col("in_run") >= min_words, F.col("m")), *ends, F.lit(0)))).first()[0] or 0
-    level = 0
-    while 2 << level <= longest:
-        # Rank of 2^(level + 1) lines from the ranks of both halves; the second half must follow without a gap.
-        span, order = 1 << level, Window.partitionBy("k").orderBy("p")
-        second = F.when(F.lead("p", span).over(order) == F.col("p") + span, F.lead(f"r{level}", span).over(order))
-        halves = state.withColumn("second", second)
-        ranks = ranked(halves.where("second is not null").select(F.col(f"r{level}").alias("h1"), F.col("second").alias("h2")), ["h1", "h2"])
-        joined = halves.join(ranks.select(F.col("h1").alias(f"r{level}"), F.col("h2").alias("second"), F.col("rank").alias(f"r{level + 1}")), [f"r{level}", "second"], "left").drop("second")
-        following, following_path = materialise_at(joined, f"suffix-{level + 1}")
-        drop_table(docs.sparkSession, state_path)
-        state, state_path, level = following, following_path, level + 1
-
-    # The interval of a run of m lines: ranks of its first and its last 2^j lines, 2^j <= m < 2^(j+1).
-    order = Window.partitionBy("k").orderBy("p")
-    starts = None
-    for j in range(level + 1):
-        for m in range(1 << j, min(2 << j, longest + 1)):
-            back = m - (1 << j)
-            tail = F.col(f"r{j}") if not back else F.when(F.lead("p", back).over(order) == F.col("p") + back, F.lead(f"r{j}", back).over(order))
-            starts = (F.when(F.col("m") == m, tail) if starts is None else starts.when(F.col("m") == m, tail))
-    head = None
-    for j in range(level + 1):
-        cond = (F.col("m") >= 1 << j) & (F.col("m") < 2 << j)
-        head = F.when(cond, F.col(f"r{j}")) if head is None else head.when(cond, F.col(f"r{j}"))
-    if longest:
-        named = state.withColumn("head", head).withColumn("tail", starts).where((F.col("in_run") >= min_words) & F.col("head").isNotNull() & F.col("tail").isNotNull())
-        place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k", "p")
-        named = named.select("k", "doc_id", "p", "m", "head", "tail")
-        if whole:
-            named = named.unionByName(_ending(state, longest, level))
-        named = materialise(named, "suffix-runs")
-        intervals = named.groupBy("m", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-        later = named.join(intervals, ["m", "head", "tail"]).where(~((F.col("k") == F.col("first.k")) & (F.col("p") == F.col("first.p"))))
-        gone = later.select("k", F.explode(F.sequence(F.col("p"), (F.col("p") + F.col("m") - 1).cast("int"))).alias("p")).distinct()
-        gone = state.select("k", "p", "line").join(gone, ["k", "p"]).select("k", "line")
-    else:
-        gone = lines.select("k", "line").limit(0)
-    gone = materialise(gone, "line-gone")
-    touched = lines.join(gone.select("k").distinct(), "k", "left_semi").join(gone.withColumn("gone", F.lit(True)), ["k", "line"], "left")
-    flags = touched.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", F.coalesce("gone", F.lit(False)).alias("g")))), lambda x: x["g"]).alias("flags"))
+    reach = Window.partitionBy(*_DOC).orderBy("before").rangeBetween(Window.currentRow, min_words - 1)
+    runs = numbered.withColumn("m", F.count("*").over(reach).cast("int")).withColumn("in_run", F.sum("words").over(reach).cast("int"))
+    first = runs.join(ranked(repeated, ["id", "id2"]), ["id", "id2"]).select(
+        F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("o"), *_DOC, "p", "line", "before", "words", "m", "in_run", F.col("rank").alias("r0")
+    )
+    state = suffix_ranks(first, levels)
+    starts = materialise(_intervals(state, min_words, levels), "suffix-starts")
+    state = state.join(starts.select(*_DOC).distinct(), _DOC, "left_semi")
+    state = materialise(state.select(*_DOC, "p", "line", "before", "words", *[f"r{j}" for j in range(levels)]), "suffix-open")
+    copies = earlier_prefixes(starts, state, levels).select(*_DOC, "p", (F.col("p") + F.col("len") - 1).alias("last"))
+    # A copy goes if it has the words: from the words before its first line to those through its last.
+    ends = state.select(*_DOC, F.col("p").alias("last"), (F.col("before") + F.col("words")).alias("upto"))
+    copies = copies.join(state.select(*_DOC, "p", "before"), [*_DOC, "p"]).join(ends, [*_DOC, "last"]).where(F.col("upto") - F.col("before") >= min_words)
+    gone = copies.select(*_DOC, F.explode(F.sequence("p", "last")).alias("p")).distinct()
+    gone = materialise(gone.join(state.select(*_DOC, "p", "line"), [*_DOC, "p"]).select(*_DOC, "line"), "line-gone")
+    touched = lines.join(gone.select(*_DOC).distinct(), _DOC, "left_semi").join(gone.withColumn("gone", F.lit(True)), [*_DOC, "line"], "left")
+    flags = touched.groupBy(*_DOC).agg(F.transform(F.sort_array(F.collect_list(F.struct("line", F.coalesce("gone", F.lit(False)).alias("g")))), lambda x: x["g"]).alias("flags"))
     split = F.split("text", "\n", -1)
     rebuilt = F.array_join(F.filter(split, lambda x, i: ~F.get(F.col("flags"), i)), "\n")
-    return base.join(flags, "k", "left").select(
+    return base.join(flags, _DOC, "left").select(
         "doc_id", F.when(F.col("flags").isNull(), F.col("text")).otherwise(rebuilt).alias("text"),
         F.when(F.col("flags").isNull(), 0).otherwise(F.size(F.filter("flags", lambda g: g))).cast("long").alias("lines_removed"),
         *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)],

@@ -79,9 +79,12 @@ ORACLE_SQL = {
         ), filled AS (
             SELECT *, row_number() OVER w AS p, coalesce(sum(words) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
             FROM lines WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line)
-        ), runs AS (
+        ), runs AS (  -- the shortest runs from each line on, and to each line: every longer run is made of them
             SELECT doc_id, p, count(*) OVER w AS m, sum(words) OVER w AS n, list(s) OVER w AS run FROM filled
             WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)
+            UNION
+            SELECT doc_id, p - count(*) OVER w + 1, count(*) OVER w, sum(words) OVER w, list(s) OVER w FROM filled
+            WINDOW w AS (PARTITION BY doc_id ORDER BY before + words RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)
         ), later AS (
             SELECT doc_id, p, m FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS k FROM runs WHERE n >= {MIN_WORDS}) WHERE k > 1
         ), gone AS (
