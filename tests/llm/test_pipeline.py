@@ -109,8 +109,16 @@ def test_rows_that_share_an_id_or_have_none(spark):
     found = sorted((r.doc_id or 0, r.text[0]) for r in stay.collect())
     assert found == [(0, "c"), (1, "a"), (1, "b"), (5, "d")]
 
+    rows = [(3, "", "en", "s", 0), (3, "", "en", "s", 0), (None, None, None, None, None), (None, None, None, None, None), (4, " \n", "en", "s", 0), (6, text("e"), "en", "s", 0), (6, text("e"), "en", "t", 0)]
+    stay = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id or 0, r.text and r.text[:1]) for r in stay if not (r.text or "").strip()) == [(0, None), (0, None), (3, ""), (3, ""), (4, " ")]
+    assert [r.doc_id for r in stay if (r.text or "").strip()] == [6]  # two sources, one text
+
     rows = [(None, text(f"x{i}_", 8 + i % 5), "en", "a", 0) for i in range(40)] + [(7, text(f"y{i}_", 9), "en", "a", 0) for i in range(20)] + [(9, text("z", 9), "en", "a", 0)] * 6
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     mixed = Counter(r.text for r in corpus_pipeline.mixture(spark, docs, "").collect())
-    want = Counter(r[1] for r in rows)  # one source: everything once, up to the ends of three shards
-    assert sum((mixed - want).values()) + sum((want - mixed).values()) <= 3
+    want = Counter(r[1] for r in rows)  # one source: as many words as there are, each shard's quota in blocks of 8
+    words = lambda c: sum(len(t.split()) * n for t, n in c.items())
+    assert abs(words(mixed) - words(want)) <= 8 + 12
+    assert all(n <= 2 * want[t] for t, n in mixed.items())
+    assert sum((mixed - want).values()) + sum((want - mixed).values()) <= len(rows) // 4

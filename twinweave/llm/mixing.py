@@ -104,7 +104,7 @@ def _carried(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(up=up)[["src", "shard", "up"]]
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False, row_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False, row_cols: tuple[str, ...] = ()) -> DataFrame:
     """How many words of every document a mix of the sources takes.
 
     Returns doc_id, size, source_size, target, taken. Size counts WORD in the text
@@ -120,8 +120,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: in
     Repeated rows share the words in turn. An empty table gives no rows; other
     columns are not read.
 
-    With ``row_col``, that column (a number that rows alike in everything share) is
-    returned in place of doc_id, and orders rows alike in id and size. With
+    With ``row_cols``, those columns (numbers that rows alike in everything share) are
+    returned in place of doc_id, and order rows alike in id and size. With
     ``whole``, documents are taken whole only. At most one document of a shard
     is taken in part; its part is carried along the source's shards in turn, and the
     document is taken where that reaches half of it, so a source's total differs
@@ -133,12 +133,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: in
     source nor a large table puts many rows in one group.
     """
     spark = docs.sparkSession
-    key = ["row_key"] if row_col else []
+    key = [f"row_{i}" for i in range(len(row_cols))]
     sized = materialise(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.col(text_col).cast("string"))).alias("h"), *([F.col(row_col).cast("long").alias("row_key")] if row_col else []),
+            F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.col(text_col).cast("string"))).alias("h"), *[F.col(c).cast("long").alias(k) for c, k in zip(row_cols, key, strict=True)],
         ), "mix-sized",
     )
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -173,4 +173,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, block: int = 8, seed: in
         lined = materialise(lined, "mix-lined")
         ends = lined.where("part > 0 and part < size").select("src", "shard", "part", "size").groupBy("src").applyInPandas(_carried, "src int, shard int, up boolean")
         lined = lined.join(ends, ["src", "shard"], "left").withColumn("part", F.when(F.col("part") < F.col("size"), F.when(F.col("part") > 0, F.when(F.col("up"), F.col("size")).otherwise(0)).otherwise(0)).otherwise(F.col("part")))
-    return lined.select(F.col("row_key").alias(row_col) if row_col else F.col("doc_id"), "size", "source_size", "target", (F.col("again") + F.col("part")).cast("long").alias("taken"))
+    return lined.select(*([F.col(k).alias(c) for c, k in zip(row_cols, key, strict=True)] or ["doc_id"]), "size", "source_size", "target", (F.col("again") + F.col("part")).cast("long").alias("taken"))
