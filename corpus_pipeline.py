@@ -27,48 +27,72 @@ def _columns(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+#: A row: two hashes of all columns, which only rows alike in every column share.
+_KEY = ["key", "key2"]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """With ``key``, a number that only rows alike in every column share."""
-    given = ("doc_id", "text", *_OTHERS)
-    return docs.withColumn("key", F.xxhash64(*given, *[F.col(c).isNull() for c in given]))
+    """With the columns of _KEY; rows alike in everything are interchangeable."""
+    given = [*(F.col(c) for c in ("doc_id", "text", *_OTHERS)), *(F.col(c).isNull() for c in ("doc_id", "text", *_OTHERS))]
+    return docs.withColumn("key", F.xxhash64(*given)).withColumn("key2", F.xxhash64(F.lit(1), *given))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; ``und`` and unsure ones go."""
+    """Documents whose language is known; ``und`` and unsure ones go.
+
+    Null texts and texts without a letter are ``und``. Rows are judged one by one, so
+    repeated rows and ids, and rows without id, are treated alike; with too few
+    languages to learn from, as in an empty table, nothing is known.
+    """
     found = identify(docs, train(docs), keep=("text", *_OTHERS))
     return _columns(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= SURE)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; those that nothing is left of go."""
-    return _columns(line_dedup(docs, keep=_OTHERS, whole=True).where((F.col("lines_removed") == 0) | F.col("text").rlike(WORD)))
+    """Documents without later copies of repeated line runs; those that nothing is left of go.
+
+    Of copies the run in the least doc_id stays (null last). Rows alike in id and text
+    are one document and stay alike; null and empty texts stay as they are.
+    """
+    return _columns(line_dedup(docs, keep=_OTHERS).where((F.col("lines_removed") == 0) | F.col("text").rlike(WORD)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, that of the least doc_id (null last); those without words stay."""
+    """One row of each group of near copies, that of the least doc_id (null last).
+
+    Rows without words are no copies and all stay. Rows that share an id but not
+    their text are told apart by all their columns; of rows alike in every column
+    that hold words one stays. Ties in doc_id go by a hash of the row.
+    """
     keyed = _keyed(docs)
     groups = jaccard_components(keyed, id_col="key").select(F.col("doc_id").alias("key"), "component_id")
     first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")
     stay = groups.join(keyed.select("key", "doc_id").distinct(), "key").groupBy("component_id").agg(F.min(first)["key"].alias("key")).select("key")
-    return _columns(keyed.join(stay, "key", "left_semi").dropDuplicates(["key"]))
+    wordy = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return _columns(keyed.where(wordy).join(stay, "key", "left_semi").dropDuplicates(_KEY)).unionByName(_columns(docs.where(~wordy)))
 
 
-def mix(docs: DataFrame, row_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, row_cols: tuple[str, ...] = ()) -> DataFrame:
     """The mix in whole documents."""
-    return mixing.mix(docs, whole=True, row_col=row_col)
+    return mixing.mix(docs, whole=True, row_cols=row_cols)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, always whole; rows alike are interchangeable."""
+    """Every document as often as the mix takes it, always whole.
+
+    Rows alike in every column are interchangeable; rows that share an id only, or
+    have none, are taken each for itself. Documents without words, which no mix
+    takes, go.
+    """
     keyed = _keyed(docs)
     copies = F.expr("cast(taken div size as int)")
-    taken = mix(keyed, "key").where("taken > 0").groupBy("key").agg(F.sum(copies).cast("int").alias("copies"))
-    rows = keyed.select("key", "doc_id", "text", *_OTHERS).dropDuplicates(["key"]).join(taken, "key")
+    taken = mix(keyed, tuple(_KEY)).where("taken > 0").groupBy(*_KEY).agg(F.sum(copies).cast("int").alias("copies"))
+    rows = keyed.select(*_KEY, "doc_id", "text", *_OTHERS).dropDuplicates(_KEY).join(taken, _KEY)
     return _columns(rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 ids."""
+    """The pieces of all documents in sequences of 2048 ids; a null text is empty, repeated rows are packed each."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
