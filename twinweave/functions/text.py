@@ -34,6 +34,11 @@ def local_name(uri: Column) -> Column:
     return F.replace(F.regexp_replace(F.regexp_replace(uri, "(?s)^.*#", ""), "(?s)^.*/", ""), F.lit("_"), F.lit(" "))
 
 
+def stripped_local_name(uri: Column) -> Column:
+    """local_name without white space at both ends."""
+    return strip(local_name(uri))
+
+
 def path_name(uri: Column) -> Column:
     """Label after the last / only; a fragment stays."""
     return F.replace(F.regexp_replace(uri, "(?s)^.*/", ""), F.lit("_"), F.lit(" "))

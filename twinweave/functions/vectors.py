@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 1e-12
-#: Right-side vectors sent to every task at once; larger sides go block by block.
-RIGHT_BLOCK = 16_384
-LEFT_BLOCK = 512
+#: Vectors of one side that a task compares with as many of the other.
+BLOCK = 1_024
+#: Bins of a histogram of distances, and distances that may be read.
+BINS = 4_096
+READ = 100_000
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -58,68 +60,124 @@ def gathered(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("vec"))
 
 
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    vec = table.column("vec").combine_chunks()
+    return np.asarray(table.column("idx")), np.asarray(vec.flatten()).reshape(table.num_rows, -1)
+
+
+def block_pairs(left: DataFrame, right: DataFrame, work, schema: str) -> DataFrame:
+    """Rows of work(left ids, left matrix, right ids, right matrix) for every block of left(idx, vec) with every one of right.
+
+    The grid is inherent to what compares all pairs. Rows go to blocks of about
+    BLOCK vectors, each block to the tasks that need it: a task holds two blocks, and
+    neither side passes through the driver.
+    """
+    spread = lambda df, n: df.select(F.col("idx").cast("long").alias("idx"), F.col("vec").cast("array<double>").alias("vec")).withColumn("own", F.pmod(F.xxhash64("idx"), F.lit(n)))
+    across, down = (max(1, -(-df.count() // BLOCK)) for df in (left, right))
+    x = spread(left, across).withColumnRenamed("own", "p").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+    y = spread(right, down).withColumnRenamed("own", "q").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
+
+    def run(a: pa.Table, b: pa.Table):
+        names = [f.split()[0] for f in schema.split(", ")]
+        found = work(*_matrix(a), *_matrix(b)) if a.num_rows and b.num_rows else [[] for _ in names]
+        kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+        return pa.table([pa.array(c, kinds[f.split()[1]]) for c, f in zip(found, schema.split(", "), strict=True)], names=names)
+
+    return x.groupBy("p", "q").cogroup(y.groupBy("p", "q")).applyInArrow(run, schema)
+
+
 def similarity_pairs(left: DataFrame, right: DataFrame, threshold: float | None = None, digits: int | None = None) -> DataFrame:
     """i, a, sim for all pairs of left(idx, vec) and right(idx, vec), or those at the threshold.
 
-    The grid is inherent; its pairs are made block by block as matrix products in
-    the tasks that hold the left side, and the threshold is applied before a row is
-    built. The right side is sent in blocks of RIGHT_BLOCK vectors.
+    Pairs are made block by block as matrix products, and the threshold is applied
+    before a row is built.
     """
-    spark = left.sparkSession
-    n = right.count()
-    blocks, out = max(1, -(-n // RIGHT_BLOCK)), None
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPSILON)
-    for b in range(blocks):
-        part = right if blocks == 1 else right.where(F.pmod(F.xxhash64("idx"), F.lit(blocks)) == b)
-        rows = part.select("idx", F.col("vec").cast("array<double>").alias("vec")).toArrow()
-        ids = np.asarray(rows.column(0)).astype(np.int64)
-        if not len(ids):
-            continue
-        other = unit(np.asarray(rows.column(1).combine_chunks().flatten()).reshape(len(ids), -1))
-        sent = spark.sparkContext.broadcast((ids, other))
-
-        def run(batches, sent=sent):
-            right_ids, matrix = sent.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, LEFT_BLOCK):
-                    piece = batch.slice(at, LEFT_BLOCK)
-                    own = np.asarray(piece.column(0))
-                    sim = unit(np.asarray(piece.column(1).flatten()).reshape(len(own), -1)) @ matrix.T
-                    if digits is not None:
-                        sim = np.round(sim, digits)
-                    r, c = np.nonzero(~(sim < threshold)) if threshold is not None else np.indices(sim.shape).reshape(2, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(right_ids[c]), pa.array(sim[r, c])], names=["i", "a", "sim"])
-
-        found = left.select(F.col("idx").cast("long").alias("idx"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "i long, a long, sim double")
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], "i long, a long, sim double") if out is None else out
+
+    def work(ids, x, others, y):
+        sim = unit(x) @ unit(y).T
+        if digits is not None:
+            sim = np.round(sim, digits)
+        r, c = np.nonzero(~(sim < threshold)) if threshold is not None else np.indices(sim.shape).reshape(2, -1)
+        return ids[r], others[c], sim[r, c]
+
+    return block_pairs(left, right, work, "i long, a long, sim double")
+
+
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0)
 
 
 def kernel_mean(x: DataFrame, y: DataFrame, gamma: float, same: bool) -> DataFrame:
-    """One row, value: the mean Gaussian kernel of pairs; off the diagonal for the same side, 0 for up to one vector."""
-    d = squared_distances(x, y, drop_same=same)
-    return d.agg(F.coalesce(F.avg(F.exp(-gamma * F.col("d2"))), F.lit(0.0)).alias("value"))
+    """One row, value: the mean Gaussian kernel of pairs; off the diagonal (by idx) for the same side, 0 for up to one vector."""
 
+    def work(ids, a, others, b):
+        use = ids[:, None] != others[None, :] if same else np.ones((len(ids), len(others)), bool)
+        return [float(np.exp(-gamma * _squared(a, b))[use].sum())], [int(use.sum())]
 
-def squared_distances(x: DataFrame, y: DataFrame, drop_same: bool) -> DataFrame:
-    """d2 of all pairs of x(idx, vec) with y(idx, vec); y is bounded by the caller's sample cap."""
-    other = F.broadcast(y.select(F.col("idx").alias("j"), F.col("vec").alias("w")))
-    pairs = x.select("idx", "vec").join(other, F.lit(True) if not drop_same else F.col("idx") != F.col("j"))
-    return pairs.select(F.aggregate(F.zip_with("vec", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("d2"))
+    sums = block_pairs(x, y, work, "total double, n long")
+    return sums.agg(F.coalesce(F.sum("total") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("value"))
+
+
+def lower_median_distance(vectors: DataFrame) -> float | None:
+    """The lower median of the distances of all ordered pairs of different idx; none if there is no pair.
+
+    A histogram of BINS bins is narrowed to the bin that holds the middle until it
+    holds few enough distances to be read, so no list of all distances is made.
+    """
+    largest = vectors.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))).first()[0]
+    if largest is None:
+        return None
+    chosen: list[tuple[float, float, int]] = []  # ranges so far, and the bin taken of each
+    low, high, middle = 0.0, 2 * largest**0.5 + 1e-9, None
+
+    def bin_of(d, low, high):
+        return np.minimum(((d - low) * (BINS / (high - low))).astype(np.int64), BINS - 1)
+
+    def inside(a, b, ids, others, chosen):
+        d = np.sqrt(_squared(a, b))[ids[:, None] != others[None, :]]
+        for low, high, at in chosen:  # the same arithmetic as when it was chosen, so that no distance is lost at an edge
+            d = d[bin_of(d, low, high) == at]
+        return d
+
+    while True:
+
+        def work(ids, a, others, b, low=low, high=high, chosen=tuple(chosen)):
+            return np.unique(bin_of(inside(a, b, ids, others, chosen), low, high), return_counts=True)
+
+        bins = sorted(map(tuple, block_pairs(vectors, vectors, work, "at long, n long").groupBy("at").agg(F.sum("n")).collect()))  # at most BINS rows
+        if not bins:
+            return None
+        middle = (sum(n for _, n in bins) + 1) // 2 if middle is None else middle  # how many of this range come up to the median
+        for at, n in bins:
+            if middle <= n:
+                break
+            middle -= n
+        chosen.append((low, high, at))
+        width = (high - low) / BINS
+        low, high = low + at * width, low + (at + 1) * width
+        if n > READ and width <= 1e-12 * high:
+            return low  # so many equal distances, to the last digits
+        if n <= READ:
+
+            def read(ids, a, others, b, chosen=tuple(chosen)):
+                return [inside(a, b, ids, others, chosen)]
+
+            return float(sorted(r.d for r in block_pairs(vectors, vectors, read, "d double").collect())[middle - 1])
 
 
 def mmd(x: DataFrame, y: DataFrame) -> DataFrame:
     """One row, mmd: squared maximum mean discrepancy with a median bandwidth.
 
     The bandwidth is the lower median of the pooled off-diagonal distances, 1 if
-    that isn't positive. An empty side gives 0. Callers cap the sides (the training
-    loss samples at most 2048 vectors).
+    that isn't positive. An empty side gives 0. Pairs are compared block by block
+    and only sums leave the tasks.
     """
     spark = x.sparkSession
     if x.isEmpty() or y.isEmpty():
         return spark.createDataFrame([(0.0,)], "mmd double")
-    pooled = x.select(F.struct(F.lit(0).alias("side"), F.col("idx").alias("n")).alias("idx"), "vec").unionByName(y.select(F.struct(F.lit(1).alias("side"), F.col("idx").alias("n")).alias("idx"), "vec"))
-    median = squared_distances(pooled, pooled, True).agg(F.expr("percentile_disc(0.5) within group (order by sqrt(d2))")).first()[0]
+    pooled = x.select((2 * F.col("idx")).alias("idx"), "vec").unionByName(y.select((2 * F.col("idx") + 1).alias("idx"), "vec"))
+    median = lower_median_distance(pooled)
     sigma = median if median and median > 0 else 1.0
     gamma = 1 / (2 * sigma * sigma)
     parts = kernel_mean(x, x, gamma, True).select(F.col("value").alias("xx")).join(kernel_mean(y, y, gamma, True).select(F.col("value").alias("yy"))).join(kernel_mean(x, y, gamma, False).select(F.col("value").alias("xy")))

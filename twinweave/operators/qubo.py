@@ -29,12 +29,27 @@ def structural_weights(left_edges: DataFrame, right_edges: DataFrame, vectors: D
     """
     x = left_edges.select("label").distinct().join(vectors, "label").select(F.col("label").alias("lx"), F.col("vec").alias("x"))
     y = right_edges.select("label").distinct().join(vectors, "label").select(F.col("label").alias("ly"), F.col("vec").alias("y"))
-    # Labels are a vocabulary: their pairs are far fewer than those of edges.
-    cosines = x.join(F.broadcast(y)).select("lx", "ly", relation_cosine(F.col("x"), F.col("y")).alias("w")).where("w is not null")
+    # Labels are a vocabulary: their pairs are far fewer than those of edges. The planner decides how they meet.
+    cosines = x.join(y).select("lx", "ly", relation_cosine(F.col("x"), F.col("y")).alias("w")).where("w is not null")
     pairs = left_edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("label").alias("lx")).join(cosines, "lx").join(right_edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("label").alias("ly")), "ly")
     return pairs.groupBy("i", "j", "a", "b").agg(F.max_by("w", F.struct("lx", "ly")).alias("w"))
 
 
+def structural_weights_of(variables: DataFrame, left_edges: DataFrame, right_edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The structural_weights whose both ends are variables(i, a): all that the objective needs.
+
+    Variables come first, so a pair of edges is only made where both of its ends may
+    be aligned; a label that many edges have makes no grid.
+    """
+    ends = variables.select("i", "a")
+    outward = ends.join(left_edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("label").alias("lx")), "i")
+    onward = outward.join(ends.select(F.col("i").alias("j"), F.col("a").alias("b")), "j")
+    pairs = onward.join(right_edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("label").alias("ly")), ["a", "b"])
+    named = pairs.join(vectors.select(F.col("label").alias("lx"), F.col("vec").alias("x")), "lx").join(vectors.select(F.col("label").alias("ly"), F.col("vec").alias("y")), "ly")
+    found = named.withColumn("w", relation_cosine(F.col("x"), F.col("y"))).where("w is not null")
+    return found.groupBy("i", "j", "a", "b").agg(F.max_by("w", F.struct("lx", "ly")).alias("w"))
+
+
 def structural_cap(weights: DataFrame, most: int | None) -> DataFrame:
     """The first ``most`` weights in (i, j, a, b) order; none keeps all."""
     return weights if most is None else weights.orderBy("i", "j", "a", "b").limit(most)
@@ -91,6 +106,19 @@ def labelled_variables(variables: DataFrame, left: DataFrame, right: DataFrame)
     return variables.join(x, "i").join(y, "a").select("var", pair_label(F.col("l"), F.col("r")).alias("pair"))
 
 
+def export_csv(terms: DataFrame, labelled: DataFrame, folder: str) -> list[str]:
+    """Writes the dense matrix of the total and of each component, one CSV folder each; none for no variables."""
+    if labelled.isEmpty():
+        return []
+    written = []
+    for name in ("total", "node", "structure", "penalty"):
+        own = total(terms if name == "total" else terms.where(F.col("component") == name))
+        cells = labelled.select("pair").join(dense_matrix(own, labelled), "pair", "left").fillna(0.0).join(labelled, "pair").orderBy("var").drop("var")
+        cells.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        written.append(f"{folder}/{name}")
+    return written
+
+
 def dense_matrix(qubo: DataFrame, labelled: DataFrame) -> DataFrame:
     """pair and a column per pair: the export form for few variables."""
     labels = [r.pair for r in labelled.orderBy("var").collect()]

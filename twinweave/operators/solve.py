@@ -96,44 +96,47 @@ def exact(qubo: DataFrame) -> DataFrame:
 def anneal(qubo: DataFrame, reads: int = 100, sweeps: int = 1000, seed: int = 0) -> DataFrame:
     """read, energy, vars of independent annealing runs; the caller takes the least energy.
 
-    Runs are spread over tasks; each holds the terms in sparse rows, cools by a
-    geometric schedule between the largest and the smallest coefficient, and keeps
-    energy changes up to date flip by flip. Equal seeds give equal runs.
+    Parts of the problem share no term, so each is annealed in a task of its own and
+    a read's energies add up. A part's reads run side by side: one draw of order,
+    one schedule from the largest to the smallest coefficient, energy changes kept up
+    to date flip by flip. Equal seeds give equal runs. An empty problem has reads of
+    energy 0 without variables.
     """
-    spark = qubo.sparkSession
-    terms = qubo.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("coeff").alias("coeff")).orderBy("u", "v").toPandas()
-    names = np.unique(np.concatenate([terms.u, terms.v])) if len(terms) else np.zeros(0, np.int64)
-    sent = spark.sparkContext.broadcast((names, np.searchsorted(names, terms.u), np.searchsorted(names, terms.v), terms.coeff.to_numpy(float)))
-
-    def run(frames):
-        names, u, v, c = sent.value
-        n = len(names)
-        own = np.bincount(u[u == v], c[u == v], n)
-        off = u != v
-        rows, cols, vals = np.concatenate([u[off], v[off]]), np.concatenate([v[off], u[off]]), np.concatenate([c[off], c[off]])
-        by = np.argsort(rows, kind="stable")
-        start = np.searchsorted(rows[by], np.arange(n + 1))
-        cols, vals = cols[by], vals[by]
-        big = max(np.abs(c).max(), 1e-9) if len(c) else 1.0
-        small = max(np.abs(c[c != 0]).min(), 1e-9) if (c != 0).any() else 1.0
-        betas = np.geomspace(0.1 / big, 10 / small, sweeps)
-        for frame in frames:
-            for read in frame.id:
-                rng = np.random.default_rng([seed, int(read)])
-                x = rng.integers(0, 2, n).astype(float)
-                field = own + np.bincount(rows, x[np.concatenate([v[off], u[off]])] * np.concatenate([c[off], c[off]]), n)
-                for beta in betas:
-                    for k, draw in zip(rng.permutation(n), rng.random(n), strict=True):
-                        change = (1 - 2 * x[k]) * field[k]
-                        if change <= 0 or draw < np.exp(-beta * change):
-                            x[k] = 1 - x[k]
-                            s = slice(start[k], start[k + 1])
-                            field[cols[s]] += (2 * x[k] - 1) * vals[s]
-                chosen = x > 0
-                e = float(c[chosen[u] & chosen[v]].sum())
-                yield pd.DataFrame({"read": [read], "energy": [e], "vars": [names[chosen].tolist()]})
-
-    return spark.range(reads).repartition(min(reads, 64)).mapInPandas(run, "read long, energy double, vars array<long>")
+    ordered = qubo.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("coeff").alias("coeff"))
+    placed = ordered.join(parts(qubo).withColumnRenamed("var", "u"), "u").select("part", "u", "v", "coeff")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["u", "v"])
+        names = np.unique(np.concatenate([rows.u, rows.v]))
+        u, v, c = np.searchsorted(names, rows.u), np.searchsorted(names, rows.v), rows.coeff.to_numpy(float)
+        n, off = len(names), u != v
+        own = np.bincount(u[~off], c[~off], n)
+        ends, others, terms = np.concatenate([u[off], v[off]]), np.concatenate([v[off], u[off]]), np.concatenate([c[off], c[off]])
+        by = np.argsort(ends, kind="stable")
+        others, terms, start = others[by], terms[by], np.searchsorted(ends[by], np.arange(n + 1))
+        size = np.abs(c[c != 0])
+        betas = np.geomspace(0.1 / max(size.max(), 1e-9), 10 / max(size.min(), 1e-9), sweeps) if len(size) else np.ones(1)
+        rng = np.random.default_rng([seed, int(rows.part.iloc[0]) & 0x7FFFFFFF])
+        x = rng.integers(0, 2, (n, reads)).astype(float)
+        field = np.repeat(own[:, None], reads, axis=1)
+        np.add.at(field, ends[by], terms[:, None] * x[others])
+        for beta in betas:
+            draws = np.log(rng.random((n, reads)))
+            for k in rng.permutation(n).tolist():
+                change = (1 - 2 * x[k]) * field[k]
+                flip = np.flatnonzero((change <= 0) | (draws[k] < -beta * change))
+                if len(flip):
+                    x[k, flip] = 1 - x[k, flip]
+                    s = slice(start[k], start[k + 1])
+                    field[others[s][:, None], flip[None, :]] += terms[s][:, None] * (2 * x[k, flip] - 1)[None, :]
+        chosen = x > 0
+        energy = c @ (chosen[u] & chosen[v])
+        return pd.DataFrame({"part": rows.part.iloc[0], "read": np.arange(reads), "energy": energy, "vars": [names[chosen[:, r]].tolist() for r in range(reads)]})
+
+    runs = placed.groupBy("part").applyInPandas(run, "part long, read long, energy double, vars array<long>")
+    summed = runs.groupBy("read").agg(F.sum("energy").alias("energy"), F.array_sort(F.flatten(F.collect_list("vars"))).alias("vars"))
+    empty = F.array().cast("array<long>")
+    return qubo.sparkSession.range(reads).withColumnRenamed("id", "read").join(summed, "read", "left").select("read", F.coalesce("energy", F.lit(0.0)).alias("energy"), F.coalesce("vars", empty).alias("vars"))
 
 
 def best_read(runs: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def prune_types(triples: DataFrame, allowed: DataFrame, namespace: str) -> DataF
 
     allowed: name, type. Labels are what follows the last slash, case aside.
     """
-    names = F.broadcast(allowed.select(F.lower("name").alias("label"), "name", "type"))
+    names = allowed.select(F.lower("name").alias("label"), "name", "type")
     seen = triples.select(path_name(F.col("s")).alias("label")).unionByName(triples.select(path_name(F.col("o")).alias("label"))).select(F.lower("label").alias("label")).distinct()
     found = seen.join(names, "label")
     return found.select(_ontology(F.col("name"), namespace).alias("s"), F.lit(RDF_TYPE).alias("p"), _ontology(F.col("type"), namespace).alias("o")).distinct()
@@ -74,7 +74,7 @@ def prune_types(triples: DataFrame, allowed: DataFrame, namespace: str) -> DataF
 
 def prune_relations(triples: DataFrame, allowed: DataFrame, namespace: str) -> DataFrame:
     """s, p, o: triples with both ends allow-listed, ends renamed, predicates kept."""
-    names = F.broadcast(allowed.select(F.lower("name").alias("label"), "name"))
+    names = allowed.select(F.lower("name").alias("label"), "name")
     ends = triples.select(F.lower(path_name(F.col("s"))).alias("sl"), "p", F.lower(path_name(F.col("o"))).alias("ol"))
     s, o = names.select(F.col("label").alias("sl"), F.col("name").alias("sn")), names.select(F.col("label").alias("ol"), F.col("name").alias("on"))
     return ends.join(s, "sl").join(o, "ol").select(_ontology(F.col("sn"), namespace).alias("s"), "p", _ontology(F.col("on"), namespace).alias("o")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.config import RAW_NAMESPACE, RDF_TYPE
+from twinweave.config import RAW_NAMESPACE, RDF_TYPE, Settings
 from twinweave.functions import chunks, text, vectors
 from twinweave.operators import embed, extract, qubo, report, solve
 from twinweave.operators import triples as graph
@@ -340,7 +340,7 @@ def relation_cosine(spark, d):
 
 
 _PROB = f"{given.NODES}, {given.EDGES}, p AS (SELECT e.graph, e.src, e.dst, 1 / (1 + exp(-list_dot_product(x.vec, y.vec))) AS p FROM edges e JOIN nodes x ON x.idx = e.src JOIN nodes y ON y.idx = e.dst)"
-_SCORED = f"{_PROB}, scored AS (SELECT 'positive' AS kind, p FROM p UNION ALL SELECT 'negative', 1 / (1 + exp(-list_dot_product(x.vec, y.vec))) FROM nodes x JOIN nodes y ON y.idx = x.idx + 6)"
+_SCORED = f"{_PROB}, {given.NEGATIVE}, scored AS (SELECT 'positive' AS kind, p FROM p UNION ALL SELECT 'negative', 1 / (1 + exp(-list_dot_product(x.vec, y.vec))) FROM negative e JOIN nodes x ON x.idx = e.src JOIN nodes y ON y.idx = e.dst)"
 
 
 @query(f"WITH {_PROB} SELECT graph, src, dst, round(p, 6) AS p FROM p")
@@ -348,16 +348,10 @@ def link_probability(spark, d):
     return embed.link_probability(given.edges(spark, d), given.nodes(spark, d)).withColumn("p", F.round("p", SIX))
 
 
-def _far(spark, d):
-    """Pairs three steps apart, which are no edges."""
-    n = given.nodes(spark, d)
-    return n.select("graph", F.col("idx").alias("src"), (F.col("idx") + 6).alias("dst"))
-
-
 def _scored(spark, d):
     n = given.nodes(spark, d)
     positive = embed.link_probability(given.edges(spark, d), n).select(F.lit("positive").alias("kind"), "p")
-    return positive.unionByName(embed.link_probability(_far(spark, d), n).select(F.lit("negative").alias("kind"), "p"))
+    return positive.unionByName(embed.link_probability(embed.negative_edges(given.edges(spark, d), n), n).select(F.lit("negative").alias("kind"), "p"))
 
 
 @query(f"WITH {_SCORED} SELECT kind, count(*) AS n, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS std FROM scored GROUP BY kind")
@@ -376,7 +370,7 @@ def bottomk_edges(spark, d):
     return embed.extreme_edges(link_probability(spark, d), 10, False)
 
 
-@query(f"WITH {_PROB}, z AS (SELECT 1.0::DOUBLE AS y, list_dot_product(x.vec, w.vec) AS x FROM edges e JOIN nodes x ON x.idx = e.src JOIN nodes w ON w.idx = e.dst UNION ALL SELECT 0.0, list_dot_product(x.vec, w.vec) FROM nodes x JOIN nodes w ON w.idx = x.idx + 6), l AS (SELECT y, avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))) AS m FROM z GROUP BY y) SELECT round(sum(m), 6) AS loss FROM l")
+@query(f"WITH {_PROB}, {given.NEGATIVE}, z AS (SELECT 1.0::DOUBLE AS y, list_dot_product(x.vec, w.vec) AS x FROM edges e JOIN nodes x ON x.idx = e.src JOIN nodes w ON w.idx = e.dst UNION ALL SELECT 0.0, list_dot_product(x.vec, w.vec) FROM negative e JOIN nodes x ON x.idx = e.src JOIN nodes w ON w.idx = e.dst), l AS (SELECT y, avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))) AS m FROM z GROUP BY y) SELECT round(sum(m), 6) AS loss FROM l")
 def recon_loss(spark, d):
     logit = F.log(F.col("p") / (1 - F.col("p")))
     y = F.when(F.col("kind") == "positive", 1.0).otherwise(0.0)
@@ -420,15 +414,15 @@ def gcn_propagate(spark, d):
     return embed.propagate(given.nodes(spark, d).select("graph", "idx", "vec"), given.edges(spark, d)).withColumn("value", F.round("value", SIX))
 
 
-@query()
+@query(f"WITH {given.NODES}, {given.EDGES}, {given.NEGATIVE} SELECT graph, src, dst FROM negative")
 def negative_edges(spark, d):
     return embed.negative_edges(given.edges(spark, d), given.nodes(spark, d))
 
 
 @query()
 def train_embeddings(spark, d):
-    """Joint training over all vectors; a few epochs, as only invariants are testable."""
-    return embed.train_embeddings(given.nodes(spark, d).select("graph", "idx", "vec"), given.edges(spark, d), _anchors(spark, d), epochs=5)
+    """Joint training over all vectors, with the default settings."""
+    return embed.train_embeddings(given.nodes(spark, d).select("graph", "idx", "vec"), given.edges(spark, d), _anchors(spark, d))
 
 
 # Candidates and QUBO terms.
@@ -461,7 +455,7 @@ def structural_cap(spark, d):
 
 @query(f"WITH {given.VARS}, {given.WEIGHTS}, {given.STRUCTURE} SELECT u, v, round(coeff, 6) AS coeff FROM hs")
 def h_structure(spark, d):
-    return qubo.h_structure(given.weights(spark, d), given.variables(spark, d)).withColumn("coeff", F.round("coeff", SIX))
+    return qubo.h_structure(given.variable_weights(spark, d), given.variables(spark, d)).withColumn("coeff", F.round("coeff", SIX))
 
 
 @query(f"WITH {given.VARS} SELECT l.var AS u, r.var AS v, 2.0::DOUBLE AS coeff FROM vars l JOIN vars r ON l.i = r.i AND l.var < r.var")
@@ -475,7 +469,7 @@ def h_constraint_right(spark, d):
 
 
 def _components(spark, d):
-    return qubo.components(given.variables(spark, d), given.weights(spark, d))
+    return qubo.components(given.variables(spark, d), given.variable_weights(spark, d))
 
 
 @query(f"WITH {given.QUBO} SELECT component, u, v, round(coeff, 6) AS coeff FROM parts")
@@ -579,7 +573,7 @@ def decode_sample(spark, d):
 @query(f"{_CHOSEN}, e AS (SELECT u AS var, v AS other, coeff FROM hs UNION ALL SELECT v, u, coeff FROM hs WHERE u <> v), s AS (SELECT var, -sum(coeff) AS s FROM e WHERE other IN (SELECT var FROM x) GROUP BY var) SELECT x.var, round(coalesce(s.s, 0), 6) AS structure_score, round(x.sim + coalesce(s.s, 0), 6) AS total_score FROM x LEFT JOIN s ON s.var = x.var", recursive=True)
 def structure_support(spark, d):
     v = given.variables(spark, d)
-    s = solve.structure_support(qubo.h_structure(given.weights(spark, d), v), v, _sample(spark, d))
+    s = solve.structure_support(qubo.h_structure(given.variable_weights(spark, d), v), v, _sample(spark, d))
     return s.select("var", F.round("structure_score", SIX).alias("structure_score"), F.round("total_score", SIX).alias("total_score"))
 
 
@@ -602,8 +596,15 @@ def exact_qubo_small(spark, d):
 
 @query()
 def anneal(spark, d):
-    """Annealing runs on the regions' QUBO; the exact minimum is its oracle in the tests."""
-    return solve.anneal(_small(spark, d), reads=20, sweeps=200, seed=1)
+    """The alignment QUBO, with the default reads; on the regions' QUBO the exact minimum is the oracle in the tests."""
+    return solve.anneal(qubo.total(_components(spark, d)), Settings().annealer_reads, seed=1)
+
+
+@query()
+def annealed_alignment(spark, d):
+    """End to end: the best read, decoded."""
+    best = solve.best_read(materialise(solve.anneal(qubo.total(_components(spark, d)), Settings().annealer_reads, seed=1), "reads"))
+    return solve.decode(best.select(F.explode("vars").alias("var")), given.variables(spark, d), given.side(spark, d, "left"), given.side(spark, d, "right"))
 
 
 # Sessions and edits.

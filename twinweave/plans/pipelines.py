@@ -78,7 +78,10 @@ def align(left: DataFrame, right: DataFrame, left_edges: DataFrame, right_edges:
     """
     sim = materialise(similarity_pairs(left.select("idx", "vec"), right.select("idx", "vec")), "similarity")
     variables = materialise(qubo.variable_index(qubo.candidate_pairs(sim, settings.similarity_threshold)), "variables")
-    weights = qubo.structural_cap(qubo.structural_weights(left_edges, right_edges, vectors), settings.max_structural_pairs)
+    if settings.max_structural_pairs is None:
+        weights = qubo.structural_weights_of(variables, left_edges, right_edges, vectors)
+    else:  # the cap counts all pairs of edges, in order
+        weights = qubo.structural_cap(qubo.structural_weights(left_edges, right_edges, vectors), settings.max_structural_pairs)
     terms = materialise(qubo.components(variables, weights, settings.node_weight, settings.structure_weight, settings.left_penalty, settings.right_penalty), "terms")
     if solver == "greedy":
         pairs = solve.match(sim, settings.similarity_threshold, fallback)

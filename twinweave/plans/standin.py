@@ -55,6 +55,12 @@ def weights(spark: SparkSession, d: str) -> DataFrame:
     return qubo.structural_weights(e.where("graph = 'left'"), e.where("graph = 'right'"), relation_vectors(spark, d))
 
 
+def variable_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The weights whose both ends are variables."""
+    e = edges(spark, d)
+    return qubo.structural_weights_of(similarity(spark, d, THRESHOLD), e.where("graph = 'left'"), e.where("graph = 'right'"), relation_vectors(spark, d))
+
+
 def variables(spark: SparkSession, d: str) -> DataFrame:
     return qubo.variable_index(similarity(spark, d, THRESHOLD))
 
@@ -75,9 +81,10 @@ def triples(spark: SparkSession, d: str) -> DataFrame:
 
 def allowed(spark: SparkSession, d: str) -> DataFrame:
     """name, type of the allow-list, in other case than the triples have."""
-    n = table(spark, d, "nation").select(F.lower("n_name").alias("name"), F.lit("Nation").alias("type"))
-    r = table(spark, d, "region").select(F.lower("r_name").alias("name"), F.lit("Region").alias("type"))
-    s = table(spark, d, "supplier").select(F.upper("s_name").alias("name"), F.lit("Supplier").alias("type"))
+    spaced = lambda c: F.replace(c, F.lit("_"), F.lit(" ")).alias("name")
+    n = table(spark, d, "nation").select(spaced(F.lower("n_name")), F.lit("Nation").alias("type"))
+    r = table(spark, d, "region").select(spaced(F.lower("r_name")), F.lit("Region").alias("type"))
+    s = table(spark, d, "supplier").select(spaced(F.upper("s_name")), F.lit("Supplier").alias("type"))
     return n.unionByName(r).unionByName(s)
 
 
@@ -127,4 +134,11 @@ TRIPLES = f"""triples AS (
         UNION ALL SELECT 'right', s_name, 'in_nation', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
         UNION ALL SELECT 'left', n_name, 'in_region', r_name FROM nation JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT 'right', s_name, 'supplies', p_name FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey))"""
-ALLOWED = "allowed AS (SELECT lower(n_name) AS name, 'Nation' AS type FROM nation UNION ALL SELECT lower(r_name), 'Region' FROM region UNION ALL SELECT upper(s_name), 'Supplier' FROM supplier)"
+ALLOWED = "allowed AS (SELECT replace(lower(n_name), '_', ' ') AS name, 'Nation' AS type FROM nation UNION ALL SELECT replace(lower(r_name), '_', ' '), 'Region' FROM region UNION ALL SELECT replace(upper(s_name), '_', ' '), 'Supplier' FROM supplier)"
+#: Non-edges by the arithmetic of embed.negative_edges; eight draws are enough for graphs with fewer than seven edges a node.
+MIXED = "(((({0}) * 48271 + 11) % 2147483647 * 16807) % 2147483647 * 39373) % 2147483647"
+NEGATIVE = f"""ranks AS (SELECT graph, idx, row_number() OVER (PARTITION BY graph ORDER BY idx) - 1 AS rank, count(*) OVER (PARTITION BY graph) AS n FROM nodes),
+    offers AS (SELECT r.graph, r.idx AS src, k.k, {MIXED.format('r.rank')} AS hash, (r.rank + 1 + ({MIXED.format('r.rank')} + k.k) % (r.n - 1)) % r.n AS dst_rank FROM ranks r CROSS JOIN range(8) k(k)),
+    free AS (SELECT o.graph, o.src, t.idx AS dst, row_number() OVER (PARTITION BY o.graph ORDER BY o.k, o.hash, o.src) AS place FROM offers o JOIN ranks t ON t.graph = o.graph AND t.rank = o.dst_rank
+        WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = o.graph AND (e.src = o.src AND e.dst = t.idx OR e.src = t.idx AND e.dst = o.src))),
+    negative AS (SELECT graph, src, dst FROM free WHERE place <= (SELECT count(*) FROM edges e WHERE e.graph = free.graph))"""
