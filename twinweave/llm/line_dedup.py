@@ -16,6 +16,17 @@ _DOC = ["k", "k2"]
 _PLACE = ["z", "o", "k", "k2", "p"]
 
 
+_SPACES = " \t\n\x0b\x0c\r"
+
+
+def _words(c: str) -> Column:
+    """Words of a line without white space at its ends; where single spaces alone part them, their number tells."""
+    odd = F.lit(False)
+    for x in ("  ", *_SPACES[1:]):
+        odd = odd | F.contains(F.col(c), F.lit(x))
+    return F.when(odd | (F.col(c) == ""), F.regexp_count(c, F.lit(WORD))).otherwise(F.octet_length(c) - F.octet_length(F.replace(F.col(c), F.lit(" "))) + 1).cast("int")
+
+
 def ranked(keys: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct ``keys`` with an order-preserving ``rank``.
 
@@ -123,8 +134,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     """
     text, doc_id = F.col(text_col).cast("string"), F.col(id_col).cast("long")
     base = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("k"), F.xxhash64(F.lit(1), doc_id, text).alias("k2"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
-    exploded = base.select(*_DOC, "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "s")).select(*_DOC, "doc_id", "line", F.regexp_replace("s", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("s"))
-    lines = exploded.select(*_DOC, "doc_id", "line", F.when(F.col("s") != "", F.xxhash64("s")).alias("id"), F.xxhash64(F.lit(1), "s").alias("id2"), F.regexp_count("s", F.lit(WORD)).cast("int").alias("words"))
+    exploded = base.select(*_DOC, "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "s")).select(*_DOC, "doc_id", "line", F.btrim("s", F.lit(_SPACES)).alias("s"))
+    lines = exploded.select(*_DOC, "doc_id", "line", F.when(F.col("s") != "", F.xxhash64("s")).alias("id"), F.xxhash64(F.lit(1), "s").alias("id2"), _words("s").alias("words"))
     lines = materialise(lines.repartition(*_DOC).dropDuplicates([*_DOC, "line"]), "line-ids")
 
     levels = min_words.bit_length()  # 2^levels - 1 lines hold min_words words
