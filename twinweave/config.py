@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 # Namespaces, caps and hyper-parameters that results depend on.
@@ -38,6 +40,14 @@ class Settings:
     mmd_sample: int = 2048
 
 
+def required(name: str, env: Mapping[str, str] | None = None) -> str:
+    """A setting from the environment; one that is missing or blank is an error."""
+    value = (os.environ if env is None else env).get(name, "").strip()
+    if not value:
+        raise RuntimeError(f"{name} is not set")
+    return value
+
+
 EMBEDDING_MODES = {"text": (True, False), "graph": (False, True), "text_and_graph": (True, True)}
 
 

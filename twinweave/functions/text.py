@@ -93,6 +93,21 @@ def extract_json(c: Column) -> Column:
     return F.coalesce(F.when(bare.startswith("{") & bare.endswith("}"), bare), F.nullif(fenced, F.lit("")), F.nullif(loose, F.lit("")))
 
 
+def error_details(body: Column) -> Column:
+    """(code, message) of a service's error body: of its error object, else of itself, else the body as message; null has neither."""
+    kind = "code string, message string"
+    inner, outer = F.from_json(F.get_json_object(body, "$.error"), kind), F.from_json(body, kind)
+    is_object = F.coalesce(strip(F.get_json_object(body, "$")).startswith("{"), F.lit(False))
+    has_inner = F.coalesce(strip(F.get_json_object(body, "$.error")).startswith("{"), F.lit(False))
+    plain = F.struct(F.lit(None).cast("string").alias("code"), body.alias("message"))
+    return F.when(has_inner, inner).when(is_object, outer).otherwise(plain)
+
+
+def fold_lines(c: Column) -> Column:
+    """Line feeds as spaces."""
+    return F.replace(c, F.lit("\n"), F.lit(" "))
+
+
 def safe_float(c: Column) -> Column:
     """A double, or null where the text is none."""
     return c.try_cast("double")
@@ -115,7 +130,7 @@ def pair_label(left: Column, right: Column) -> Column:
 
 def display_number(c: Column) -> Column:
     """Three decimals; a dash for null."""
-    return F.coalesce(F.format_string("%.3f", c), F.lit("-"))
+    return F.when(c.isNull(), "-").otherwise(F.format_string("%.3f", c))
 
 
 def prompt(template: str, text: Column, source_id: Column, index: Column, total: Column) -> Column:

@@ -130,6 +130,7 @@ def lower_median_distance(vectors: DataFrame) -> float | None:
         return None
     chosen: list[tuple[float, float, int]] = []  # ranges so far, and the bin taken of each
     low, high, middle = 0.0, 2 * largest**0.5 + 1e-9, None
+    finest = 1e-12 * high
 
     def bin_of(d, low, high):
         return np.minimum(((d - low) * (BINS / (high - low))).astype(np.int64), BINS - 1)
@@ -156,7 +157,7 @@ def lower_median_distance(vectors: DataFrame) -> float | None:
         chosen.append((low, high, at))
         width = (high - low) / BINS
         low, high = low + at * width, low + (at + 1) * width
-        if n > READ and width <= 1e-12 * high:
+        if n > READ and width <= finest:
             return low  # so many equal distances, to the last digits
         if n <= READ:
 

@@ -107,6 +107,20 @@ def entity_merge(entities: DataFrame) -> DataFrame:
     )
 
 
+def entity_list(entities: DataFrame) -> DataFrame:
+    """name, type, description of the first spelling of each name(name, type, description, pos), case aside; blank names go."""
+    clean = entities.withColumn("name", strip(F.col("name"))).where("name <> ''")
+    first = F.min_by(F.struct("name", F.coalesce("type", F.lit("")).alias("type"), F.coalesce("description", F.lit("")).alias("description")), F.struct("pos", "name"))
+    return clean.groupBy(F.lower("name").alias("key")).agg(first.alias("e")).select("e.*")
+
+
+def write_entities(entities: DataFrame, folder: str) -> None:
+    """entities(name, type, description, pos) as a list of names and as JSON records, sorted by lower name: one file each."""
+    listed = entity_list(entities).orderBy(F.lower("name"), "name").coalesce(1)
+    listed.select("name").write.mode("overwrite").text(f"{folder}/entities")
+    listed.write.mode("overwrite").json(f"{folder}/entities_metadata")
+
+
 def token_entities(tokens: DataFrame, ents: DataFrame) -> DataFrame:
     """doc, i, ent_id: a token's entity, else the entities of its compound children.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,11 @@ def report_csv(report: DataFrame, path: str) -> None:
     ordered.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """left_entity, right_entity, not_aligned of a written report; empty cells are null."""
+    return spark.read.option("header", True).schema("left_entity string, right_entity string, not_aligned string").csv(path)
+
+
 def best_similarity(similarity: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """graph, idx, label, best: the highest similarity of every node; 0 where the other side is empty."""
     x = left.join(similarity.groupBy(F.col("i").alias("idx")).agg(F.max("sim").alias("best")), "idx", "left").select(F.lit("left").alias("graph"), "idx", "label", F.coalesce("best", F.lit(0.0)).alias("best"))

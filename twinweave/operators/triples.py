@@ -118,6 +118,23 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return one.withColumn("hop", F.lit(1)).unionByName(two.join(one, ["node", "other"], "left_anti").withColumn("hop", F.lit(2)))
 
 
+def first_triples(triples: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` triples in order of (s, p, o); none keeps all."""
+    return triples if most is None else triples.orderBy("s", "p", "o").limit(most)
+
+
+def selected_nodes(nodes: DataFrame, edges: DataFrame, item: str, prop: str, values: list[str]) -> DataFrame:
+    """label of the nodes that a filter keeps visible.
+
+    ``item`` node: nodes whose property ``prop`` is among the values. ``item`` edge:
+    both ends of such edges(src, dst, ...).
+    """
+    if item == "node":
+        return nodes.where(F.col(prop).cast("string").isin(values)).select("label").distinct()
+    hit = edges.where(F.col(prop).cast("string").isin(values))
+    return hit.select(F.col("src").alias("label")).unionByName(hit.select(F.col("dst").alias("label"))).distinct()
+
+
 def visible_graph(triples: DataFrame, label) -> tuple[DataFrame, DataFrame]:
     """(nodes: label, title), (edges: src, dst, label) as drawn: nodes with one label merge."""
     ends = triples.select(F.col("s").alias("uri")).unionByName(triples.select(F.col("o").alias("uri"))).distinct()

@@ -130,16 +130,16 @@ def missing_docs(spark, d):
     return articles.missing_documents(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
-@query(
-    r"""ch AS (
+#: The cuts of the chunker, one after the other.
+CHUNKS = r"""ch AS (
         SELECT doc_id, trim(coalesce(text, ''), E' \t\n\r\v\f') AS t, 1::BIGINT AS st, 0::BIGINT AS seq, '' AS chunk FROM documents
         UNION ALL
         SELECT doc_id, t, en, seq + 1, trim(substring(t, st, en - st), E' \t\n\r\v\f') FROM (
             SELECT *, CASE WHEN st + 3500 > length(t) THEN length(t) + 1 WHEN nl > 0 AND st + 3500 - nl > st + 100 THEN st + 3500 - nl ELSE st + 3500 END AS en
-            FROM (SELECT *, instr(reverse(substring(t, st, 3500)), chr(10)) AS nl FROM ch WHERE st <= length(t))))
-    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seq))::INTEGER AS pos, chunk FROM ch WHERE seq > 0 AND chunk <> ''""",
-    recursive=True,
-)
+            FROM (SELECT *, instr(reverse(substring(t, st, 3500)), chr(10)) AS nl FROM ch WHERE st <= length(t))))"""
+
+
+@query(f"{CHUNKS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seq))::INTEGER AS pos, chunk FROM ch WHERE seq > 0 AND chunk <> ''", recursive=True)
 def chunk_text(spark, d):
     return chunks.chunk_text(table(spark, d, "documents"))
 
@@ -211,7 +211,7 @@ def entity_merge(spark, d):
     return extract.entity_merge(table(spark, d, "part").select(F.when(k % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("name"), F.col("p_type").alias("type"), F.when(k % 3 == 0, "").otherwise(F.col("p_name")).alias("description"), k.alias("pos")))
 
 
-@query()
+@query("SELECT n_nationkey AS doc, n_name AS subject, 'lie_in_' || lower(r_name) AS relation, r_name AS object FROM nation JOIN region ON n_regionkey = r_regionkey")
 def dependency_relations(spark, d):
     """The dependency rules over nations as subjects of ``is in`` their regions; tokens are built, not parsed."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

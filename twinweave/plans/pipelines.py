@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinweave.config import RAW_NAMESPACE, RDF_TYPE, Settings
@@ -15,18 +15,33 @@ from twinweave.functions.vectors import similarity_pairs
 from twinweave.operators import extract, qubo, report, solve
 from twinweave.operators import triples as graph
 from twinweave.operators.embed import encode, relation_vectors, train_embeddings
-from twinweave.runtime import materialise
+from twinweave.operators.numbering import numbered
+from twinweave.runtime import exists, materialise
+
+
+def source_id(corpus: str, place: Column) -> Column:
+    return F.concat(F.lit(f"{corpus}_"), place.cast("string"))
+
+
+def build_unless_there(spark: SparkSession, paths: list[str], build: Callable[[], None], force: bool = False) -> bool:
+    """Runs ``build`` unless all of its results are there already, or if forced; whether it ran."""
+    if not force and all(exists(spark, p) for p in paths):
+        return False
+    build()
+    return True
 
 
 def extract_corpus(docs: DataFrame, corpus: str, client: Callable[[str], str], template: str, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(entities, triples) of docs(doc_id, text) by a model client, chunk by chunk.
 
-    Chunks whose answer isn't valid JSON are skipped; caps hold per chunk.
+    Chunks whose answer isn't valid JSON are skipped; caps hold per chunk. A source is
+    named by its document's place in order of doc_id, from 0, blank ones counted.
     """
     pieces = chunk_text(docs.where("text is not null"), settings.chunk_chars)
     total = pieces.groupBy("doc_id").agg(F.max("pos").alias("total"))
-    source = F.concat(F.lit(f"{corpus}_"), F.col("doc_id").cast("string"))
-    asked = pieces.join(total, "doc_id").select(F.struct("doc_id", "pos").alias("chunk_id"), prompt(template, F.col("chunk"), source, F.col("pos"), F.col("total")).alias("prompt"))
+    place = numbered(docs.select("doc_id").distinct(), ["doc_id"], "place")
+    source = source_id(corpus, F.col("place"))
+    asked = pieces.join(total, "doc_id").join(place, "doc_id").select(F.struct("doc_id", "pos").alias("chunk_id"), prompt(template, F.col("chunk"), source, F.col("pos"), F.col("total")).alias("prompt"))
     answers = materialise(extract.ask(asked, client), "answers")
     entities = extract.parse_entities(answers, "chunk_id", cap=settings.entities_per_chunk)
     return entities.withColumn("pos", F.struct("chunk_id", "pos")), extract.parse_triples(answers, "chunk_id", cap=settings.triples_per_chunk)

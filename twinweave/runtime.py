@@ -42,6 +42,12 @@ def materialise_at(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataF
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Deletes a table that no later plan reads."""
     jvm = spark._jvm

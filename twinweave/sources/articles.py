@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.functions.text import sanitize_filename, strip
+from twinweave.functions.text import fold_lines, sanitize_filename, strip
 
 SEPARATOR = "---\n"
 
@@ -55,6 +57,49 @@ def cached_in_order(pinned: DataFrame, cached: DataFrame, key: str) -> DataFrame
     return pinned.join(cached, key)
 
 
+def fetch(pinned: DataFrame, cached: DataFrame, loader: Callable[[str], dict | None], key: str = "key") -> DataFrame:
+    """pos, key, title, url, body of pinned(pos, key) in any order: what the cache has, else what the loader gives.
+
+    ``loader`` gets a missing key, in the tasks, and returns title, url and body (or
+    None: left out). Bodies lose their line feeds, titles the white space around.
+    The caller orders by pos and adds what was loaded to the cache.
+    """
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            found = [(p, k, loader(k)) for p, k in zip(f["pos"], f["key"], strict=True)]
+            yield pd.DataFrame([(p, k, x["title"], x["url"], x["body"]) for p, k, x in found if x], columns=["pos", "key", "title", "url", "body"])
+
+    ddl = "pos long, key string, title string, url string, body string"
+    wanted = pinned.select(F.col("pos").cast("long").alias("pos"), F.col(key).alias("key"))
+    loaded = missing_documents(wanted, cached.withColumnRenamed(key, "key"), "key").mapInPandas(run, ddl)
+    clean = loaded.select("pos", "key", strip(F.col("title")).alias("title"), "url", fold_lines(F.col("body")).alias("body"))
+    return cached_in_order(wanted, cached.select(F.col(key).alias("key"), "title", "url", "body"), "key").select("pos", "key", "title", "url", "body").unionByName(clean)
+
+
+def search_or_cached(found: DataFrame, cached: DataFrame, most: int) -> DataFrame:
+    """What a search found; if that is nothing, the first ``most`` of the cache(pos, ...)."""
+    return cached.orderBy("pos").limit(most) if found.isEmpty() else found
+
+
+def write_article_files(docs: DataFrame, folder: str, source: str, key_name: str = "Title") -> int:
+    """Writes article_text(docs) as one file per article into any store that Spark writes; their number.
+
+    An export for people: rows come to the driver one partition at a time.
+    """
+    spark, n = docs.sparkSession, 0
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for r in article_text(docs, source, key_name).toLocalIterator():
+        at = jvm.org.apache.hadoop.fs.Path(folder, r.name)
+        out = at.getFileSystem(conf).create(at, True)
+        out.write(bytearray(r.content.encode()))
+        out.close()
+        n += 1
+    return n
+
+
 def fetch_plan(pinned: DataFrame, cached: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     """What a network connector would have to load; loading itself needs a network and is left to the caller."""
     wanted = pinned if limit is None else pinned.orderBy("pos").limit(limit)

@@ -80,7 +80,10 @@ def parse(text: str) -> set[tuple[str, str, str, bool]]:
 
 
 class TurtleSource(DataSource):
-    """``spark.read.format("turtle").load(file)``: a file's triples; option graph names them."""
+    """``spark.read.format("turtle").load(file)``: a file's triples; option graph names them.
+
+    The file may lie in any store that Arrow opens by URI; scan_turtle reads whatever Spark reads.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -95,11 +98,14 @@ class TurtleSource(DataSource):
 
 class _TurtleReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.graph = options["path"].removeprefix("file://"), options.get("graph", "")
+        self.path, self.graph = options["path"], options.get("graph", "")
 
     def read(self, partition):
-        with open(self.path, encoding="utf-8") as f:
-            for s, p, o, is_uri in parse(f.read()):
+        from pyarrow.fs import FileSystem, LocalFileSystem
+
+        store, at = FileSystem.from_uri(self.path) if "://" in self.path else (LocalFileSystem(), self.path.removeprefix("file:"))
+        with store.open_input_stream(at) as f:
+            for s, p, o, is_uri in parse(f.read().decode()):
                 yield self.graph, s, p, o, is_uri
 
 
