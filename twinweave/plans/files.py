@@ -14,13 +14,13 @@ from twinweave.operators.numbering import numbered
 from twinweave.plans import pipelines
 from twinweave.plans import standin as given
 from twinweave.plans.catalogue import CHUNKS, _best, _components, _greedy, query
-from twinweave.runtime import materialise, shared_dir, table
+from twinweave.runtime import materialise, run_folder, table
 from twinweave.sources import articles, bundles, graphstore, turtle
 
 
 def _place(spark, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/twinweave/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # Triples and articles as files.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -25,6 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_owned: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's tables; it goes when the driver's program ends, or with release()."""
+    at = f"{shared_dir(spark)}/twinweave/{spark.sparkContext.applicationId}"
+    if at not in _owned:
+        _owned.add(at)
+        atexit.register(_forget, spark, at)
+    return at
+
+
+def _forget(spark: SparkSession, at: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session can't reach the store any more
+        with contextlib.suppress(Exception):
+            drop_table(spark, at)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables of this application in the shared folder: for callers whose results are written."""
+    drop_table(spark, run_folder(spark))
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
@@ -37,7 +61,7 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def materialise_at(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """As materialise, with the path, for a caller that drops the table later."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/twinweave/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -72,6 +96,17 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bounds Arrow batches by bytes for the rest of the session, unless the session has set its own bound.
+
+    Spark's default of 64 MB is held several times over by a task and its Python
+    worker; rows of whole texts reach it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "64MB").lower() in ("64mb", "64m", "67108864", "67108864b"):
+        spark.conf.set(name, most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied table by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
