@@ -1,6 +1,9 @@
+import os
 import random
 import zlib
 
+import pytest
+
 from cases import AWKWARD, documents
 
 from twinweave.llm.language_id import WINDOW, ByteNet, identify, train, windows_of
@@ -42,6 +45,16 @@ def test_held_out_accuracy_and_awkward_rows(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_held_out_accuracy_on_documents(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no documents")
+    docs = spark.read.parquet(path)
+    got = identify(docs, train(docs), keep=("lang",)).where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 100
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) >= 0.9
+
+
 def test_labels_and_ids_are_no_inputs(spark):
     rows = corpus()
     net = train(documents(spark, rows))

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinweave.runtime import small_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -164,25 +166,32 @@ def held_out(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def _cuts(batches):
-    """WINDOWS windows of each sampled text, evenly spread."""
-    for batch in batches:
-        ids, langs, out, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], []
-        for i, (lang, text) in enumerate(zip(langs, batch.column(2).cast(pa.binary()).to_pylist(), strict=True)):
-            last = max(0, len(text) - WINDOW)
-            for s in sorted({last * j // max(1, WINDOWS - 1) for j in range(WINDOWS)}):
-                rows.append((ids[i], lang, s))
-                out.append(text[s : s + WINDOW])
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "lang", "at", "bytes"])
+def _cuts(windows: int):
+    """So many windows of each sampled text, evenly spread from its start to its end."""
+
+    def run(batches):
+        for batch in batches:
+            ids, langs, out, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], []
+            for i, (lang, text) in enumerate(zip(langs, batch.column(2).cast(pa.binary()).to_pylist(), strict=True)):
+                last = max(0, len(text) - WINDOW)
+                for s in sorted({last * j // max(1, windows - 1) for j in range(windows)}):
+                    rows.append((ids[i], lang, s))
+                    out.append(text[s : s + WINDOW])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "lang", "at", "bytes"])
+
+    return run
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> ByteNet | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, windows: int = WINDOWS) -> ByteNet | None:
     """A network from labelled texts outside the held-out fold; None if there are none.
 
-    The sample is the documented bound: about ``per_lang`` documents of each
-    language, picked by a hash of the id, WINDOWS windows of WINDOW bytes each.
+    The sample is the documented bound, by two parameters: about ``per_lang``
+    documents of each language, picked by a hash of the id, and of each ``windows``
+    windows of WINDOW bytes, evenly spread over the whole text. Prediction reads all
+    windows of all texts.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     labelled = labelled.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("doc_id"))
     counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row per language
@@ -190,7 +199,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(per_lang / n))])
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.where(draw < share[F.col("lang")]).mapInArrow(_cuts, "doc_id long, lang string, at long, bytes binary").toPandas()
+    sample = labelled.where(draw < share[F.col("lang")]).mapInArrow(_cuts(windows), "doc_id long, lang string, at long, bytes binary").toPandas()
     sample = sample.sort_values(["lang", "doc_id", "at", "bytes"], kind="stable")
     labels = sorted(set(sample.lang)) if len(sample) else sorted(counts)
     if not len(sample):
@@ -207,9 +216,11 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
     """doc_id, held_out, lang_pred, score of every whole text, and the columns in ``keep``.
 
     A null text, one without a letter, or any text where there is no network gets
-    ``und`` and score 0. Rows are independent: repeated rows get equal answers, an
+    ``und`` and score 0; of languages that score alike the first in code point order
+    is taken. Rows are independent: repeated rows get equal answers, an
     empty table gives no rows, and no shuffle is needed.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(net)  # FILTERS and CLASSES bound its size: under 1 MB
 
     def run(batches):
