@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.runtime import drop_table, materialise_at
+from twinweave.runtime import drop_table, materialise_at, small_batches
 
 #: Deleted before texts are compared: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -142,6 +142,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     64 bits of the digest; owner tasks take whole buckets in key order and compare
     bytes along each key's chain, holding one chain at a time.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     local, local_path = materialise_at(source.mapInArrow(_local_slots(budget), _LOCAL_DDL), "exact-local")

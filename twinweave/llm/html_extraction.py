@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.runtime import drop_table, materialise, materialise_at
+from twinweave.runtime import drop_table, materialise, materialise_at, small_batches
 
 #: Wrappers up to this many hosts are broadcast; more are joined.
 HOST_BOUND = 20_000
@@ -477,6 +477,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     from twinweave.llm.url_filter import host_of
 
+    small_batches(pages.sparkSession)
     url = F.col(url_col).cast("string")
     given = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), F.col(html_col).cast("string").alias("html"))
     wrappers = materialise(infer_wrappers(given).join(template_texts(given), "host", "left"), "html-wrappers")

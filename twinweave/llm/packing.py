@@ -15,15 +15,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinweave.llm.pieces import distinct
-from twinweave.runtime import materialise
+from twinweave.llm.pieces import distinct, give_back
+from twinweave.runtime import materialise, small_batches
 
 END_ID = 1
 #: White-space-free parts, and ids of distinct pieces, remembered per worker.
 PARTS = 100_000
-IDS = 4 << 20
+IDS = 2 << 20
 #: Characters handled at once; a longer text is cut at white space.
-GROUP = 1 << 20
+GROUP = 1 << 19
 #: Partitions whose offsets are broadcast: at most 16 KB each.
 PARTITION_BOUND = 2_000
 #: Third parts tried for each first part of a combination.
@@ -120,10 +120,10 @@ class Encoder:
             raise ValueError("token ids above 65535 don't fit the tails")
         self.library = Tokenizer.from_file(path)
         self.odd = re.compile("[\x1c-\x1f]").search
-        self.parts = Recent(self.ask, PARTS)
         self.clear()
 
     def clear(self) -> None:
+        self.parts = Recent(self.ask, PARTS)
         self.number: dict[str, int] = {}
         self.lengths, self.flat = array.array("q"), array.array("H")
 
@@ -231,11 +231,11 @@ _TAILS = pa.schema(
 
 def _tokenised(path: str, window: int):
     def run(batches):
-        encode, pid, seen, windows = encoder(path).encode_all, TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
+        own, pid, seen, windows = encoder(path), TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
         last = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            encoded = encode([t or "" for t in batch.column(1).to_pylist()])
+            encoded = own.encode_all([t or "" for t in batch.column(1).to_pylist()])
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids += last
                 n = len(ids) // 4
@@ -246,6 +246,8 @@ def _tokenised(path: str, window: int):
                 windows += whole
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _TAILS, strict=True)], schema=_TAILS)
+        own.clear()  # what a task remembers, the worker needn't hold between tasks
+        give_back()
 
     return run
 
@@ -391,6 +393,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, id_col: str = "doc
     place follows from its length and its rank among equal lengths, so only ranks
     are exchanged: counts by partition and length.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tails = materialise(given.mapInArrow(_tokenised(tokenizer, window), _TAILS_DDL), "pack-tails")
     counts = tails.groupBy("pid", "bin").agg(F.count("*").alias("n"))

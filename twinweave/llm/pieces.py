@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
@@ -14,6 +16,14 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers outlive their tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def _alike(points: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> bool:
     """Whether the runs of points at a and at b are equal, each of its length."""
     differ = a != b

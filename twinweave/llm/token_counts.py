@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.llm.pieces import distinct
+from twinweave.llm.pieces import distinct, give_back
+from twinweave.runtime import small_batches
 
 CHUNK = 256
 #: Characters handled at once; longer texts are read in stretches of as many.
 GROUP = 1 << 20
 #: Pieces and token pairs, and merge states, remembered per worker before they start afresh.
 REMEMBERED = 250_000
-STATES = 160_000
+STATES = 120_000
 #: Pieces, or chunks of one, that run side by side.
 LANES = 4096
 
@@ -353,6 +354,10 @@ class Counter:
     def __init__(self, model: MergeTransducer):
         self.model, self.known = model, {}
 
+    def clear(self) -> None:
+        self.known = {}
+        self.model.clear()
+
     def __call__(self, pieces: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self.known = {}
@@ -470,7 +475,10 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
         for batch in batches:
             n = [x for g in groups(t.as_py() or "" for t in batch.column(2)) for x in count_group(g, tokenizer)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        compiled(tokenizer)[0].clear()  # what a task remembers, the worker needn't hold between tasks
+        give_back()
 
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     return given.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
