@@ -38,9 +38,9 @@ def test_chunks_compose_across_their_ends(library):
 def test_long_texts_in_stretches(library, monkeypatch):
     """Every place of a stretch's end, with pieces inside, across and over several stretches."""
     rng = random.Random(9)
-    texts = ["".join(rng.choice(["a", "the", " ", "  ", "'re", "'", "'v", "12", "!", "\n", "日本", "z" * 40]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    texts = ["".join(rng.choice(["a", "the", " ", "  ", "'re", "'", "'v", "12", "!", "\n", "日本", "z" * 40]) for _ in range(rng.randint(1, 60))) for _ in range(120)]
     texts += ["x" * 500, "a" * 997, " " * 300, "ab" * 301 + " " + "é" * 333, "'" * 200 + "s"]
-    for size in (1, 2, 7, 64):
+    for size in (1, 7, 64):
         monkeypatch.setattr(token_counts_module, "GROUP", size)
         assert count_group(texts, PATH) == counts(library, texts), size
 
