@@ -41,7 +41,8 @@ def clean_for_uri(spark, d):
     return table(spark, d, "part").select("p_partkey", text.clean_for_uri(name).alias("uri"))
 
 
-@query(rf"SELECT p_partkey, '{RAW_NAMESPACE}' || coalesce(nullif(regexp_replace(replace(CASE WHEN p_size % 5 = 0 THEN '?!' ELSE p_type END, ' ', '_'), '[^a-zA-Z0-9_''\-]', '', 'g'), ''), 'related_to') AS uri FROM part")
+@query(rf"""SELECT p_partkey, '{RAW_NAMESPACE}' || coalesce(nullif(regexp_replace(replace(CASE WHEN p_size % 5 = 0 THEN '?!' ELSE p_type END, ' ', '_'), '[^a-zA-Z0-9_''\-]', '', 'g'), ''), 'related_to') AS uri
+    FROM part""")
 def relation_uri(spark, d):
     return table(spark, d, "part").select("p_partkey", text.relation_uri(F.when(F.col("p_size") % 5 == 0, "?!").otherwise(F.col("p_type"))).alias("uri"))
 
@@ -51,7 +52,8 @@ def clean_relation_label(spark, d):
     return table(spark, d, "documents").select("doc_id", text.clean_relation_label(F.col("text")).alias("label"))
 
 
-@query("SELECT page_id, replace(regexp_replace(regexp_replace(url, '(?s)^.*#', ''), '(?s)^.*/', ''), '_', ' ') AS label, replace(regexp_replace(url, '(?s)^.*/', ''), '_', ' ') AS path_label, CASE WHEN contains(url, '#') THEN regexp_replace(url, '(?s)^.*#', '') ELSE regexp_replace(url, '(?s)^.*/', '') END AS fragment, regexp_replace(regexp_replace(url, '(?s)^.*/', ''), '(?s)^.*#', '') AS tail FROM pages")
+@query("""SELECT page_id, replace(regexp_replace(regexp_replace(url, '(?s)^.*#', ''), '(?s)^.*/', ''), '_', ' ') AS label, replace(regexp_replace(url, '(?s)^.*/', ''), '_', ' ') AS path_label, CASE WHEN contains(url, '#') THEN regexp_replace(url, '(?s)^.*#', '') ELSE regexp_replace(url, '(?s)^.*/', '') END AS fragment, regexp_replace(regexp_replace(url, '(?s)^.*/', ''), '(?s)^.*#', '') AS tail
+    FROM pages""")
 def local_name(spark, d):
     u = F.col("url")
     return table(spark, d, "pages").select("page_id", text.local_name(u).alias("label"), text.path_name(u).alias("path_label"), text.fragment_or_tail(u).alias("fragment"), text.tail_then_fragment(u).alias("tail"))
@@ -78,7 +80,8 @@ def sanitize_name(spark, d):
     return table(spark, d, "documents").select("doc_id", text.sanitize_name(F.col("text")).alias("name"))
 
 
-@query("SELECT page_id, CASE WHEN contains(u, '/abs/') THEN regexp_replace(u, '(?s)^.*/abs/', '') ELSE regexp_replace(u, '(?s)^.*/', '') END AS tail FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(url, '/en/', '/abs/') ELSE url END AS u FROM pages)")
+@query("""SELECT page_id, CASE WHEN contains(u, '/abs/') THEN regexp_replace(u, '(?s)^.*/abs/', '') ELSE regexp_replace(u, '(?s)^.*/', '') END AS tail
+    FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(url, '/en/', '/abs/') ELSE url END AS u FROM pages)""")
 def url_tail(spark, d):
     u = F.when(F.col("page_id") % 2 == 0, F.replace("url", F.lit("/en/"), F.lit("/abs/"))).otherwise(F.col("url"))
     return table(spark, d, "pages").select("page_id", text.url_tail(u).alias("tail"))
@@ -100,7 +103,8 @@ def safe_float(spark, d):
     return table(spark, d, "events").select("event_id", text.safe_float(F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("value").cast("string"))).alias("value"))
 
 
-@query(r"SELECT doc_id, CASE WHEN t = '' THEN '<empty document>' WHEN length(t) > 80 THEN left(t, 80) || '...' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents)")
+@query(r"""SELECT doc_id, CASE WHEN t = '' THEN '<empty document>' WHEN length(t) > 80 THEN left(t, 80) || '...' ELSE t END AS preview
+    FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents)""")
 def doc_preview(spark, d):
     return table(spark, d, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
 
@@ -119,7 +123,8 @@ def article_scan(spark, d):
     return docs.select("doc_id", content.alias("c")).where(key.isNotNull()).select("doc_id", body.alias("body"))
 
 
-@query("SELECT coalesce(max(try_cast(split_part(n, '_', 1) AS INTEGER)), 0) + 1 AS next_index FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END || doc_id || '_' || source AS n FROM documents)")
+@query("""SELECT coalesce(max(try_cast(split_part(n, '_', 1) AS INTEGER)), 0) + 1 AS next_index
+    FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END || doc_id || '_' || source AS n FROM documents)""")
 def next_index(spark, d):
     name = F.concat(F.when(F.col("doc_id") % 3 == 0, "x").otherwise(""), F.col("doc_id").cast("string"), F.lit("_"), "source")
     return articles.next_index(table(spark, d, "documents").select(name.alias("name")))
@@ -234,12 +239,15 @@ def graph_nodes(spark, d):
     return graph.graph_nodes(given.triples(spark, d))
 
 
-@query(f"WITH {given.TRIPLES} SELECT graph, uri, row_number() OVER (PARTITION BY graph ORDER BY uri) - 1 AS idx FROM (SELECT DISTINCT graph, uri FROM (SELECT graph, s AS uri FROM triples UNION ALL SELECT graph, o FROM triples))")
+@query(f"""WITH {given.TRIPLES} SELECT graph, uri, row_number() OVER (PARTITION BY graph ORDER BY uri) - 1 AS idx FROM (SELECT DISTINCT graph, uri
+    FROM (SELECT graph, s AS uri FROM triples UNION ALL SELECT graph, o FROM triples))""")
 def node_index(spark, d):
     return graph.node_index(given.triples(spark, d))
 
 
-@query(f"WITH {given.TRIPLES}, n AS (SELECT graph, uri, row_number() OVER (PARTITION BY graph ORDER BY uri) - 1 AS idx FROM (SELECT DISTINCT graph, uri FROM (SELECT graph, s AS uri FROM triples UNION ALL SELECT graph, o FROM triples))) SELECT t.graph, x.idx AS src, y.idx AS dst, t.p AS label FROM triples t JOIN n x ON x.graph = t.graph AND x.uri = t.s JOIN n y ON y.graph = t.graph AND y.uri = t.o")
+@query(f"""WITH {given.TRIPLES}, n AS (SELECT graph, uri, row_number() OVER (PARTITION BY graph ORDER BY uri) - 1 AS idx FROM (SELECT DISTINCT graph, uri
+    FROM (SELECT graph, s AS uri FROM triples UNION ALL SELECT graph, o FROM triples))) SELECT t.graph, x.idx AS src, y.idx AS dst, t.p AS label
+    FROM triples t JOIN n x ON x.graph = t.graph AND x.uri = t.s JOIN n y ON y.graph = t.graph AND y.uri = t.o""")
 def resolve_edges(spark, d):
     t = given.triples(spark, d)
     return graph.resolve_edges(t, graph.node_index(t))
@@ -277,13 +285,16 @@ def relation_vocab(spark, d):
     return graph.relation_vocabulary(given.triples(spark, d), text.local_name, ["related to"])
 
 
-@query(f"WITH {given.NODES}, p AS (SELECT graph, uri, upper(label) AS label FROM nodes WHERE kind <> 0) SELECT n.graph, n.label, n.uri, row_number() OVER (PARTITION BY n.graph ORDER BY n.label, n.uri) - 1 AS idx FROM nodes n JOIN p ON p.graph = n.graph AND lower(p.label) = n.label")
+@query(f"""WITH {given.NODES}, p AS (SELECT graph, uri, upper(label) AS label FROM nodes
+    WHERE kind <> 0) SELECT n.graph, n.label, n.uri, row_number() OVER (PARTITION BY n.graph ORDER BY n.label, n.uri) - 1 AS idx FROM nodes n
+    JOIN p ON p.graph = n.graph AND lower(p.label) = n.label""")
 def subset_nodes(spark, d):
     n = given.nodes(spark, d)
     return graph.subset_nodes(n.where("kind <> 0").select("graph", "uri", F.upper("label").alias("label")), n.select("graph", "label", "idx", "vec")).drop("vec")
 
 
-@query(f"WITH RECURSIVE {given.GREEDY}, {given.TRIPLES}, al AS (SELECT x.uri AS l, y.uri AS r FROM pairs JOIN nodes x ON x.idx = i JOIN nodes y ON y.idx = a) SELECT s, p, o FROM triples UNION SELECT l, 'alignedWith', r FROM al UNION SELECT r, 'alignedWith', l FROM al")
+@query(f"""WITH RECURSIVE {given.GREEDY}, {given.TRIPLES}, al AS (SELECT x.uri AS l, y.uri AS r FROM pairs JOIN nodes x ON x.idx = i
+    JOIN nodes y ON y.idx = a) SELECT s, p, o FROM triples UNION SELECT l, 'alignedWith', r FROM al UNION SELECT r, 'alignedWith', l FROM al""")
 def merge_graphs(spark, d):
     t = given.triples(spark, d)
     p = _greedy(spark, d)
@@ -292,17 +303,22 @@ def merge_graphs(spark, d):
     return graph.merge_graphs(t.where("graph = 'left'"), t.where("graph = 'right'"), al)
 
 
-@query(f"WITH {given.TRIPLES} SELECT replace(regexp_replace(regexp_replace(u, '(?s)^.*#', ''), '(?s)^.*/', ''), '_', ' ') AS label, min(u) AS title FROM (SELECT s AS u FROM triples UNION SELECT o FROM triples) GROUP BY 1")
+@query(f"""WITH {given.TRIPLES} SELECT replace(regexp_replace(regexp_replace(u, '(?s)^.*#', ''), '(?s)^.*/', ''), '_', ' ') AS label, min(u) AS title
+    FROM (SELECT s AS u FROM triples UNION SELECT o FROM triples) GROUP BY 1""")
 def viz_nodes(spark, d):
     return graph.visible_graph(given.triples(spark, d), text.local_name)[0]
 
 
-@query(f"WITH {given.TRIPLES}, l AS (SELECT replace(regexp_replace(regexp_replace(s, '(?s)^.*#', ''), '(?s)^.*/', ''), '_', ' ') AS src, replace(regexp_replace(regexp_replace(o, '(?s)^.*#', ''), '(?s)^.*/', ''), '_', ' ') AS dst, replace(regexp_replace(p, '(?s)^.*/', ''), '_', ' ') AS label FROM triples) SELECT DISTINCT src, dst, label FROM l")
+@query(f"""WITH {given.TRIPLES}, l AS (SELECT replace(regexp_replace(regexp_replace(s, '(?s)^.*#', ''), '(?s)^.*/', ''), '_', ' ') AS src, replace(regexp_replace(regexp_replace(o, '(?s)^.*#', ''), '(?s)^.*/', ''), '_', ' ') AS dst, replace(regexp_replace(p, '(?s)^.*/', ''), '_', ' ') AS label
+    FROM triples) SELECT DISTINCT src, dst, label FROM l""")
 def viz_edges(spark, d):
     return graph.visible_graph(given.triples(spark, d), text.local_name)[1]
 
 
-@query(f"WITH {given.NODES}, {given.EDGES}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), two AS (SELECT DISTINCT x.src AS node, y.dst AS other FROM b x JOIN b y ON x.dst = y.src WHERE x.src <> y.dst) SELECT src AS node, dst AS other, 1::INTEGER AS hop FROM b UNION ALL SELECT node, other, 2 FROM two WHERE (node, other) NOT IN (SELECT (src, dst) FROM b)")
+@query(f"""WITH {given.NODES}, {given.EDGES}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src
+    FROM edges), two AS (SELECT DISTINCT x.src AS node, y.dst AS other FROM b x JOIN b y ON x.dst = y.src
+    WHERE x.src <> y.dst) SELECT src AS node, dst AS other, 1::INTEGER AS hop FROM b UNION ALL SELECT node, other, 2 FROM two
+    WHERE (node, other) NOT IN (SELECT (src, dst) FROM b)""")
 def two_hop(spark, d):
     return graph.two_hop(given.edges(spark, d))
 
@@ -310,7 +326,8 @@ def two_hop(spark, d):
 # Vectors and learning.
 
 
-@query(f"WITH {given.NODES}, x AS (SELECT idx, vec, sqrt(list_dot_product(vec, vec)) AS n FROM nodes) SELECT idx, (generate_subscripts(vec, 1) - 1)::INTEGER AS pos, round(unnest(vec) / greatest(n, 1e-12), 6) AS value FROM x")
+@query(f"""WITH {given.NODES}, x AS (SELECT idx, vec, sqrt(list_dot_product(vec, vec)) AS n
+    FROM nodes) SELECT idx, (generate_subscripts(vec, 1) - 1)::INTEGER AS pos, round(unnest(vec) / greatest(n, 1e-12), 6) AS value FROM x""")
 def l2_normalize(spark, d):
     n = given.nodes(spark, d).select("idx", vectors.l2_normalize(F.col("vec")).alias("vec"))
     return vectors.exploded(n, "idx").withColumn("value", F.round("value", SIX))
@@ -326,7 +343,8 @@ def mean_pool(spark, d):
     return vectors.mean_pool(given.nodes(spark, d), ["kind"]).withColumn("value", F.round("value", SIX))
 
 
-@query(f"WITH {given.NODES}, x AS (SELECT idx, list_concat(vec, list_transform(range(10), lambda k: CASE WHEN k = kind THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS v FROM nodes) SELECT idx, (generate_subscripts(v, 1) - 1)::INTEGER AS pos, round(unnest(v), 6) AS value FROM x")
+@query(f"""WITH {given.NODES}, x AS (SELECT idx, list_concat(vec, list_transform(range(10), lambda k: CASE WHEN k = kind THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS v
+    FROM nodes) SELECT idx, (generate_subscripts(v, 1) - 1)::INTEGER AS pos, round(unnest(v), 6) AS value FROM x""")
 def concat_features(spark, d):
     n = given.nodes(spark, d).select("idx", F.concat("vec", vectors.one_hot(F.col("kind"), 10)).alias("vec"))
     return vectors.exploded(n, "idx").withColumn("value", F.round("value", SIX))
@@ -370,7 +388,10 @@ def bottomk_edges(spark, d):
     return embed.extreme_edges(link_probability(spark, d), 10, False)
 
 
-@query(f"WITH {_PROB}, {given.NEGATIVE}, z AS (SELECT 1.0::DOUBLE AS y, list_dot_product(x.vec, w.vec) AS x FROM edges e JOIN nodes x ON x.idx = e.src JOIN nodes w ON w.idx = e.dst UNION ALL SELECT 0.0, list_dot_product(x.vec, w.vec) FROM negative e JOIN nodes x ON x.idx = e.src JOIN nodes w ON w.idx = e.dst), l AS (SELECT y, avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))) AS m FROM z GROUP BY y) SELECT round(sum(m), 6) AS loss FROM l")
+@query(f"""WITH {_PROB}, {given.NEGATIVE}, z AS (SELECT 1.0::DOUBLE AS y, list_dot_product(x.vec, w.vec) AS x FROM edges e JOIN nodes x ON x.idx = e.src
+    JOIN nodes w ON w.idx = e.dst UNION ALL SELECT 0.0, list_dot_product(x.vec, w.vec) FROM negative e JOIN nodes x ON x.idx = e.src
+    JOIN nodes w ON w.idx = e.dst), l AS (SELECT y, avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))) AS m FROM z
+    GROUP BY y) SELECT round(sum(m), 6) AS loss FROM l""")
 def recon_loss(spark, d):
     logit = F.log(F.col("p") / (1 - F.col("p")))
     y = F.when(F.col("kind") == "positive", 1.0).otherwise(0.0)
@@ -385,7 +406,10 @@ def mmd(spark, d):
     return vectors.mmd(given.side(spark, d, "left"), given.side(spark, d, "right")).select(F.round("mmd", SIX).alias("mmd"))
 
 
-@query(f"WITH {given.NODES}, m AS (SELECT graph, pos, avg(v) AS m, sqrt(var_pop(v) + 1e-6) AS s FROM (SELECT graph, unnest(vec) AS v, generate_subscripts(vec, 1) AS pos FROM nodes) GROUP BY graph, pos) SELECT round(avg((x.m - y.m) ** 2 + (x.s - y.s) ** 2), 6) AS loss FROM m x JOIN m y ON x.pos = y.pos AND x.graph = 'left' AND y.graph = 'right'")
+@query(f"""WITH {given.NODES}, m AS (SELECT graph, pos, avg(v) AS m, sqrt(var_pop(v) + 1e-6) AS s
+    FROM (SELECT graph, unnest(vec) AS v, generate_subscripts(vec, 1) AS pos FROM nodes)
+    GROUP BY graph, pos) SELECT round(avg((x.m - y.m) ** 2 + (x.s - y.s) ** 2), 6) AS loss FROM m x
+    JOIN m y ON x.pos = y.pos AND x.graph = 'left' AND y.graph = 'right'""")
 def moment_alignment(spark, d):
     return vectors.moment_alignment(given.side(spark, d, "left"), given.side(spark, d, "right")).select(F.round("loss", SIX).alias("loss"))
 
@@ -482,7 +506,9 @@ def qubo_total(spark, d):
     return qubo.total(_components(spark, d)).withColumn("coeff", F.round("coeff", SIX))
 
 
-@query(f"WITH {given.QUBO}, q AS (SELECT u, v, sum(coeff) AS c FROM parts GROUP BY u, v), b AS (SELECT u, v, c FROM q UNION ALL SELECT v, u, c FROM q WHERE u <> v), l AS (SELECT var, 'item_' || i || ' ↔ item_' || a AS pair FROM vars) SELECT x.pair AS row, y.pair AS col, round(c, 6) AS coeff FROM b JOIN l x ON x.var = u JOIN l y ON y.var = v")
+@query(f"""WITH {given.QUBO}, q AS (SELECT u, v, sum(coeff) AS c FROM parts GROUP BY u, v), b AS (SELECT u, v, c FROM q UNION ALL SELECT v, u, c FROM q
+    WHERE u <> v), l AS (SELECT var, 'item_' || i || ' ↔ item_' || a AS pair FROM vars) SELECT x.pair AS row, y.pair AS col, round(c, 6) AS coeff
+    FROM b JOIN l x ON x.var = u JOIN l y ON y.var = v""")
 def qubo_matrix(spark, d):
     named = qubo.labelled_variables(given.variables(spark, d), given.side(spark, d, "left"), given.side(spark, d, "right"))
     return qubo.matrix_cells(qubo.total(_components(spark, d)), named).withColumn("coeff", F.round("coeff", SIX))
@@ -523,7 +549,8 @@ def unaligned(spark, d):
     return report.unaligned(_greedy(spark, d), given.side(spark, d, "left"), given.side(spark, d, "right"))
 
 
-@query(f"{given.GREEDY}, {_UNALIGNED} SELECT 0::INTEGER AS section, -sim AS key, i AS idx, 'item_' || i AS left_entity, 'item_' || a AS right_entity, NULL::VARCHAR AS not_aligned FROM pairs UNION ALL SELECT CASE WHEN graph = 'left' THEN 1 ELSE 2 END, 0.0, idx, NULL, NULL, graph || ': ' || label FROM un", recursive=True)
+@query(f"""{given.GREEDY}, {_UNALIGNED} SELECT 0::INTEGER AS section, -sim AS key, i AS idx, 'item_' || i AS left_entity, 'item_' || a AS right_entity, NULL::VARCHAR AS not_aligned
+    FROM pairs UNION ALL SELECT CASE WHEN graph = 'left' THEN 1 ELSE 2 END, 0.0, idx, NULL, NULL, graph || ': ' || label FROM un""", recursive=True)
 def alignment_report(spark, d):
     return report.alignment_report(_greedy(spark, d), given.side(spark, d, "left"), given.side(spark, d, "right"))
 
@@ -545,7 +572,9 @@ def threshold_misses(spark, d):
     return report.threshold_misses(_best(spark, d), given.THRESHOLD, "greedy")
 
 
-@query(f"{given.GREEDY}, {_BEST} SELECT graph, label, best, 'greedy solver unused' AS reason FROM best WHERE best >= {given.THRESHOLD} AND ((graph = 'left' AND idx NOT IN (SELECT i FROM pairs)) OR (graph = 'right' AND idx NOT IN (SELECT a FROM pairs)))", recursive=True)
+@query(f"""{given.GREEDY}, {_BEST} SELECT graph, label, best, 'greedy solver unused' AS reason FROM best
+    WHERE best >= {given.THRESHOLD} AND ((graph = 'left' AND idx NOT IN (SELECT i FROM pairs)) OR (graph = 'right' AND idx NOT IN (SELECT a
+    FROM pairs)))""", recursive=True)
 def unmatched_nodes(spark, d):
     p, name = _greedy(spark, d), lambda c: F.concat(F.lit("item_"), F.col(c).cast("string")).alias("label")
     matched = p.select(F.lit("left").alias("graph"), name("i")).unionByName(p.select(F.lit("right").alias("graph"), name("a")))
@@ -570,7 +599,10 @@ def decode_sample(spark, d):
     return solve.decode(_sample(spark, d), given.variables(spark, d), given.side(spark, d, "left"), given.side(spark, d, "right"))
 
 
-@query(f"{_CHOSEN}, e AS (SELECT u AS var, v AS other, coeff FROM hs UNION ALL SELECT v, u, coeff FROM hs WHERE u <> v), s AS (SELECT var, -sum(coeff) AS s FROM e WHERE other IN (SELECT var FROM x) GROUP BY var) SELECT x.var, round(coalesce(s.s, 0), 6) AS structure_score, round(x.sim + coalesce(s.s, 0), 6) AS total_score FROM x LEFT JOIN s ON s.var = x.var", recursive=True)
+@query(f"""{_CHOSEN}, e AS (SELECT u AS var, v AS other, coeff FROM hs UNION ALL SELECT v, u, coeff FROM hs WHERE u <> v), s AS (SELECT var, -sum(coeff) AS s
+    FROM e WHERE other IN (SELECT var FROM x)
+    GROUP BY var) SELECT x.var, round(coalesce(s.s, 0), 6) AS structure_score, round(x.sim + coalesce(s.s, 0), 6) AS total_score FROM x LEFT
+    JOIN s ON s.var = x.var""", recursive=True)
 def structure_support(spark, d):
     v = given.variables(spark, d)
     s = solve.structure_support(qubo.h_structure(given.variable_weights(spark, d), v), v, _sample(spark, d))
@@ -632,7 +664,9 @@ def remove_node_cascade(spark, d):
     return graphstore.remove_nodes(nodes, edges, gone)[1].select("source", "target", "relation")
 
 
-@query("SELECT 'c' || o_custkey AS source, 'c' || t AS target, CASE WHEN o_orderstatus = 'F' THEN 'related_to' ELSE o_orderpriority END AS relation FROM (SELECT *, o_custkey * 3 - o_orderkey % 5 AS t FROM orders) WHERE t <> o_custkey AND t IN (SELECT c_custkey FROM customer) AND o_custkey IN (SELECT c_custkey FROM customer)")
+@query("""SELECT 'c' || o_custkey AS source, 'c' || t AS target, CASE WHEN o_orderstatus = 'F' THEN 'related_to' ELSE o_orderpriority END AS relation
+    FROM (SELECT *, o_custkey * 3 - o_orderkey % 5 AS t FROM orders) WHERE t <> o_custkey AND t IN (SELECT c_custkey
+    FROM customer) AND o_custkey IN (SELECT c_custkey FROM customer)""")
 def add_edges_valid(spark, d):
     cid = lambda c: F.concat(F.lit("c"), c.cast("string"))
     new = table(spark, d, "orders").select(cid(F.col("o_custkey")).alias("source"), cid(F.col("o_custkey") * 3 - F.col("o_orderkey") % 5).alias("target"), F.when(F.col("o_orderstatus") == "F", " ").otherwise(F.col("o_orderpriority")).alias("relation"))

@@ -43,7 +43,8 @@ def _article_rows(spark, d):
     return pinned, cached
 
 
-@query(f"WITH {_ARTICLES} SELECT p_partkey AS pos, key, CASE WHEN p_partkey % 2 = 0 THEN title ELSE 'found ' || key END AS title, CASE WHEN p_partkey % 2 = 0 THEN url ELSE 'http://y/' END AS url, CASE WHEN p_partkey % 2 = 0 THEN body ELSE 'two lines of ' || key END AS body FROM a WHERE p_partkey % 5 <> 3 OR p_partkey % 2 = 0")
+@query(f"""WITH {_ARTICLES} SELECT p_partkey AS pos, key, CASE WHEN p_partkey % 2 = 0 THEN title ELSE 'found ' || key END AS title, CASE WHEN p_partkey % 2 = 0 THEN url ELSE 'http://y/' END AS url, CASE WHEN p_partkey % 2 = 0 THEN body ELSE 'two lines of ' || key END AS body
+    FROM a WHERE p_partkey % 5 <> 3 OR p_partkey % 2 = 0""")
 def fetch_documents(spark, d):
     """What the cache lacks is loaded; every fifth load finds nothing."""
     pinned, cached = _article_rows(spark, d)
@@ -65,7 +66,10 @@ def article_round_trip(spark, d):
     return articles.scan_articles(spark, path).select("key", "body")
 
 
-@query("SELECT name, type, description FROM (SELECT arg_min(p_brand, p_partkey) AS name, arg_min(p_type, p_partkey) AS type, arg_min(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, p_partkey) AS description FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE lower(p_brand) END AS p_brand, p_type, p_name, p_partkey FROM part) GROUP BY lower(p_brand))")
+@query("""SELECT name, type, description
+    FROM (SELECT arg_min(p_brand, p_partkey) AS name, arg_min(p_type, p_partkey) AS type, arg_min(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, p_partkey) AS description
+    FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE lower(p_brand) END AS p_brand, p_type, p_name, p_partkey FROM part)
+    GROUP BY lower(p_brand))""")
 def entity_files(spark, d):
     """The metadata file of entities, read back."""
     k, path = F.col("p_partkey"), _place(spark, "entities")
@@ -86,7 +90,8 @@ def embedding_bundle(spark, d):
     return bundles.load_embeddings(spark, path, "left").select("graph", "idx", "uri", "label", total.alias("total"), F.size("vec").alias("dim"))
 
 
-@query(f"WITH {given.NODES} SELECT label, (pos - 1)::INTEGER AS pos, round(avg(v), 6) AS value FROM (SELECT 'rel_' || kind AS label, unnest(vec) AS v, generate_subscripts(vec, 1) AS pos FROM nodes) GROUP BY label, pos")
+@query(f"""WITH {given.NODES} SELECT label, (pos - 1)::INTEGER AS pos, round(avg(v), 6) AS value
+    FROM (SELECT 'rel_' || kind AS label, unnest(vec) AS v, generate_subscripts(vec, 1) AS pos FROM nodes) GROUP BY label, pos""")
 def relation_bundle(spark, d):
     path = _place(spark, "relations")
     vectors = given.relation_vectors(spark, d).withColumn("label", F.concat(F.lit(" "), F.upper(F.replace("label", F.lit("_"), F.lit(" ")))))
@@ -94,7 +99,10 @@ def relation_bundle(spark, d):
     return bundles.load_relations(spark, path).select("label", F.posexplode("vec").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
-@query(f"WITH {given.QUBO}, l AS (SELECT var, 'item_' || i || ' ↔ item_' || a AS pair FROM vars), b AS (SELECT component, u, v, coeff FROM parts UNION ALL SELECT component, v, u, coeff FROM parts WHERE u <> v), t AS (SELECT component, u, v, coeff FROM b UNION ALL SELECT 'total', u, v, sum(coeff) FROM b GROUP BY u, v) SELECT component, count(*) AS cells, round(sum(coeff), 4) AS total FROM t GROUP BY component")
+@query(f"""WITH {given.QUBO}, l AS (SELECT var, 'item_' || i || ' ↔ item_' || a AS pair FROM vars), b AS (SELECT component, u, v, coeff FROM parts
+    UNION ALL SELECT component, v, u, coeff FROM parts WHERE u <> v), t AS (SELECT component, u, v, coeff FROM b
+    UNION ALL SELECT 'total', u, v, sum(coeff) FROM b GROUP BY u, v) SELECT component, count(*) AS cells, round(sum(coeff), 4) AS total FROM t
+    GROUP BY component""")
 def qubo_files(spark, d):
     """The four dense matrices, read back."""
     named = qubo.labelled_variables(given.variables(spark, d), given.side(spark, d, "left"), given.side(spark, d, "right"))
@@ -107,7 +115,10 @@ def qubo_files(spark, d):
     return out
 
 
-@query(f"{given.GREEDY}, un AS (SELECT graph, idx, label FROM nodes WHERE (graph = 'left' AND idx NOT IN (SELECT i FROM pairs)) OR (graph = 'right' AND idx NOT IN (SELECT a FROM pairs))) SELECT 'item_' || i AS left_entity, 'item_' || a AS right_entity, NULL::VARCHAR AS not_aligned FROM pairs UNION ALL SELECT NULL, NULL, graph || ': ' || label FROM un", recursive=True)
+@query(f"""{given.GREEDY}, un AS (SELECT graph, idx, label FROM nodes WHERE (graph = 'left' AND idx NOT IN (SELECT i
+    FROM pairs)) OR (graph = 'right' AND idx NOT IN (SELECT a
+    FROM pairs))) SELECT 'item_' || i AS left_entity, 'item_' || a AS right_entity, NULL::VARCHAR AS not_aligned FROM pairs
+    UNION ALL SELECT NULL, NULL, graph || ': ' || label FROM un""", recursive=True)
 def report_round_trip(spark, d):
     path = _place(spark, "report")
     report.report_csv(report.alignment_report(_greedy(spark, d), given.side(spark, d, "left"), given.side(spark, d, "right")), path)
@@ -146,7 +157,9 @@ def session_grid(spark, d):
     return graphstore.rehydrate_similarity(given.similarity(spark, d).select("i", "a"), given.similarity(spark, d, given.THRESHOLD))
 
 
-@query(f"WITH {given.CAND} SELECT 'cell' AS kind, x.k AS i, y.k AS a, coalesce(c.sim, 0.0) AS value FROM (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS k FROM nodes WHERE graph = 'left') x CROSS JOIN (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS k FROM nodes WHERE graph = 'right') y LEFT JOIN cand c ON c.i = x.idx AND c.a = y.idx UNION ALL SELECT 'weight', 1, 2, 0.5")
+@query(f"""WITH {given.CAND} SELECT 'cell' AS kind, x.k AS i, y.k AS a, coalesce(c.sim, 0.0) AS value FROM (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS k
+    FROM nodes WHERE graph = 'left') x CROSS JOIN (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS k FROM nodes WHERE graph = 'right') y LEFT
+    JOIN cand c ON c.i = x.idx AND c.a = y.idx UNION ALL SELECT 'weight', 1, 2, 0.5""")
 def session_round_trip(spark, d):
     """The whole grid as a session file, read back."""
     cells = session_grid(spark, d).select(F.expr("i div 2").alias("i"), F.expr("a div 2").alias("a"), "sim")
@@ -158,7 +171,8 @@ def session_round_trip(spark, d):
     return back.unionByName(graphstore.session_weights(session).select(F.lit("weight").alias("kind"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("a"), F.col("w").alias("value")))
 
 
-@query(f"WITH {_EDITABLE}, e AS (SELECT id, CASE WHEN id LIKE '%1' THEN 'New' ELSE label END AS label, CASE WHEN id LIKE '%1' OR id LIKE '%2' THEN 'edited' ELSE description END AS description, CASE WHEN id LIKE '%3' THEN 7.0 ELSE x END AS x FROM ns) SELECT * FROM e UNION ALL SELECT 'n99', 'Node n99', '', 50.0")
+@query(f"""WITH {_EDITABLE}, e AS (SELECT id, CASE WHEN id LIKE '%1' THEN 'New' ELSE label END AS label, CASE WHEN id LIKE '%1' OR id LIKE '%2' THEN 'edited' ELSE description END AS description, CASE WHEN id LIKE '%3' THEN 7.0 ELSE x END AS x
+    FROM ns) SELECT * FROM e UNION ALL SELECT 'n99', 'Node n99', '', 50.0""")
 def edit_nodes(spark, d):
     """One node added, labels and descriptions updated (a blank label is no label), some moved, unknown ids ignored."""
     nodes, _ = _editable(spark, d)
@@ -196,7 +210,8 @@ def edge_strokes(spark, d):
 # Displays, filters, samples.
 
 
-@query(f"WITH {given.TRIPLES}, l AS (SELECT DISTINCT replace(regexp_replace(regexp_replace(s, '(?s)^.*#', ''), '(?s)^.*/', ''), '_', ' ') AS src, replace(regexp_replace(regexp_replace(o, '(?s)^.*#', ''), '(?s)^.*/', ''), '_', ' ') AS dst, replace(regexp_replace(p, '(?s)^.*/', ''), '_', ' ') AS label FROM triples) SELECT src AS label FROM l WHERE label = 'in region' UNION SELECT dst FROM l WHERE label = 'in region'")
+@query(f"""WITH {given.TRIPLES}, l AS (SELECT DISTINCT replace(regexp_replace(regexp_replace(s, '(?s)^.*#', ''), '(?s)^.*/', ''), '_', ' ') AS src, replace(regexp_replace(regexp_replace(o, '(?s)^.*#', ''), '(?s)^.*/', ''), '_', ' ') AS dst, replace(regexp_replace(p, '(?s)^.*/', ''), '_', ' ') AS label
+    FROM triples) SELECT src AS label FROM l WHERE label = 'in region' UNION SELECT dst FROM l WHERE label = 'in region'""")
 def edge_filter(spark, d):
     """The nodes that a filter on the relation keeps visible."""
     return graph.selected_nodes(*graph.visible_graph(given.triples(spark, d), text.local_name), "edge", "label", ["in region"])
@@ -224,7 +239,9 @@ def stripped_local_name(spark, d):
     return table(spark, d, "pages").select("page_id", text.stripped_local_name(F.concat("url", F.lit("_"))).alias("label"))
 
 
-@query(f"WITH {given.SIM}, best AS (SELECT 'left' AS graph, 'item_' || i AS label, max(sim) AS best FROM sim GROUP BY i UNION ALL SELECT 'right', 'item_' || a, max(sim) FROM sim GROUP BY a) SELECT graph, label, 'greedy threshold 0.30' AS reason, best FROM best WHERE best < {given.THRESHOLD}")
+@query(f"""WITH {given.SIM}, best AS (SELECT 'left' AS graph, 'item_' || i AS label, max(sim) AS best FROM sim GROUP BY i
+    UNION ALL SELECT 'right', 'item_' || a, max(sim) FROM sim GROUP BY a) SELECT graph, label, 'greedy threshold 0.30' AS reason, best FROM best
+    WHERE best < {given.THRESHOLD}""")
 def first_unaligned(spark, d):
     """Several tables of misses, the first of each (graph, label, reason)."""
     misses = report.threshold_misses(_best(spark, d), given.THRESHOLD, "greedy")
@@ -267,7 +284,8 @@ def chunk_caps(spark, d):
     return extract.parse_triples(rows, "n_nationkey").select("n_nationkey", "pos", "subject")
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'k' || event_id WHEN 1 THEN 'flat' END AS code, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type WHEN 2 THEN 'not json: ' || event_type END AS message FROM events")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'k' || event_id WHEN 1 THEN 'flat' END AS code, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type WHEN 2 THEN 'not json: ' || event_type END AS message
+    FROM events""")
 def error_details(spark, d):
     """An error object inside, one outside, plain text, none."""
     e = F.col("event_id") % 4
@@ -276,7 +294,8 @@ def error_details(spark, d):
     return table(spark, d, "events").select("event_id", text.error_details(body).alias("x")).select("event_id", "x.code", "x.message")
 
 
-@query("SELECT n_nationkey AS doc, n_name AS subject, CASE n_nationkey % 4 WHEN 0 THEN 'take_over' WHEN 1 THEN 'is_a' WHEN 2 THEN 'is_a' ELSE 'lie_in_' || lower(r_name) END AS relation, r_name AS object FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("""SELECT n_nationkey AS doc, n_name AS subject, CASE n_nationkey % 4 WHEN 0 THEN 'take_over' WHEN 1 THEN 'is_a' WHEN 2 THEN 'is_a' ELSE 'lie_in_' || lower(r_name) END AS relation, r_name AS object
+    FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def dependency_rules(spark, d):
     """Each rule on its own sentence: a verb with particle and direct object, a copula, an appositive, a verb with preposition."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
