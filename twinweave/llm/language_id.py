@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinweave.llm.pieces import give_back
 from twinweave.runtime import small_batches
 
 WINDOW = 256
@@ -231,6 +232,7 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
             for i, name, score in zip(known, *model.value.predict([texts[i] for i in known]), strict=True) if known else ():
                 names[i], scores[i] = name, score
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+        give_back()
 
     text = F.col(text_col).cast("string")
     given = docs.select(F.when(text.rlike(r"\p{L}"), text).alias("given_text"), F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinweave.llm.pieces import give_back
 from twinweave.operators.components import connected_components
 from twinweave.operators.numbering import summed_before
 from twinweave.runtime import drop_table, materialise, materialise_at, settings
@@ -15,7 +16,7 @@ SHINGLE = 5
 #: A shingle is known by this many bits of its hash.
 BITS = 48
 #: Bytes of text hashed at once.
-GROUP = 1 << 20
+GROUP = 1 << 19
 #: Prefix tokens by which close copies find a leader before the join.
 PROBES = 8
 #: Lists up to this long are joined; longer ones cost too much and lengthen prefixes.
@@ -158,6 +159,7 @@ def _profiles(batches):
                 sets.append(_binary(tokens[low:high]) if high > low and _fresh(seen, name) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(others, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "n", "cls", "second", "tokens"])
             at += len(run)
+    give_back()
 
 
 def _texts(column: pa.Array):
@@ -169,6 +171,7 @@ def _sliced(batches, rows: int = 500):
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    give_back()
 
 
 def _links(batches):
