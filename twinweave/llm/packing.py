@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.llm.pieces import distinct, give_back
+from twinweave.llm.token_counts import byte_alphabet
 from twinweave.runtime import materialise, small_batches
 
 END_ID = 1
@@ -113,12 +114,14 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        levels = [x for x in spec["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"]]
         steps = [x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"] if spec["pre_tokenizer"]["type"] == "Sequence" else []
-        if (spec["normalizer"] or {}).get("normalizers") != _NORMALISED or [(x["pattern"], x["behavior"], x["invert"]) for x in steps] != [({"Regex": _SPLIT}, "Removed", True)]:
+        if (spec["normalizer"] or {}).get("normalizers") != _NORMALISED or [(x["pattern"], x["behavior"], x["invert"]) for x in steps] != [({"Regex": _SPLIT}, "Removed", True)] or len(levels) != 1 or len(spec["pre_tokenizer"]["pretokenizers"]) != 2:
             raise ValueError("only files with the known folding and split are encoded")
         if max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) > 0xFFFF:
             raise ValueError("token ids above 65535 don't fit the tails")
         self.library = Tokenizer.from_file(path)
+        self.merges, self.written = self.library.model, byte_alphabet()
         self.odd = re.compile("[\x1c-\x1f]").search
         self.clear()
 
@@ -136,6 +139,12 @@ class Encoder:
             return self.ask(text)
         return b"".join(map(self.parts.__getitem__, text.split()))
 
+    def ids_of(self, piece: str) -> list[int]:
+        """Ids of one folded piece by the file's merges alone: it needs no folding or split any more, only its bytes as the file writes them."""
+        if not piece.isascii():
+            piece = "".join(map(self.written.__getitem__, piece.encode()))
+        return [t.id for t in self.merges.tokenize(piece)]
+
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """The numbers of distinct pieces in the table of remembered ids."""
         if len(self.flat) > IDS:
@@ -145,7 +154,7 @@ class Encoder:
             k = self.number.get(piece)
             if k is None:
                 k = self.number[piece] = len(self.lengths)
-                ids = self.library.encode(piece, add_special_tokens=False).ids
+                ids = self.ids_of(piece)
                 self.lengths.append(len(ids))
                 self.flat.extend(ids)
             out[i] = k
