@@ -460,7 +460,8 @@ class _Join:
         if self.components is not None:
             known = self.components.select(F.col("node").alias("cls"), "component")
             keyed = self.rows.join(known, "cls", "left").withColumn("grp", F.coalesce("component", "cls"))
-        least = keyed.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("least_id"))
+        # A table of its own, so that a group of very many rows is an ordinary skewed key of the join.
+        least = materialise(keyed.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("least_id")), "jaccard-least")
         return keyed.join(least, "grp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
 
 
