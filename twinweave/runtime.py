@@ -96,7 +96,7 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, most: str = "8m") -> None:
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
     """Bounds Arrow batches by bytes for the rest of the session, unless the session has set its own bound.
 
     Spark's default of 64 MB is held several times over by a task and its Python
