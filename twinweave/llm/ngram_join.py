@@ -317,7 +317,7 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     cx, rx, cy, ry = at_x[keep_x], rows_x[keep_x], at_y[keep_y], rows_y[keep_y]
     order = np.argsort(cy, kind="stable")
     cy, ry = cy[order], ry[order]
-    step = max(1, (4 << 20) // max(16, len(x) * len(y) // 64))
+    step = max(1, (1 << 19) // max(16, len(x) * len(y) // 64))
     for first in range(0, len(cx), step):
         c, r = cx[first : first + step], rx[first : first + step]
         low, n = np.searchsorted(cy, c), in_y[c]
@@ -346,6 +346,8 @@ def _block_links(rows: pa.Table) -> pa.Table:
             if a != b:
                 up[max(a, b)] = min(a, b)
                 found.append((int(cls[xs[i]]), int(cls[j])))
+    del both, linked, tokens
+    give_back()
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 

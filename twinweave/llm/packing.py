@@ -22,7 +22,7 @@ from twinweave.runtime import materialise, small_batches
 END_ID = 1
 #: White-space-free parts, and ids of distinct pieces, remembered per worker.
 PARTS = 100_000
-IDS = 2 << 20
+IDS = 1 << 20
 #: Characters handled at once; a longer text is cut at white space.
 GROUP = 1 << 19
 #: Partitions whose offsets are broadcast: at most 16 KB each.
