@@ -119,6 +119,20 @@ def test_one_long_text_and_many_short_ones(spark):
     assert sorted(tuple(r) for r in jaccard_components(documents(spark, rows)).collect()) == [(1, 299_996, 1), (2, 299_997, 1), (3, 1, 3), (4, 1, 3)]
 
 
+def test_words_that_linear_hashes_confuse(spark):
+    """A Thue-Morse string and its complement, as words, are different words."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    rows = []
+    for size in (1024, 2048, 4096):
+        for k, pair in enumerate(("ab", "ba")):
+            word = "".join(pair[b] for b in bits[:size])
+            rows += [(10 * size + k, word + " x"), (10 * size + 2 + k, word + " one two three four five six")]
+        blocks = ("abcdefgh", "hgfedcba")  # whole blocks of the hash
+        for k in range(2):
+            rows.append((10 * size + 4 + k, "".join(blocks[b ^ k] for b in bits[: size // 8]) + " y"))
+    assert Counter(tuple(r) for r in jaccard_components(documents(spark, rows)).collect()) == brute(rows)
+
+
 def test_shingle_sets_name_equal_shingles_alike():
     texts = [t or "" for _, t in AWKWARD] + ["A b C d e f g", "a B c D e F g", "x a b c d e f g"]
     tokens, bounds, classes, _ = shingle_sets([t.encode() for t in texts])

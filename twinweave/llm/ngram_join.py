@@ -7,14 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.llm.pieces import give_back
+from twinweave.llm.pieces import give_back, mixed, run_names
 from twinweave.operators.components import connected_components
 from twinweave.operators.numbering import summed_before
 from twinweave.runtime import drop_table, materialise, materialise_at, settings
 
 SHINGLE = 5
 #: A shingle is known by this many bits of its hash.
-BITS = 48
+BITS = 56
 #: Bytes of text hashed at once.
 GROUP = 1 << 19
 #: Prefix tokens by which close copies find a leader before the join.
@@ -30,24 +30,9 @@ PAGE = 1 << 16
 #: Classes whose sets are wanted are broadcast up to this many.
 WANTED_BOUND = 1_000_000
 
-_BASE = 0x9E3779B97F4A7C15
 _WEIGHTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, ..., base ** n modulo 2 ** 64."""
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 _IS_SPACE = np.zeros(256, bool)
@@ -66,33 +51,32 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     space = _IS_SPACE[data]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    power, inverse = _powers(_BASE, len(data)), _powers(pow(_BASE, -1, 1 << 64), len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLD[data].astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-    words = _mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     bounds = np.searchsorted(starts, np.cumsum([1] + [len(t) + 1 for t in texts]))
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(bounds))
-    weighted = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
+    words = run_names(_FOLD[data], starts, ends)
+    names = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
     for j in range(SHINGLE):
-        weighted += words[j : j + len(weighted)] * _WEIGHTS[j]
-    inside = owner[: len(weighted)] == owner[SHINGLE - 1 :] if len(weighted) else np.zeros(0, bool)
-    keys = [owner[: len(weighted)][inside] << np.uint64(BITS) | _mixed(weighted[inside]) >> np.uint64(64 - BITS)]
-    count = np.diff(bounds)
-    for i in np.flatnonzero((count > 0) & (count < SHINGLE)).tolist():
-        own = words[bounds[i] : bounds[i + 1]]
-        keys.append(np.uint64(i) << np.uint64(BITS) | _mixed((own * _WEIGHTS[: len(own)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(own))) >> np.uint64(64 - BITS))
-    both = np.sort(np.concatenate(keys))
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-    tokens = both & np.uint64((1 << BITS) - 1)
-    limits = np.searchsorted(both, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(BITS)) if len(texts) else np.zeros(1, int)
-    sizes = np.diff(limits)
+        names = mixed(names + words[j : j + len(names)] * _WEIGHTS[j])
+    names >>= np.uint64(64 - BITS)
+    sets = []
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if 0 < high - low < SHINGLE:
+            own = words[low:high]
+            sets.append(mixed((own * _WEIGHTS[: len(own)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(own))) >> np.uint64(64 - BITS))
+        elif high > low:
+            own = np.sort(names[low : high - SHINGLE + 1])
+            sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        else:
+            sets.append(names[:0])
+    sizes = np.array([len(x) for x in sets], np.int64)
+    limits = np.concatenate([[0], np.cumsum(sizes)])
+    tokens = np.concatenate([names[:0], *sets])
     classes, seconds = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     full = np.flatnonzero(sizes)
     if len(full):
-        x = np.add.reduceat(_mixed(tokens), limits[full])
-        y = np.add.reduceat(_mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), limits[full])
-        classes[full] = _mixed(x * np.uint64(3) + _mixed(y) + sizes[full].astype(np.uint64)).view(np.int64)
-        seconds[full] = _mixed(y * np.uint64(5) + _mixed(x ^ np.uint64(_BASE))).view(np.int64)
+        x = np.add.reduceat(mixed(tokens), limits[full])
+        y = np.add.reduceat(mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), limits[full])
+        classes[full] = mixed(x * np.uint64(3) + mixed(y) + sizes[full].astype(np.uint64)).view(np.int64)
+        seconds[full] = mixed(y * np.uint64(5) + mixed(x ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
     return tokens, limits, classes, seconds
 
 

@@ -9,6 +9,46 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15
 
 
+#: Words longer than this many blocks of 8 bytes are named one by one.
+_BLOCKS = 32
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def run_names(data: np.ndarray, begin: np.ndarray, stop: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit name of each run of bytes data[begin : stop], equal for equal runs.
+
+    Every 8 bytes are scrambled together with their place in the run before they are
+    summed, so that no exchange of parts keeps the sum.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    view = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
+    length = stop - begin
+    salt = mixed(np.array([seed], np.uint64) + np.uint64(_BASE))
+    out = mixed(length.astype(np.uint64) + salt)
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    def part(block: np.ndarray, place) -> np.ndarray:
+        return mixed(mixed(block + salt) ^ mixed((np.asarray(place, np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)))
+
+    own = np.flatnonzero(length > 0)
+    for i in range(_BLOCKS):
+        if not len(own):
+            return mixed(out)
+        left = length[own] - 8 * i
+        out[own] += part(view[begin[own] + 8 * i] & masks[np.minimum(left, 8)], [i])
+        own = own[left > 8]
+    for k in own.tolist():
+        at = np.arange(begin[k] + 8 * _BLOCKS, stop[k], 8)
+        out[[k]] += part(view[at] & masks[np.minimum(stop[k] - at, 8)], np.arange(_BLOCKS, _BLOCKS + len(at))).sum(keepdims=True, dtype=np.uint64)
+    return mixed(out)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0, ..., base ** n modulo 2 ** 64."""
     out = np.full(n + 1, base, np.uint64)
