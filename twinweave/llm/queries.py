@@ -1,4 +1,4 @@
-"""The ten operators as registered queries with production parameters."""
+"""The operators as registered queries with production parameters."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from twinweave.llm.line_dedup import MIN_WORDS, line_dedup
 from twinweave.llm.mixing import mix
 from twinweave.llm.ngram_join import jaccard_components
 from twinweave.llm.packing import pack
+from twinweave.llm.secret_scan import secret_digest, secret_scan
 from twinweave.llm.token_counts import token_counts
 from twinweave.llm.topk import exact_top_k
 from twinweave.llm.url_filter import url_filter
@@ -64,9 +65,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(secret_scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_mixing, op3_html_extraction, op4_line_dedup, op5_exact_dedup, op6_url_filter, op7_exact_top_k, op8_packing, op9_ngram_join, op10_language_id)
+    for f in (op1_token_counts, op2_mixing, op3_html_extraction, op4_line_dedup, op5_exact_dedup, op6_url_filter, op7_exact_top_k, op8_packing, op9_ngram_join, op10_language_id, op12_secret_scan)
 }
 
 _ABC, _abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
