@@ -92,3 +92,9 @@ def distinct(points: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[n
     if (length != length[first][same]).any() or not _alike(points, begin, begin[first][same], length):
         first = same = np.arange(len(begin))
     return first, same
+
+
+def runs_alike(points: np.ndarray, begin: np.ndarray, stop: np.ndarray, first: np.ndarray) -> bool:
+    """Whether every run points[begin : stop] equals the run with the number ``first`` beside it."""
+    length = stop - begin
+    return bool((length == length[first]).all()) and _alike(points, begin, begin[first], length)

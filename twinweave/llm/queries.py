@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from twinweave.llm.collocations import collocations
 from twinweave.llm.exact_dedup import exact_dedup
 from twinweave.llm.html_extraction import extract
 from twinweave.llm.language_id import identify, train
@@ -65,13 +66,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_scan(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_mixing, op3_html_extraction, op4_line_dedup, op5_exact_dedup, op6_url_filter, op7_exact_top_k, op8_packing, op9_ngram_join, op10_language_id, op12_secret_scan)
+    for f in (op1_token_counts, op2_mixing, op3_html_extraction, op4_line_dedup, op5_exact_dedup, op6_url_filter, op7_exact_top_k, op8_packing, op9_ngram_join, op10_language_id, op11_collocations, op12_secret_scan)
 }
 
 _ABC, _abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -139,6 +144,26 @@ ORACLE_SQL = {
                row_number() OVER w = 1 AS kept, h AS text_sha256
         FROM n WINDOW w AS (PARTITION BY h ORDER BY c DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
     """,
+    "op11_collocations": rf"""
+        WITH x AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_ABC}', '{_abc}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+        ), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM x GROUP BY lang),
+        f AS (
+            SELECT lang, p, count(*) AS f FROM (
+                SELECT lang, unnest(list_transform(range(1, len(w) - size + 2), lambda i: w[i:i + size - 1])) AS p FROM x, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size
+            ) GROUP BY lang, p HAVING count(*) >= 10
+        ), cut AS (
+            SELECT c.lang, c.p, c.f AS a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM f c CROSS JOIN (VALUES (1), (2)) ks(k) JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1:] WHERE k < len(c.p)
+        ), best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        cover AS (SELECT lang, unnest([p[1:2], p[2:3]]) AS p, f FROM f WHERE len(p) = 3),
+        kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM cover c WHERE c.lang = b.lang AND c.p = b.p AND 100 * c.f >= 50 * b.a)),
+        ranked AS (SELECT *, array_to_string(p, ' ') AS phrase FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM ranked
+        ) JOIN n USING (lang) WHERE rank <= 2000
+    """,
     "op7_exact_top_k": r"""
         WITH v AS (
             SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(x * 1024)::BIGINT) AS x FROM embeddings
