@@ -12,6 +12,7 @@ from twinweave.llm.line_dedup import MIN_WORDS, line_dedup
 from twinweave.llm.mixing import mix
 from twinweave.llm.ngram_join import jaccard_components
 from twinweave.llm.packing import pack
+from twinweave.llm.ranked_search import ranked_search
 from twinweave.llm.secret_scan import secret_digest, secret_scan
 from twinweave.llm.token_counts import token_counts
 from twinweave.llm.topk import exact_top_k
@@ -74,9 +75,13 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_mixing, op3_html_extraction, op4_line_dedup, op5_exact_dedup, op6_url_filter, op7_exact_top_k, op8_packing, op9_ngram_join, op10_language_id, op11_collocations, op12_secret_scan)
+    for f in (op1_token_counts, op2_mixing, op3_html_extraction, op4_line_dedup, op5_exact_dedup, op6_url_filter, op7_exact_top_k, op8_packing, op9_ngram_join, op10_language_id, op11_collocations, op12_secret_scan, op13_ranked_search)
 }
 
 _ABC, _abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -164,6 +169,21 @@ ORACLE_SQL = {
             SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM ranked
         ) JOIN n USING (lang) WHERE rank <= 2000
     """,
+    "op13_ranked_search": rf"""
+        WITH t AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_ABC}', '{_abc}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id), c AS (SELECT count(*) AS n, sum(n)::BIGINT AS l FROM d),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_ABC}', '{_abc}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        w AS (SELECT term, floor(1000 * ln((2 * c.n + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c WHERE term IN (SELECT term FROM q) GROUP BY term, c.n),
+        s AS (
+            SELECT q.item_id, p.doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * d.n * c.n) // c.l))))::BIGINT AS score
+            FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (doc_id), c GROUP BY ALL
+        )
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0
+        ) WHERE rank <= 50
+    """,
     "op7_exact_top_k": r"""
         WITH v AS (
             SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(x * 1024)::BIGINT) AS x FROM embeddings
