@@ -13,8 +13,8 @@ from twinweave.operators.numbering import summed_before
 from twinweave.runtime import drop_table, materialise, materialise_at, settings
 
 SHINGLE = 5
-#: A shingle is known by this many bits of its hash.
-BITS = 56
+#: Sets are told apart and counted by shingle hashes of 64 bits; this many of them are kept.
+BITS = 48
 #: Bytes of text hashed at once.
 GROUP = 1 << 19
 #: Prefix tokens by which close copies find a leader before the join.
@@ -42,7 +42,7 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, bounds, classes, seconds) of fewer than 65,536 texts, whole.
 
-    tokens[bounds[i] : bounds[i + 1]] are text i's sorted distinct shingle hashes,
+    tokens[bounds[i] : bounds[i + 1]] are the kept bits of text i's sorted distinct shingle hashes,
     classes[i] is a signed 64-bit name of that set (0 if empty), seconds[i] another
     one; equal sets have equal names. Words are maximal runs without white space, A-Z folded. Under
     SHINGLE words, the whole sequence is the one shingle.
@@ -56,12 +56,11 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     names = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
     for j in range(SHINGLE):
         names = mixed(names + words[j : j + len(names)] * _WEIGHTS[j])
-    names >>= np.uint64(64 - BITS)
     sets = []
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if 0 < high - low < SHINGLE:
             own = words[low:high]
-            sets.append(mixed((own * _WEIGHTS[: len(own)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(own))) >> np.uint64(64 - BITS))
+            sets.append(mixed((own * _WEIGHTS[: len(own)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(own))))
         elif high > low:
             own = np.sort(names[low : high - SHINGLE + 1])
             sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
@@ -69,15 +68,15 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             sets.append(names[:0])
     sizes = np.array([len(x) for x in sets], np.int64)
     limits = np.concatenate([[0], np.cumsum(sizes)])
-    tokens = np.concatenate([names[:0], *sets])
+    whole = np.concatenate([names[:0], *sets])
     classes, seconds = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     full = np.flatnonzero(sizes)
     if len(full):
-        x = np.add.reduceat(mixed(tokens), limits[full])
-        y = np.add.reduceat(mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), limits[full])
+        x = np.add.reduceat(mixed(whole), limits[full])
+        y = np.add.reduceat(mixed(whole ^ np.uint64(0x5851F42D4C957F2D)), limits[full])
         classes[full] = mixed(x * np.uint64(3) + mixed(y) + sizes[full].astype(np.uint64)).view(np.int64)
         seconds[full] = mixed(y * np.uint64(5) + mixed(x ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
-    return tokens, limits, classes, seconds
+    return whole >> np.uint64(64 - BITS), limits, classes, seconds
 
 
 def need(n):

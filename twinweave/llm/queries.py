@@ -151,22 +151,25 @@ ORACLE_SQL = {
     """,
     "op11_collocations": rf"""
         WITH x AS (
-            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+            SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
                 SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_ABC}', '{_abc}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
-        ), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM x GROUP BY lang),
-        f AS (
-            SELECT lang, p, count(*) AS f FROM (
-                SELECT lang, unnest(list_transform(range(1, len(w) - size + 2), lambda i: w[i:i + size - 1])) AS p FROM x, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size
-            ) GROUP BY lang, p HAVING count(*) >= 10
-        ), cut AS (
-            SELECT c.lang, c.p, c.f AS a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f))::BIGINT AS score
-            FROM f c CROSS JOIN (VALUES (1), (2)) ks(k) JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1:] WHERE k < len(c.p)
-        ), best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
-        cover AS (SELECT lang, unnest([p[1:2], p[2:3]]) AS p, f FROM f WHERE len(p) = 3),
-        kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM cover c WHERE c.lang = b.lang AND c.p = b.p AND 100 * c.f >= 50 * b.a)),
-        ranked AS (SELECT *, array_to_string(p, ' ') AS phrase FROM kept)
+        ), t AS (
+            SELECT lang, w AS x, lead(w) OVER p AS y, lead(w, 2) OVER p AS z FROM (SELECT piece, lang, unnest(w) AS w, generate_subscripts(w, 1) AS k FROM x) WINDOW p AS (PARTITION BY piece ORDER BY k)
+        ), f1 AS (SELECT lang, x, count(*) AS f FROM t GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+        f2 AS (SELECT lang, x, y, count(*) AS f FROM t WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, x, y, z, count(*) AS f FROM t WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        cut AS (
+            SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, l.f AS l, r.f AS r, 1 AS k FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f1 r ON r.lang = c.lang AND r.x = c.y
+            UNION ALL SELECT c.lang, concat_ws(' ', c.x, c.y, c.z), c.f, l.f, r.f, 1 FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f2 r ON r.lang = c.lang AND r.x = c.y AND r.y = c.z
+            UNION ALL SELECT c.lang, concat_ws(' ', c.x, c.y, c.z), c.f, l.f, r.f, 2 FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.x = c.x AND l.y = c.y JOIN f1 r ON r.lang = c.lang AND r.x = c.z
+        ), best AS (
+            SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), cover AS (
+            SELECT lang, phrase, max(f) AS f FROM (SELECT lang, x || ' ' || y AS phrase, f FROM f3 UNION ALL SELECT lang, y || ' ' || z, f FROM f3) GROUP BY ALL
+        ), kept AS (SELECT b.* FROM best b LEFT JOIN cover c ON c.lang = b.lang AND c.phrase = b.phrase WHERE c.f IS NULL OR 100 * c.f < 50 * b.a)
         SELECT lang, rank, phrase, a, l, r, n, score FROM (
-            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM ranked
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
         ) JOIN n USING (lang) WHERE rank <= 2000
     """,
     "op13_ranked_search": rf"""
