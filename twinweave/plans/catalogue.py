@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinweave.config import RAW_NAMESPACE, RDF_TYPE, Settings
 from twinweave.functions import chunks, text, vectors
-from twinweave.operators import embed, extract, qubo, report, solve
+from twinweave.operators import embed, extract, qubo, report, similarity, solve
 from twinweave.operators import triples as graph
 from twinweave.plans import standin as given
 from twinweave.runtime import materialise, table
@@ -452,6 +452,13 @@ def train_embeddings(spark, d):
 # Candidates and QUBO terms.
 
 
+@query(f"WITH {given.NODES} SELECT x.idx AS i, y.idx AS a, round(list_cosine_similarity(x.vec, y.vec), 6) AS sim FROM nodes x JOIN nodes y ON round(list_cosine_similarity(x.vec, y.vec), 6) >= 0.45")
+def similarity_join(spark, d):
+    """All vectors with all over a threshold, by pivots and small blocks."""
+    n = given.nodes(spark, d).select("idx", "vec")
+    return similarity.Plan(n, n, 0.45, SIX, block=64).rows()
+
+
 @query(f"WITH {given.CAND} SELECT i, a, sim FROM cand")
 def candidate_pairs(spark, d):
     return qubo.candidate_pairs(given.similarity(spark, d, given.THRESHOLD), given.THRESHOLD)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from twinweave.config import RAW_NAMESPACE
 from twinweave.functions.vectors import gathered, mean_pool, similarity_pairs
 from twinweave.operators import qubo
+from twinweave.operators.similarity import threshold_pairs
 from twinweave.runtime import table
 
 #: The stand-in vectors are less alike than real labels; at 0.75 no pair is left.
@@ -33,8 +34,9 @@ def side(spark: SparkSession, d: str, graph: str) -> DataFrame:
 
 
 def similarity(spark: SparkSession, d: str, threshold: float | None = None) -> DataFrame:
-    """i, a, sim rounded to DIGITS."""
-    return similarity_pairs(side(spark, d, "left").select("idx", "vec"), side(spark, d, "right").select("idx", "vec"), threshold, DIGITS)
+    """i, a, sim rounded to DIGITS: the whole grid, or what reaches the threshold."""
+    left, right = (side(spark, d, s).select("idx", "vec") for s in ("left", "right"))
+    return similarity_pairs(left, right, None, DIGITS) if threshold is None else threshold_pairs(left, right, threshold, DIGITS)
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
