@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinweave.config import RAW_NAMESPACE, RDF_TYPE, Settings
 from twinweave.functions import chunks, text, vectors
-from twinweave.operators import embed, extract, qubo, report, similarity, solve
+from twinweave.operators import embed, extract, qubo, report, similarity, solve, training
 from twinweave.operators import triples as graph
 from twinweave.plans import standin as given
 from twinweave.runtime import materialise, table
@@ -449,6 +449,16 @@ def train_embeddings(spark, d):
     return embed.train_embeddings(given.nodes(spark, d).select("graph", "idx", "vec"), given.edges(spark, d), _anchors(spark, d))
 
 
+@query()
+def training_gradient(spark, d):
+    """layer, row, col, value: the gradient of the first full batch over all vectors, from parts of the graph; row -1 holds biases."""
+    t = training.Training(given.nodes(spark, d).select("graph", "idx", "vec"), given.edges(spark, d), _anchors(spark, d))
+    _, grads = t.gradients(1)
+    t.drop()
+    cells = [(k % 2, i if k < 2 else -1, j, float(v)) for k, g in enumerate(grads) for i, row in enumerate(g.reshape(-1, g.shape[-1])) for j, v in enumerate(row)]
+    return spark.createDataFrame(cells, "layer int, row int, col int, value double")
+
+
 # Candidates and QUBO terms.
 
 
