@@ -81,9 +81,11 @@ def test_names_are_made_anew_when_two_words_share_one(spark):
 
 def test_growth_is_depth_first_and_whole():
     right = [np.array(x, np.uint64) for x in ([1, 1, 1, 2, 2], [5, 5, 6, 5, 5], [7, 0, 7, 7, 8])]
-    phrases, counts = grow(right, np.array([3, 2, 1, 4, 4]), np.ones(5, bool), 4)
+    phrases, counts = grow(right, np.array([3, 2, 1, 4, 4]), np.zeros(5, int), 4)
     found = {tuple(int(p[i]) for p in phrases): int(n) for i, n in enumerate(counts)}
     assert found == {(1, 5, 0): 5, (2, 5, 0): 8, (2, 5, 7): 4, (2, 5, 8): 4}
+    phrases, counts = grow(right, np.array([3, 2, 1, 4, 4]), np.array([2, 2, 1, 0, 0]), 9)  # the first phrase lies in other tasks too
+    assert [(int(p[0]), int(p[1]), int(p[2]), int(n)) for p, n in zip(zip(*phrases), counts)] == [(1, 5, 0, 5)]
 
 
 def test_large_counts_are_exact(spark):

@@ -21,9 +21,9 @@ COVERED = 50
 TOP = 2_000
 #: Bytes of text whose words and contexts are counted together before they leave a task.
 GROUP = 8 << 20
-#: Pointers that one growth task takes; a prefix with more is dealt out over several.
+#: Pointers that one growth task takes; a word with more is hot, and phrases that begin with it are dealt out by their next word.
 POINTERS = 400_000
-#: Prefixes that may be dealt out: a bound on what is broadcast.
+#: Hot words: a bound on what is broadcast.
 SPLIT_BOUND = 500_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -95,7 +95,7 @@ def _projected(seed: int, most: int, marks, splits, buckets: int):
     """
 
     def run(batches):
-        hot, held = splits.value
+        hot = splits.value
         for lang, texts in _by_language(batches):
             _, _, _, pieces, names = words_of(texts, seed)
             if marks is not None:
@@ -111,21 +111,20 @@ def _projected(seed: int, most: int, marks, splits, buckets: int):
             right = [r[use] for r in right]
             if not use.any():
                 continue
-            prefix = _salt(lang, right[0])
-            ways = np.ones(len(prefix), np.uint64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, prefix), len(hot) - 1)
-                ways = np.where(hot[at] == prefix, held[at], np.uint64(1))
-            context = np.zeros(len(prefix), np.uint64)
-            for r in right[1:]:
-                context = mixed(context + r)
-            bucket = mixed(prefix + mixed(context % ways)) % np.uint64(buckets)
+            # How many words from the first on are hot: a word decides the bucket only if all before it are.
+            run_of_hot, bucket = np.zeros(len(right[0]), np.uint64), _salt(lang, right[0])
+            for k, r in enumerate(right[:-1]):
+                held = _salt(lang, r)
+                at = np.minimum(np.searchsorted(hot, held), max(0, len(hot) - 1))
+                run_of_hot += (run_of_hot == k) & (r != 0) & (hot[at] == held) if len(hot) else np.uint64(0)
+                bucket = np.where(run_of_hot > k, mixed(bucket + right[k + 1]), bucket)
+            bucket = mixed(bucket) % np.uint64(buckets)
             order = np.lexsort([*right[::-1], bucket])
-            bucket, right, ways = bucket[order], [r[order] for r in right], ways[order]
+            bucket, right, run_of_hot = bucket[order], [r[order] for r in right], run_of_hot[order]
             fresh = np.concatenate([[True], np.logical_or.reduce([r[1:] != r[:-1] for r in right])])
             first = np.flatnonzero(fresh)
             weight = np.diff(np.append(first, len(order))).astype(np.uint64)
-            columns = [*(r[first] for r in right), weight << np.uint64(1) | (ways[first] == 1)]
+            columns = [*(r[first] for r in right), weight << np.uint64(8) | run_of_hot[first]]
             begin = np.flatnonzero(np.concatenate([[True], bucket[first][1:] != bucket[first][:-1]]))
             end = np.append(begin[1:], len(first))
             for i in range(0, len(begin), 4_096):
@@ -136,17 +135,18 @@ def _projected(seed: int, most: int, marks, splits, buckets: int):
     return run
 
 
-def grow(right: list[np.ndarray], n: np.ndarray, whole: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
+def grow(right: list[np.ndarray], n: np.ndarray, hot: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
     """(phrases, counts) of 2 words and more grown from pointers, depth first.
 
     right[k] is each pointer's k-th word, right[0] the prefix; n weighs it. Pointers
     are sorted by their contexts, so a phrase's projection is a stretch of them, and
     its extensions are stretches of that, visited from left to right. A stretch with
-    fewer than ``least`` occurrences is not extended, unless some of its prefix's
-    pointers lie in other tasks (not ``whole``): then its count is told as it is.
+    fewer than ``least`` occurrences is not extended, unless the phrase is made of hot
+    words only (``hot`` counts them from the first on), so that some of its pointers
+    lie in other tasks: then its count is told as it is.
     """
     order = np.lexsort(right[::-1])
-    right, n, whole = [r[order] for r in right], n[order], whole[order]
+    right, n, hot = [r[order] for r in right], n[order], hot[order]
     sums = np.concatenate([[0], np.cumsum(n)])
     found: list[tuple[int, int, int]] = []  # (a place of the phrase, words, count)
     most = len(right)
@@ -158,7 +158,7 @@ def grow(right: list[np.ndarray], n: np.ndarray, whole: np.ndarray, least: int)
         begin = np.concatenate([[low], low + cuts])
         end = np.append(begin[1:], high)
         counts = sums[end] - sums[begin]
-        keep = (right[depth][begin] != 0) & ((counts >= least) | ~whole[begin])
+        keep = (right[depth][begin] != 0) & ((counts >= least) | (depth + 1 < most) & (hot[begin] > depth))
         begin, end, counts = begin[keep], end[keep], counts[keep]
         if depth:
             found.extend(zip(begin.tolist(), [depth + 1] * len(begin), counts.tolist(), strict=True))
@@ -176,7 +176,7 @@ def _growth(most: int, least: int):
         out = []
         for lang, some in of.items():
             columns = np.concatenate(some, axis=1)
-            phrases, counts = grow(list(columns[:-1]), (columns[-1] >> np.uint64(1)).astype(np.int64), columns[-1] & np.uint64(1) == 1, least)
+            phrases, counts = grow(list(columns[:-1]), (columns[-1] >> np.uint64(8)).astype(np.int64), (columns[-1] & np.uint64(255)).astype(np.int64), least)
             out.append(pa.table([pa.array([lang] * len(counts), pa.string()), *(pa.array(p.view(np.int64)) for p in phrases), pa.array(counts)], names=["lang", *(f"w{k}" for k in range(1, most + 1)), "n"]))
         give_back()
         return pa.concat_tables(out)
@@ -200,18 +200,16 @@ def vocabulary(given: DataFrame, counter=_counted) -> tuple[DataFrame, str, int]
         seed += 1
 
 
-def _hot_prefixes(frequent: DataFrame, salted) -> tuple[np.ndarray, np.ndarray]:
-    """(salted names, ways) of the prefixes with more than POINTERS occurrences, at most SPLIT_BOUND of them."""
+def _hot_words(frequent: DataFrame) -> np.ndarray:
+    """The salted names, sorted, of the words with more than POINTERS occurrences, at most SPLIT_BOUND of them."""
     bound = POINTERS
     while (hot := frequent.where(F.col("n") > bound)).count() > SPLIT_BOUND:
         bound *= 2
-    rows = salted(hot.withColumn("ways", F.ceil(F.col("n") / bound).cast("long"))).select("token", "ways").collect()  # at most SPLIT_BOUND rows
-    names, ways = np.array([r.token for r in rows], np.int64).view(np.uint64), np.array([r.ways for r in rows], np.uint64)
-    return np.sort(names), ways[np.argsort(names)]
+    return np.sort(np.array([r.token for r in _salted(hot).collect()], np.int64).view(np.uint64))  # at most SPLIT_BOUND rows
 
 
 def _salted(words: DataFrame) -> DataFrame:
-    """words(lang, name, ...) with token, the name that also tells the language."""
+    """token: the names of words(lang, name, ...) that also tell the language."""
 
     def run(batches):
         for batch in batches:
@@ -220,10 +218,9 @@ def _salted(words: DataFrame) -> DataFrame:
             for lang in set(langs):
                 own = np.array([x == lang for x in langs])
                 token[own] = _salt(lang, names[own])
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(token.view(np.int64))], names=["ways", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64))], names=["token"])
 
-    given = words.select("lang", "name", words["ways"] if "ways" in words.columns else F.lit(1).cast("long").alias("ways"))
-    return given.mapInArrow(run, "ways long, token long")
+    return words.select("lang", "name").mapInArrow(run, "token long")
 
 
 def _key(first: int, words: int) -> Column:
@@ -247,10 +244,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS
     given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     words, words_path, seed = vocabulary(given)
     frequent = words.where(F.col("n") >= least)
-    tokens, tokens_path = materialise_at(_salted(frequent).select("token"), "phrase-tokens")
+    tokens, tokens_path = materialise_at(_salted(frequent), "phrase-tokens")
     marks = marked(tokens)
     drop_table(spark, tokens_path)
-    splits = spark.sparkContext.broadcast(_hot_prefixes(frequent, _salted))
+    splits = spark.sparkContext.broadcast(_hot_words(frequent))
     pointers = frequent.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, int(-(-pointers // POINTERS)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     names = [f"w{k}" for k in range(1, most + 1)]
@@ -258,7 +255,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS
     contexts = given.mapInArrow(_projected(seed, most, marks, splits, buckets), "bucket long, lang string, pointers binary")
     grown = contexts.groupBy("bucket").applyInArrow(_growth(most, least), f"lang string, {fields}, n long")
     size = sum((F.col(w) != 0).cast("int") for w in names).alias("size")
-    # What a dealt-out prefix grew comes from several tasks.
+    # Counts of phrases of hot words come from several tasks.
     found, path = materialise_at(grown.groupBy("lang", *names).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", *names, size, "n"), "phrases")
     return found, words, [words_path, path]
 
@@ -279,8 +276,8 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, co
        name that is proven unique within its language.
     2. Every place of a frequent word is a pointer with the words right of it. Equal
        pointers of a run of texts meet in the task; then whole prefixes go to growth
-       tasks of about POINTERS pointers, and a prefix with more than that is dealt out
-       over several by its contexts, so no key is a task's load.
+       tasks of about POINTERS pointers. A hot prefix is dealt out by its next word,
+       and if that is hot too by the one after, so no key is a task's load.
     3. A task grows its prefixes to the right, depth first.
     4. Counts of parts come by joins of frequent phrases only: a part of a frequent
        phrase is frequent.
