@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinweave.config import RAW_NAMESPACE, RDF_TYPE, Settings
 from twinweave.functions import chunks, text, vectors
-from twinweave.operators import embed, extract, qubo, report, similarity, solve, training
+from twinweave.operators import annealing, embed, extract, qubo, report, similarity, solve, training
 from twinweave.operators import triples as graph
 from twinweave.plans import standin as given
 from twinweave.runtime import materialise, table
@@ -543,6 +543,25 @@ def greedy_match(spark, d):
     return _greedy(spark, d)
 
 
+@query(f"""{given.GREEDY}, {given.WEIGHTS}, vars AS (SELECT i, a, sim, row_number() OVER (ORDER BY i, a) - 1 AS var FROM cand), {given.STRUCTURE}, {given.PARTS}, chosen AS (SELECT var FROM vars JOIN pairs USING (i, a))
+    SELECT round(sum(coeff), 6) AS greedy_energy, true AS not_worse FROM parts WHERE u IN (SELECT var FROM chosen) AND v IN (SELECT var FROM chosen)""", recursive=True)
+def anneal_blocks(spark, d):
+    """Blocks annealed from the greedy matching: its energy, and whether the best read's is no higher."""
+    total = materialise(qubo.total(_components(spark, d)), "total")
+    start = given.variables(spark, d).join(_greedy(spark, d).select("i", "a"), ["i", "a"], "left_semi").select("var")
+    energies, sample = annealing.anneal_blocks(total, reads=4, rounds=2, sweeps=20, start=start, block=256)
+    greedy = energies.where("read = -1").select("energy")
+    reached = qubo.energy(total, sample).select(F.col("energy").alias("reached"))
+    return greedy.crossJoin(reached).select(F.round("energy", SIX).alias("greedy_energy"), (F.col("reached") <= F.col("energy") + 1e-9).alias("not_worse"))  # one row each
+
+
+@query(f"""WITH {given.CAND} SELECT 'left' AS side, i AS node, count(*) AS n FROM cand GROUP BY i HAVING count(*) > 1
+    UNION ALL SELECT 'right', a, count(*) FROM cand GROUP BY a HAVING count(*) > 1""")
+def violations(spark, d):
+    """What choosing all candidates would break."""
+    return solve.violations(candidate_pairs(spark, d))
+
+
 @query(
     f"""{given.GREEDY}, free AS (SELECT * FROM sim WHERE i NOT IN (SELECT i FROM pairs) AND a NOT IN (SELECT a FROM pairs)),
     r2 AS (SELECT i, a, sim, row_number() OVER (ORDER BY sim DESC, i, a) AS k FROM free),

@@ -14,11 +14,16 @@ from twinweave.functions.text import clean_for_uri, clean_relation_label, normal
 from twinweave.functions.vectors import similarity_pairs
 from twinweave.operators import extract, qubo, report, solve
 from twinweave.operators import triples as graph
+from twinweave.operators.annealing import anneal_blocks
 from twinweave.operators.embed import encode, relation_vectors, train_embeddings
 from twinweave.operators.numbering import numbered
 from twinweave.runtime import exists, materialise
 
 
+#: Variables that one task per coupled part may hold.
+ANNEALED_TOGETHER = 20_000
+
+
 def source_id(corpus: str, place: Column) -> Column:
     return F.concat(F.lit(f"{corpus}_"), place.cast("string"))
 
@@ -88,7 +93,8 @@ class Alignment:
 def align(left: DataFrame, right: DataFrame, left_edges: DataFrame, right_edges: DataFrame, vectors: DataFrame, settings: Settings = Settings(), solver: str = "annealer", fallback: bool = False, seed: int = 0) -> Alignment:
     """Aligns nodes(idx, label, uri, vec) of two graphs with labelled edges(src, dst, label).
 
-    ``solver`` is annealer, exact or greedy. An empty problem is an error for the
+    ``solver`` is annealer, exact or greedy; over ANNEALED_TOGETHER variables are annealed
+    by blocks, from the greedy matching on. An empty problem is an error for the
     QUBO solvers, as there is nothing to optimise.
     """
     sim = materialise(similarity_pairs(left.select("idx", "vec"), right.select("idx", "vec")), "similarity")
@@ -104,8 +110,13 @@ def align(left: DataFrame, right: DataFrame, left_edges: DataFrame, right_edges:
         if variables.isEmpty():
             raise ValueError("no candidate pair reaches the threshold")
         total = qubo.total(terms)
-        found = solve.exact(total) if solver == "exact" else solve.best_read(solve.anneal(total, settings.annealer_reads, seed=seed))
-        pairs = variables.join(found.select(F.explode("vars").alias("var")), "var", "left_semi").select("i", "a", "sim")
+        if solver != "exact" and variables.count() > ANNEALED_TOGETHER:
+            start = variables.join(solve.match(sim, settings.similarity_threshold).select("i", "a"), ["i", "a"], "left_semi").select("var")
+            chosen = anneal_blocks(total, seed=seed, start=start)[1]
+        else:
+            found = solve.exact(total) if solver == "exact" else solve.best_read(solve.anneal(total, settings.annealer_reads, seed=seed))
+            chosen = found.select(F.explode("vars").alias("var"))
+        pairs = variables.join(chosen, "var", "left_semi").select("i", "a", "sim")
     pairs = materialise(pairs, "pairs")
     best = report.best_similarity(sim, left, right)
     matched = pairs.join(left.select(F.col("idx").alias("i"), F.col("label").alias("l")), "i").join(right.select(F.col("idx").alias("a"), F.col("label").alias("r")), "a")
