@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinweave.config import RAW_NAMESPACE, RDF_TYPE, Settings
 from twinweave.functions import chunks, text, vectors
-from twinweave.operators import annealing, embed, extract, qubo, report, similarity, solve, training
+from twinweave.operators import annealing, boundaries, embed, extract, qubo, report, similarity, solve, training
 from twinweave.operators import triples as graph
 from twinweave.plans import standin as given
 from twinweave.runtime import materialise, table
@@ -155,6 +155,53 @@ def sentence_split(spark, d):
     return chunks.sentences(table(spark, d, "documents"))
 
 
+#: What boundaries.learn counts and finds, over the same tables.
+_TYPE = r"CASE WHEN regexp_matches({0}, '[^.]\.\z') THEN lower(regexp_replace({0}, '\.\z', '')) ELSE lower({0}) END"
+_CORE = r"""regexp_replace({0}, '^["''(\[{{]+|["'')\]}}]+\z', '', 'g')"""
+_RATIO = """2 * ((CASE WHEN {0} > 0 THEN {0} * ln({0} / {1}) ELSE 0 END) + (CASE WHEN {1} > {0} THEN ({1} - {0}) * ln(1 - {0} / {1}) ELSE 0 END)
+        + (CASE WHEN {2} > {0} THEN ({2} - {0}) * ln(({2} - {0}) / ({3} - {1})) ELSE 0 END) + (CASE WHEN {3} - {1} > {2} - {0} THEN ({3} - {1} - {2} + {0}) * ln(1 - ({2} - {0}) / ({3} - {1})) ELSE 0 END)
+        - {2} * ln({2} / {3}) - (CASE WHEN {3} > {2} THEN ({3} - {2}) * ln(1 - {2} / {3}) ELSE 0 END))"""
+_COUNTED = rf"""tokens AS (SELECT {_CORE.format('t')} AS c FROM (SELECT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS t FROM documents)),
+    counts AS (SELECT {_TYPE.format('c')} AS type, count(*) FILTER (regexp_matches(c, '[^.]\.\z')) AS ended, count(*) FILTER (NOT regexp_matches(c, '[^.]\.\z')) AS free FROM tokens WHERE c <> '' GROUP BY 1),
+    sums AS (SELECT sum(ended + free)::DOUBLE AS n, sum(ended)::DOUBLE AS p FROM counts),
+    scored AS (SELECT type, ended, free, 2 * (ended * ln(0.99 / (p / n)) + free * ln(0.01 / (1 - p / n))) * exp(-length(replace(type, '.', ''))) * (1 + length(type) - length(replace(type, '.', ''))) * power(length(replace(type, '.', ''))::DOUBLE, -free) AS score
+        FROM counts, sums WHERE ended > 0 AND regexp_matches(type, '^\p{{L}}[\p{{L}}.]*\z'))"""
+_LEARNT = rf"""{_COUNTED}, cut AS (
+        SELECT row_number() OVER () AS row, doc_id, string_split(regexp_replace(text, '([.!?]["'')\]}}]*)([\x20\x09-\x0D]+)', '\1\2' || chr(1), 'g'), chr(1)) AS p FROM documents),
+    stretch AS (SELECT row, doc_id, generate_subscripts(p, 1) AS k, unnest(p) AS piece FROM cut),
+    cores AS (SELECT *, {_CORE.format(r"regexp_extract(piece, '([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\z', 1)")} AS last,
+        nullif({_CORE.format(r"regexp_extract(lead(piece) OVER (PARTITION BY row ORDER BY k), '^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)', 1)")}, '') AS next FROM stretch),
+    ends AS (SELECT c.*, CASE WHEN regexp_matches(last, '[!?]\z') THEN '!' WHEN regexp_matches(last, '\.\.\z') THEN '..' WHEN regexp_matches(last, '[^.]\.\z') THEN '.' ELSE '' END AS mark,
+        {_TYPE.format('last')} AS w1, {_TYPE.format('next')} AS w2, regexp_matches(next, '^\p{{Lu}}') AS up, regexp_matches(next, '^\p{{Ll}}') AS down,
+        {_TYPE.format('last')} IN (SELECT type FROM scored WHERE score >= 0.3) AS short, regexp_matches({_TYPE.format('last')}, '^[0-9]+\z') AS num, regexp_matches({_TYPE.format('last')}, '^\p{{L}}\z') AS ini FROM cores c),
+    uses AS (SELECT type AS w2, (ended + free)::DOUBLE AS u FROM counts),
+    sure AS (SELECT w2 FROM ends WHERE next IS NOT NULL AND (mark = '!' OR mark = '.' AND NOT (short OR num OR ini))),
+    starters AS (SELECT w2 FROM (SELECT w2, count(*)::DOUBLE AS b, (SELECT count(*) FROM sure)::DOUBLE AS f FROM sure GROUP BY w2) JOIN uses USING (w2), sums
+        WHERE b / f > (u - b) / (n - f) AND {_RATIO.format('b', 'f', 'u', 'n')} >= 30),
+    pairs AS (SELECT w1, w2, count(*)::DOUBLE AS b, sum(count(*)) OVER (PARTITION BY w1)::DOUBLE AS f FROM ends WHERE next IS NOT NULL AND mark = '.' AND (short OR num OR ini) GROUP BY w1, w2),
+    tied AS (SELECT w1, w2 FROM pairs JOIN uses USING (w2), sums WHERE w2 NOT IN (SELECT w2 FROM starters) AND b / f > (u - b) / (n - f) AND {_RATIO.format('b', 'f', 'u', 'n')} >= 7.88)"""
+
+
+@query(rf"WITH {_COUNTED} SELECT c.type, c.ended, c.free, round(s.score, 6) AS score FROM counts c LEFT JOIN scored s ON s.type = c.type")
+def boundary_counts(spark, d):
+    """What abbreviations are learnt from: every type's occurrences with and without a period, and its score."""
+    c = boundaries.token_counts(table(spark, d, "documents"))
+    total, periods = c.agg(F.sum(F.col("ended") + F.col("free")).cast("double"), F.sum("ended").cast("double")).first()
+    score = boundaries.abbreviation_score(F.col("ended"), F.col("free"), F.col("type"), F.lit(total), F.lit(periods))
+    return c.withColumn("score", F.when((F.col("ended") > 0) & F.col("type").rlike(r"^\p{L}[\p{L}.]*\z"), F.round(score, SIX)))
+
+
+@query(rf"""WITH {_LEARNT}, ended AS (
+    SELECT *, CASE WHEN next IS NULL OR mark = '!' THEN 1 WHEN mark = '..' THEN up::INTEGER WHEN mark <> '.' THEN 1 WHEN (w1, w2) IN (SELECT (w1, w2) FROM tied) THEN 0
+        WHEN short OR ini THEN (up AND w2 IN (SELECT w2 FROM starters))::INTEGER WHEN num THEN (NOT down)::INTEGER ELSE 1 END AS is_end FROM ends),
+    placed AS (SELECT row, doc_id, k, piece, coalesce(sum(is_end) OVER (PARTITION BY row ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM ended),
+    joined AS (SELECT row, doc_id, n, regexp_replace(string_agg(piece, '' ORDER BY k), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z', '', 'g') AS sentence FROM placed GROUP BY ALL)
+    SELECT doc_id, (row_number() OVER (PARTITION BY row ORDER BY n) - 1)::INTEGER AS pos, sentence FROM joined WHERE sentence <> ''""")
+def learnt_sentences(spark, d):
+    docs = table(spark, d, "documents")
+    return boundaries.learnt_sentences(docs, boundaries.learn(docs))
+
+
 @query("SELECT name, ((row_number() OVER (ORDER BY name) - 1) // 200)::BIGINT AS batch FROM (SELECT DISTINCT c_name AS name FROM customer)")
 def name_batches(spark, d):
     return chunks.name_batches(table(spark, d, "customer").select(F.col("c_name").alias("name")).distinct(), 200)
