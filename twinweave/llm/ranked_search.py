@@ -297,7 +297,7 @@ def _block(given: DataFrame, block: list[tuple[int | None, list[str]]], k: int)
     blocks = max(1, -(-held // POSTINGS))
     length = F.expr(f"cast({100 - LENGTH_SHARE} + (({LENGTH_SHARE} * cast(n as decimal(17,0)) * cast({count} as decimal(19,0))) div cast({max(1, total)} as decimal(19,0))) as long)")
     dealt = postings.where(F.size("terms") > 0).select("doc_id", F.col("doc_id").isNull().alias("z"), "terms", "tfs", length.alias("m"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"))
-    best = dealt.groupBy("block").applyInArrow(_searched(queries, k), "item long, doc_id long, score long")
+    best = dealt.repartition(blocks, "block").groupBy("block").applyInArrow(_searched(queries, k), "item long, doc_id long, score long")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     names = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(block)], "item long, item_id long")
     told = best.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")
