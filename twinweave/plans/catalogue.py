@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from twinweave.config import RAW_NAMESPACE, RDF_TYPE, Settings
 from twinweave.functions import chunks, text, vectors
-from twinweave.operators import annealing, boundaries, embed, extract, qubo, report, similarity, solve, training
+from twinweave.operators import annealing, boundaries, embed, extract, qubo, report, similarity, solve, textvec, training
 from twinweave.operators import triples as graph
+from twinweave.plans import pipelines
 from twinweave.plans import standin as given
 from twinweave.runtime import materialise, table
 from twinweave.sources import articles, graphstore
@@ -496,6 +497,40 @@ def train_embeddings(spark, d):
     return embed.train_embeddings(given.nodes(spark, d).select("graph", "idx", "vec"), given.edges(spark, d), _anchors(spark, d))
 
 
+@query(r"""WITH t AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '([\p{L}\p{N}]+)', 1) AS t FROM documents),
+    v AS (SELECT token FROM (SELECT unnest(t) AS token FROM t) GROUP BY token HAVING count(*) >= 5),
+    p AS (SELECT least(x, y) AS x, greatest(x, y) AS y, count(*) AS n FROM (SELECT unnest(t[1:len(t) - d]) AS x, unnest(t[1 + d:len(t)]) AS y FROM t, (VALUES (1), (2), (3)) k(d) WHERE len(t) > d) GROUP BY 1, 2),
+    c AS (SELECT x, y, n FROM p WHERE x IN (SELECT token FROM v) AND y IN (SELECT token FROM v)),
+    b AS (SELECT x, y, n FROM c UNION ALL SELECT y, x, n FROM c WHERE x <> y), s AS (SELECT x, sum(n)::DOUBLE AS s FROM b GROUP BY x), a AS (SELECT sum(n)::DOUBLE AS a FROM b)
+    SELECT c.x, c.y, c.n, round(ln(c.n * a / (i.s * j.s)) - ln(5), 6) AS value FROM c JOIN s i ON i.x = c.x JOIN s j ON j.x = c.y, a WHERE ln(c.n * a / (i.s * j.s)) - ln(5) > 1e-9""")
+def cooccurrence_information(spark, d):
+    """The matrix that token vectors are made of: pairs of tokens, how often they meet, and their shifted information."""
+    vocabulary, pairs, _ = textvec.cooccurrence(table(spark, d, "documents"))
+    named = lambda i, name: vocabulary.select(F.col("id").alias(i), F.col("token").alias(name))
+    cells = textvec.information(pairs).where("a <= b and value > 1e-9").join(pairs, ["a", "b"])
+    return cells.join(named("a", "x"), "a").join(named("b", "y"), "b").select("x", "y", "n", F.round("value", SIX).alias("value"))
+
+
+@query()
+def text_vectors(spark, d):
+    """Vectors of all documents by token vectors learnt from them; no SQL: a factorisation takes part."""
+    docs = table(spark, d, "documents")
+    return textvec.encode_texts(docs.select("doc_id", "text"), textvec.token_vectors(docs)).select("doc_id", "vec")
+
+
+@query()
+def graph_embeddings(spark, d):
+    """Text and graph features of all nodes of the triples, 20 epochs on the anchors of equal labels."""
+    t = given.triples(spark, d)
+    return pipelines.embed_graphs(t, pipelines.same_label_anchors(t), epochs=20).select("graph", "idx", "uri", "label", "vec")
+
+
+@query()
+def relation_table(spark, d):
+    """A vector for every relation label of the triples."""
+    return pipelines.relation_table(given.triples(spark, d), ["related to"])
+
+
 @query()
 def training_gradient(spark, d):
     """layer, row, col, value: the gradient of the first full batch over all vectors, from parts of the graph; row -1 holds biases."""

@@ -294,6 +294,21 @@ def error_details(spark, d):
     return table(spark, d, "events").select("event_id", text.error_details(body).alias("x")).select("event_id", "x.code", "x.message")
 
 
+@query("SELECT p_partkey AS doc, p_name AS subject, 'is_a' AS relation, p_brand AS object FROM part WHERE p_name <> p_brand")
+def dependency_attributes(spark, d):
+    """The attribute rule: "X is Y" with attr, "X remains Y" with acomp, and an attribute of a head that is an entity itself."""
+    row = lambda i, head, pos, dep, lemma: F.struct(F.lit(i).alias("i"), F.lit(head).alias("head"), F.lit(pos).alias("pos"), F.lit(dep).alias("dep"), lemma.alias("lemma"), lemma.alias("text"))
+    s, o, w = F.col("p_name"), F.col("p_brand"), F.lit
+    attr = F.array(row(0, 1, "NOUN", "nsubj", s), row(1, 1, "AUX", "ROOT", w("be")), row(2, 1, "NOUN", "attr", o))
+    acomp = F.array(row(0, 1, "NOUN", "nsubj", s), row(1, 1, "VERB", "ROOT", w("remain")), row(2, 1, "ADJ", "acomp", o))
+    head = F.array(row(0, 0, "NOUN", "ROOT", s), row(1, 0, "PUNCT", "punct", w(",")), row(2, 0, "NOUN", "attr", o))
+    k = F.col("p_partkey") % 3
+    part = table(spark, d, "part")
+    span = lambda e, at, name: F.struct(F.lit(e).alias("ent_id"), F.lit(at).alias("start"), F.lit(at + 1).alias("end"), name.alias("text"))
+    tokens = part.select(F.col("p_partkey").alias("doc"), F.inline(F.when(k == 0, attr).when(k == 1, acomp).otherwise(head)))
+    return extract.dependency_triples(tokens, part.select(F.col("p_partkey").alias("doc"), F.inline(F.array(span(0, 0, s), span(1, 2, o)))))
+
+
 @query("""SELECT n_nationkey AS doc, n_name AS subject, CASE n_nationkey % 4 WHEN 0 THEN 'take_over' WHEN 1 THEN 'is_a' WHEN 2 THEN 'is_a' ELSE 'lie_in_' || lower(r_name) END AS relation, r_name AS object
     FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def dependency_rules(spark, d):
