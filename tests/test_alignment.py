@@ -58,10 +58,47 @@ def test_terms(problem):
     assert got[0, 1] == 2.0
     assert got[0, 0] == pytest.approx(-PAIRS[0][2])
     labelled = qubo.labelled_variables(variables, *[variables.sparkSession.createDataFrame(list(enumerate(n)), "idx long, label string") for n in (LEFT, RIGHT)])
-    matrix = qubo.dense_matrix(qubo.total(terms), labelled)
-    assert len(matrix.columns) == 19
-    first = matrix.where(F.col("pair") == f"{PAIRS[0][0]} ↔ {PAIRS[0][1]}").first()
-    assert first[f"{PAIRS[1][0]} ↔ {PAIRS[1][1]}"] == 2.0
+    rows, blocks = qubo.dense_rows(qubo.total(terms), labelled)
+    lines = {r.n: r.line.split(",") for r in rows.collect()}
+    assert blocks == 1
+    assert lines[-1] == ["pair", *(f"{a} ↔ {b}" for a, b, _ in PAIRS)]
+    assert lines[0][0] == f"{PAIRS[0][0]} ↔ {PAIRS[0][1]}"
+    assert [len(x) for x in lines.values()] == [19] * 19
+    assert float(lines[0][2]) == 2.0
+
+
+def test_a_wide_matrix_is_written_in_blocks_and_read_back(spark, tmp_path, monkeypatch):
+    n = 1500
+    monkeypatch.setattr(qubo, "CELLS", n * 400)
+    names = [f'a,"{k}" \\ b' if k % 100 == 0 else f"v{k}" for k in range(n)]
+    labelled = spark.createDataFrame([(2 * k, x) for k, x in enumerate(names)], "var long, pair string")
+    terms = spark.createDataFrame([("node", 2 * k, 2 * k, -k / 7) for k in range(1, n)] + [("penalty", 2 * k, 2 * k + 2, 2.0) for k in range(n - 1)], "component string, u long, v long, coeff double")
+    at = qubo.export_csv(terms, labelled, str(tmp_path / "m"))
+    files = [f for f in (tmp_path / "m" / "total").iterdir() if f.name.startswith("part-")]
+    assert len(files) == 4
+    back = spark.read.option("header", True).option("maxColumns", 10_000).csv(at[0])
+    assert back.columns == ["pair", *names]
+    rows = {r[0]: r for r in back.collect()}
+    assert set(rows) == set(names)
+    assert float(rows["v8"][1 + 8]) == -8 / 7
+    assert [float(rows["v8"][1 + k]) for k in (6, 7, 9, 10)] == [0.0, 2.0, 2.0, 0.0]
+
+
+def test_a_failed_task_leaves_no_matrix(spark, tmp_path, monkeypatch):
+    """One row cannot be made; the files of the other tasks go too."""
+    labelled = spark.createDataFrame([(0, "x"), (1, "y")], "var long, pair string")
+    terms = spark.createDataFrame([("node", 0, 0, 1.0)], "component string, u long, v long, coeff double")
+    plain = qubo.dense_rows
+
+    def broken(*given):
+        rows, blocks = plain(*given)
+        return rows.withColumn("line", F.when(F.col("n") == 1, F.raise_error(F.lit("lost"))).otherwise(F.col("line"))), blocks
+
+    monkeypatch.setattr(qubo, "dense_rows", broken)
+    with pytest.raises(Exception, match="lost"):
+        qubo.export_csv(terms, labelled, str(tmp_path / "m"))
+    left = tmp_path / "m" / "total"
+    assert not left.exists() or not [f for f in left.iterdir() if f.name.startswith("part-")]
 
 
 def test_exact_and_annealed_optimum(problem):

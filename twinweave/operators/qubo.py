@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinweave.functions.text import pair_label
-from twinweave.functions.vectors import relation_cosine
+from twinweave.functions.vectors import norm, relation_cosine, similarity_pairs
 from twinweave.operators.numbering import numbered
+from twinweave.runtime import materialise
+
+#: Cells of the dense matrix that a task writes.
+CELLS = 4_000_000
 
 
 def candidate_pairs(similarity: DataFrame, threshold: float | None) -> DataFrame:
@@ -27,10 +33,11 @@ def structural_weights(left_edges: DataFrame, right_edges: DataFrame, vectors: D
     out. The cosine is computed once per pair of labels, not per pair of edges. Of
     edges that share (i, j, a, b), the greatest label pair counts.
     """
-    x = left_edges.select("label").distinct().join(vectors, "label").select(F.col("label").alias("lx"), F.col("vec").alias("x"))
-    y = right_edges.select("label").distinct().join(vectors, "label").select(F.col("label").alias("ly"), F.col("vec").alias("y"))
-    # Labels are a vocabulary: their pairs are far fewer than those of edges. The planner decides how they meet.
-    cosines = x.join(y).select("lx", "ly", relation_cosine(F.col("x"), F.col("y")).alias("w")).where("w is not null")
+    # Labels are an open vocabulary: they meet in blocks, as node vectors do.
+    named = materialise(numbered(vectors.where("vec is not null").select("label", "vec").where(norm(F.col("vec")) > 0), ["label"], "idx"), "labels")
+    used = lambda edges: named.join(edges.select("label").distinct(), "label", "left_semi").select("idx", "vec")
+    name = lambda idx, label: named.select(F.col("idx").alias(idx), F.col("label").alias(label))
+    cosines = similarity_pairs(used(left_edges), used(right_edges)).join(name("i", "lx"), "i").join(name("a", "ly"), "a").select("lx", "ly", F.col("sim").alias("w"))
     pairs = left_edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("label").alias("lx")).join(cosines, "lx").join(right_edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("label").alias("ly")), "ly")
     return pairs.groupBy("i", "j", "a", "b").agg(F.max_by("w", F.struct("lx", "ly")).alias("w"))
 
@@ -106,20 +113,58 @@ def labelled_variables(variables: DataFrame, left: DataFrame, right: DataFrame)
     return variables.join(x, "i").join(y, "a").select("var", pair_label(F.col("l"), F.col("r")).alias("pair"))
 
 
+def _quoted(label: str) -> str:
+    return '"' + label.replace("\\", "\\\\").replace('"', '\\"') + '"' if any(c in label for c in ',"\n\r') else label
+
+
+def dense_rows(qubo: DataFrame, labelled: DataFrame) -> tuple[DataFrame, int]:
+    """(block, n, line of the dense symmetric matrix; the blocks): rows and columns in order of labelled(var, pair).
+
+    Every block of rows starts with the header (n = -1), so each can be a CSV file of
+    its own; a task holds one block of about CELLS cells. The header is the one line
+    that must know all labels: it is put together by an aggregate, once.
+    """
+    placed = materialise(numbered(labelled.select("var", "pair"), ["var"], "n"), "matrix-labels")
+    size = placed.count()
+    high = max(1, CELLS // max(1, size))
+    blocks = max(1, -(-size // high))
+    cells = qubo.unionByName(qubo.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "coeff")).groupBy("u", "v").agg(F.sum("coeff").alias("coeff"))
+    end = lambda c, n: placed.select(F.col("var").alias(c), F.col("n").alias(n))
+    held = cells.join(end("u", "r"), "u").join(end("v", "c"), "v").select(F.expr(f"r div {high}").alias("block"), "r", "c", "coeff")
+    rows = placed.select(F.expr(f"n div {high}").alias("block"), F.col("n").alias("own"), "pair")
+
+    def run(key, names: pa.Table, held: pa.Table) -> pa.Table:
+        labels = dict(zip(names.column("own").to_pylist(), names.column("pair").to_pylist(), strict=True))
+        r, c, x = (np.asarray(held.column(k)) for k in ("r", "c", "coeff"))
+        by = np.argsort(r, kind="stable")
+        r, c, x = r[by], c[by], x[by]
+        out = []
+        for n in sorted(labels):
+            line, (low, high) = ["0.0"] * size, np.searchsorted(r, [n, n + 1])
+            for k in range(low, high):
+                line[c[k]] = repr(float(x[k]))
+            out.append(f"{_quoted(labels[n] or '')},{','.join(line)}")
+        return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int64()), "n": pa.array(sorted(labels), pa.int64()), "line": pa.array(out, pa.string())})
+
+    lines = rows.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(run, "block long, n long, line string")
+    special = F.col("pair").rlike('[,"\n\r]')
+    quoted = F.when(special, F.concat(F.lit('"'), F.replace(F.replace("pair", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(F.coalesce("pair", F.lit("")))
+    header = placed.agg(F.concat_ws(",", F.lit("pair"), F.transform(F.array_sort(F.collect_list(F.struct("n", quoted.alias("q")))), lambda s: s["q"])).alias("line"))
+    first = qubo.sparkSession.range(blocks).select(F.col("id").alias("block"), F.lit(-1).cast("long").alias("n")).crossJoin(F.broadcast(header))  # one row
+    return first.unionByName(lines), blocks
+
+
 def export_csv(terms: DataFrame, labelled: DataFrame, folder: str) -> list[str]:
-    """Writes the dense matrix of the total and of each component, one CSV folder each; none for no variables."""
+    """Writes the dense matrix of the total and of each component, one CSV folder each; none for no variables.
+
+    A folder holds a file per block of rows, each with the header. Spark's committer
+    moves files in when all tasks are done, so a failed one leaves none.
+    """
     if labelled.isEmpty():
         return []
     written = []
     for name in ("total", "node", "structure", "penalty"):
-        own = total(terms if name == "total" else terms.where(F.col("component") == name))
-        cells = labelled.select("pair").join(dense_matrix(own, labelled), "pair", "left").fillna(0.0).join(labelled, "pair").orderBy("var").drop("var")
-        cells.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        rows, blocks = dense_rows(total(terms if name == "total" else terms.where(F.col("component") == name)), labelled)
+        rows.repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("n").select("line").write.mode("overwrite").text(f"{folder}/{name}")
         written.append(f"{folder}/{name}")
     return written
-
-
-def dense_matrix(qubo: DataFrame, labelled: DataFrame) -> DataFrame:
-    """pair and a column per pair: the export form for few variables."""
-    labels = [r.pair for r in labelled.orderBy("var").collect()]
-    return matrix_cells(qubo, labelled).groupBy(F.col("row").alias("pair")).pivot("col", labels).agg(F.first("coeff")).fillna(0.0)
