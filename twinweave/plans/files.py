@@ -15,7 +15,7 @@ from twinweave.plans import pipelines
 from twinweave.plans import standin as given
 from twinweave.plans.catalogue import CHUNKS, _best, _components, _greedy, query
 from twinweave.runtime import materialise, run_folder, table
-from twinweave.sources import articles, bundles, graphstore, turtle
+from twinweave.sources import articles, bundles, graphstore, turtle, turtle_splits
 
 
 def _place(spark, name: str) -> str:
@@ -33,6 +33,25 @@ def turtle_round_trip(spark, d):
     return turtle.scan_turtle(spark, path).select("s", "p", "o", "o_is_uri")
 
 
+@query("""WITH t AS (SELECT 'http://e/part_' || p_partkey AS s, 'http://e/' AS e, p_partkey, p_name, p_type, p_size, p_brand FROM part)
+    SELECT 'parts' AS graph, s, e || 'name' AS p, p_name || '. "' || p_type || '"' AS o, false AS o_is_uri, CASE WHEN p_partkey % 2 = 0 THEN 'en' ELSE 'de-AT' END AS lang, NULL AS datatype FROM t
+    UNION ALL SELECT 'parts', s, e || 'size', p_size::VARCHAR, false, NULL, 'http://www.w3.org/2001/XMLSchema#integer' FROM t
+    UNION ALL SELECT 'parts', s, e || 'note', E'first .\n@prefix x . ' || p_brand, false, NULL, NULL FROM t
+    UNION ALL SELECT 'parts', s, e || 'next', e || 'part_' || (p_partkey + 1), true, NULL, NULL FROM t""")
+def turtle_literals(spark, d):
+    """Literals with languages and datatypes, written with prefixes and read back in splits."""
+    part = table(spark, d, "part")
+    s, none = F.concat(F.lit("http://e/part_"), F.col("p_partkey").cast("string")), F.lit(None).cast("string")
+    row = lambda p, o, is_uri=False, lang=none, datatype=none: part.select(s.alias("s"), F.lit(f"http://e/{p}").alias("p"), o.alias("o"), F.lit(is_uri).alias("o_is_uri"), lang.alias("lang"), datatype.alias("datatype"))
+    names = row("name", F.concat("p_name", F.lit('. "'), "p_type", F.lit('"')), lang=F.when(F.col("p_partkey") % 2 == 0, "en").otherwise("de-AT"))
+    sizes = row("size", F.col("p_size").cast("string"), datatype=F.lit(f"{turtle.XSD}integer"))
+    notes = row("note", F.concat(F.lit("first .\n@prefix x . "), "p_brand"))
+    links = row("next", F.concat(F.lit("http://e/part_"), (F.col("p_partkey") + 1).cast("string")), True)
+    path = _place(spark, "turtle")
+    turtle_splits.write_turtle(names.unionByName(sizes).unionByName(notes).unionByName(links), path, {"ex": "http://e/", "xsd": turtle.XSD})
+    return turtle_splits.read_turtle(spark, path, "parts")
+
+
 _ARTICLES = """a AS (SELECT row_number() OVER (ORDER BY p_partkey) AS n, p_name || ' ' || p_partkey AS key, trim(p_type) AS title, 'http://x/' || p_partkey AS url, p_type || ' ' || p_brand AS body, p_partkey FROM part)"""
 
 

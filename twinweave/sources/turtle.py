@@ -14,7 +14,7 @@ SCHEMA = "graph string, s string, p string, o string, o_is_uri boolean"
 _LEXEMES = re.compile(
     r"""\s+|\#[^\n]*
     |(?P<uri><[^<>\s]*>)
-    |(?P<literal>\"\"\"(?:[^\\]|\\.)*?\"\"\"|\"(?:[^"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')(?:@[A-Za-z\-]+|\^\^(?:<[^>]*>|[\w\-]*:[\w\-.]*))?
+    |(?P<literal>\"\"\"(?:[^\\]|\\.)*?\"\"\"|\"(?:[^"\\\n]|\\.)*\"|\'\'\'(?:[^\\]|\\.)*?\'\'\'|'(?:[^'\\\n]|\\.)*')(?:@(?P<lang>[A-Za-z0-9\-]+)|\^\^(?P<datatype><[^>]*>|[\w\-]*:[\w\-.]*))?
     |(?P<directive>@prefix|@base|PREFIX\b|BASE\b)
     |(?P<name>[\w\-]*:(?:[\w\-']|\.(?=[\w\-])|%[0-9A-Fa-f]{2}|\\.)*)
     |(?P<a>a(?=[\s<]))
@@ -22,38 +22,48 @@ _LEXEMES = re.compile(
     |(?P<mark>[.;,])""",
     re.X | re.S,
 )
+XSD = "http://www.w3.org/2001/XMLSchema#"
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "'": "'", "\\": "\\"}
 
 
 def parse(text: str) -> set[tuple[str, str, str, bool]]:
     """(s, p, o, o is a URI) of a Turtle text: prefixes, base, a, lists by ; and , and literals."""
-    prefixes, base, out = {}, "", set()
+    return {t[:4] for t in parse_terms(text)}
+
+
+def parse_terms(text: str, prefixes: dict[str, str] | None = None, base: str = "") -> set[tuple]:
+    """(s, p, o, o is a URI, language, datatype) of a Turtle text; ``prefixes`` and ``base`` hold before it."""
+    prefixes, out = dict(prefixes or {}), set()
     lexemes, at = [], 0
     while at < len(text):
         m = _LEXEMES.match(text, at)
         if not m or m.end() == at:
             raise ValueError(f"not Turtle at {text[at : at + 40]!r}")
-        if m.lastgroup:
-            lexemes.append((m.lastgroup, m[m.lastgroup]))
+        if m["literal"] is not None:
+            lexemes.append(("literal", m["literal"], m["lang"], m["datatype"]))
+        elif m.lastgroup:
+            lexemes.append((m.lastgroup, m[m.lastgroup], None, None))
         at = m.end()
 
-    def term(kind: str, value: str) -> tuple[str, bool]:
+    def term(kind: str, value: str, lang=None, datatype=None) -> tuple:
         if kind == "uri":
             inner = value[1:-1]
-            return (inner if re.match(r"[A-Za-z][\w+.\-]*:", inner) else base + inner), True
+            return (inner if re.match(r"[A-Za-z][\w+.\-]*:", inner) else base + inner), True, None, None
         if kind == "name":
             prefix, _, local = value.partition(":")
-            return prefixes[prefix] + re.sub(r"\\(.)", r"\1", local), True
+            return prefixes[prefix] + re.sub(r"\\(.)", r"\1", local), True, None, None
         if kind == "a":
-            return RDF_TYPE, True
+            return RDF_TYPE, True, None, None
         if kind == "literal":
-            inner = value[3:-3] if value.startswith('"""') else value[1:-1]
-            return re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), inner), False
-        return value, False
+            inner = value[3:-3] if value[:3] in ('"""', "'''") and len(value) > 5 else value[1:-1]
+            named = datatype and term("uri" if datatype.startswith("<") else "name", datatype)[0]
+            return re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), inner), False, lang, named
+        kind = "boolean" if value in ("true", "false") else "decimal" if "." in value else "integer"
+        return value, False, None, f"{XSD}{kind}"
 
-    i = 0
+    i, dot = 0, ("mark", ".", None, None)
     while i < len(lexemes):
-        kind, value = lexemes[i]
+        kind, value = lexemes[i][:2]
         if kind == "directive":
             if "prefix" in value.lower():
                 prefixes[lexemes[i + 1][1].rstrip(":")] = term(*lexemes[i + 2])[0]
@@ -61,19 +71,18 @@ def parse(text: str) -> set[tuple[str, str, str, bool]]:
             else:
                 base = term(*lexemes[i + 1])[0]
                 i += 2
-            i += i < len(lexemes) and lexemes[i] == ("mark", ".")
+            i += i < len(lexemes) and lexemes[i] == dot
             continue
         subject, i = term(kind, value)[0], i + 1
-        while i < len(lexemes) and lexemes[i] != ("mark", "."):
+        while i < len(lexemes) and lexemes[i] != dot:
             predicate, i = term(*lexemes[i])[0], i + 1
             while True:
-                o, is_uri = term(*lexemes[i])
-                out.add((subject, predicate, o, is_uri))
+                out.add((subject, predicate, *term(*lexemes[i])))
                 i += 1
-                if i >= len(lexemes) or lexemes[i] != ("mark", ","):
+                if i >= len(lexemes) or lexemes[i][:2] != ("mark", ","):
                     break
                 i += 1
-            while i < len(lexemes) and lexemes[i] == ("mark", ";"):
+            while i < len(lexemes) and lexemes[i][:2] == ("mark", ";"):
                 i += 1
         i += 1
     return out
