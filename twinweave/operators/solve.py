@@ -102,6 +102,14 @@ def anneal(qubo: DataFrame, reads: int = 100, sweeps: int = 1000, seed: int = 0)
     to date flip by flip. Equal seeds give equal runs. An empty problem has reads of
     energy 0 without variables.
     """
+    runs = anneal_runs(qubo, reads, sweeps, seed)
+    summed = runs.groupBy("read").agg(F.sum("energy").alias("energy"), F.array_sort(F.flatten(F.collect_list("vars"))).alias("vars"))
+    empty = F.array().cast("array<long>")
+    return qubo.sparkSession.range(reads).withColumnRenamed("id", "read").join(summed, "read", "left").select("read", F.coalesce("energy", F.lit(0.0)).alias("energy"), F.coalesce("vars", empty).alias("vars"))
+
+
+def anneal_runs(qubo: DataFrame, reads: int = 100, sweeps: int = 1000, seed: int = 0) -> DataFrame:
+    """part, read, energy, vars: the annealing runs of each part, which depend on that part's terms only."""
     ordered = qubo.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("coeff").alias("coeff"))
     placed = ordered.join(parts(qubo).withColumnRenamed("var", "u"), "u").select("part", "u", "v", "coeff")
 
@@ -133,10 +141,17 @@ def anneal(qubo: DataFrame, reads: int = 100, sweeps: int = 1000, seed: int = 0)
         energy = c @ (chosen[u] & chosen[v])
         return pd.DataFrame({"part": rows.part.iloc[0], "read": np.arange(reads), "energy": energy, "vars": [names[chosen[:, r]].tolist() for r in range(reads)]})
 
-    runs = placed.groupBy("part").applyInPandas(run, "part long, read long, energy double, vars array<long>")
-    summed = runs.groupBy("read").agg(F.sum("energy").alias("energy"), F.array_sort(F.flatten(F.collect_list("vars"))).alias("vars"))
-    empty = F.array().cast("array<long>")
-    return qubo.sparkSession.range(reads).withColumnRenamed("id", "read").join(summed, "read", "left").select("read", F.coalesce("energy", F.lit(0.0)).alias("energy"), F.coalesce("vars", empty).alias("vars"))
+    return placed.groupBy("part").applyInPandas(run, "part long, read long, energy double, vars array<long>")
+
+
+def part_minima(qubo: DataFrame, reads: int = 100, sweeps: int = 1000, seed: int = 0) -> DataFrame:
+    """part, var: what the least state of each part chooses; parts over EXACT variables are annealed, the best read of each counts."""
+    placed = materialise(qubo.join(parts(qubo).withColumnRenamed("var", "u"), "u"), "parts")
+    large = parts(qubo).groupBy("part").count().where(F.col("count") > EXACT).select("part")
+    terms = lambda how: placed.join(large, "part", how).select("u", "v", "coeff")
+    small = exact(terms("left_anti")).select("part", "vars")
+    annealed = anneal_runs(terms("left_semi"), reads, sweeps, seed).groupBy("part").agg(F.min_by("vars", F.struct("energy", "read")).alias("vars"))
+    return small.unionByName(annealed).select("part", F.explode("vars").alias("var"))
 
 
 def best_read(runs: DataFrame) -> DataFrame:
