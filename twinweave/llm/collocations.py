@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinweave.llm.ngram_join import marked
 from twinweave.llm.pieces import give_back, mixed, run_names, runs_alike
-from twinweave.runtime import drop_table, materialise_at, small_batches
+from twinweave.runtime import drop_table, materialise_at, settings, small_batches
 
 #: Occurrences a phrase needs.
 LEAST = 10
@@ -320,7 +320,8 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, co
     word = single.select("lang", F.col("name").alias("one"), "word")
     spelt = near.select("*", F.posexplode("key").alias("pos", "one")).join(word, ["lang", "one"]).groupBy("lang", "key", "a", "l", "r", "score").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), " ").alias("phrase"))
     told = spelt.withColumn("rank", rank("phrase")).where(F.col("rank") <= top).join(total, "lang")
-    found, _ = materialise_at(told.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score"), "collocations")
+    with settings(spark, spark__sql__optimizer__windowGroupLimitThreshold=str(top)):  # tasks pass on no more than ``top`` rows of a language
+        found, _ = materialise_at(told.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score"), "collocations")
     for path in (*paths, parts_path, scored_path):
         drop_table(spark, path)
     return found
