@@ -29,6 +29,19 @@ def test_verdicts(spark):
     assert got[16][:2] == ("i.org:80", "/p")
 
 
+def test_links_that_are_no_markup_tie_nothing(spark):
+    link = '<link rel="canonical" href="http://c.net/z">'
+    texts = [f"<!-- {link} -->", f"<script>var x = '{link}'</script>", f"<STYLE>{link}</style >", f"<p><!-- open {link}", f"<textarea>{link}</textarea>", f"<template>{link}</template>", "<!-- a -->" + link, "<script></script>" + link, f"<scripted>{link}"]
+    pages = spark.createDataFrame([(k, f"http://a{k}.org/", t) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter(pages).collect()} == {k: "allow" if k < 6 else "block" for k in range(len(texts))}
+
+
+def test_very_long_html(spark):
+    filler = "<p>some text</p><!-- note --><script>var a = 1 < 2;</script>" * 40_000
+    pages = spark.createDataFrame([(1, "http://a.org/1", filler + '<link rel="canonical" href="http://c.net/z">'), (2, "http://a.org/2", "<script>" + "x" * 2_000_000), (3, "http://a.org/3", "canonical " + "<" * 1_000_000)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter(pages).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
 def test_given_redirects_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.org/1", None)], "page_id long, url string, html string")
     ties = spark.createDataFrame([("http://a.org/1", "http://b.org/2"), ("http://b.org/2", "http://c.net/3"), (None, "http://c.net/3")], "from_url string, to_url string")

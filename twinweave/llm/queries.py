@@ -16,7 +16,7 @@ from twinweave.llm.ranked_search import ranked_search
 from twinweave.llm.secret_scan import secret_digest, secret_scan
 from twinweave.llm.token_counts import token_counts
 from twinweave.llm.topk import exact_top_k
-from twinweave.llm.url_filter import url_filter
+from twinweave.llm.url_filter import ASIDE, url_filter
 from twinweave.runtime import table
 
 
@@ -115,7 +115,7 @@ ORACLE_SQL = {
             SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest, coalesce(html, '') AS html FROM pages
         ), p AS (
             SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_ABC}', '{_abc}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-                   regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>'), '(?is)href\s*=\s*["'']?[a-z]+://([^"''\s>]*)', 1) AS target FROM u
+                   regexp_extract(regexp_extract(regexp_replace(html, '{ASIDE}', ' ', 'g'), '(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>'), '(?is)href\s*=\s*["'']?[a-z]+://([^"''\s>]*)', 1) AS target FROM u
         ), e AS (
             SELECT host || path AS a, translate(regexp_extract(target, '^[^/?#]*'), '{_ABC}', '{_abc}') || regexp_extract(target, '^[^/?#]*([^?#]*)', 1) AS b FROM p WHERE target <> ''
         ), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (

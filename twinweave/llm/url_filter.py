@@ -43,8 +43,13 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
 
 
+#: What holds no markup of the page's own: comments and the insides of some elements, to the end if they are not closed.
+ASIDE = "(?is)" + "|".join([r"<!--.*?(?:-->|\z)", *(rf"<{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("script", "style", "template", "textarea"))])
+
+
 def link_targets(html: Column) -> Column:
-    """Canonical link and refresh target named by a page, each once; empty strings are left out."""
+    """Canonical link and refresh target named by a page's own markup, each once; empty strings are left out."""
+    html = F.regexp_replace(html, ASIDE, " ")
     canonical = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?\s*canonical\b[^>]*>""", 0)
     refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*http-equiv\s*=\s*["']?\s*refresh\b[^>]*>""", 0)
     target = F.regexp_extract(_attribute(refresh, "content"), r"""(?is)\burl\s*=\s*['"]?([^'">\s]+)""", 1)
@@ -68,7 +73,7 @@ def url_filter(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
 
     The longest rule that fits decides. A page without a rule takes the decision
     of its equivalence class: URLs tied by canonical links and refreshes in the
-    html, or by ``redirects(from_url, to_url)``. In a class an explicit allow comes
+    html (outside comments, scripts, styles, templates and text areas), or by ``redirects(from_url, to_url)``. In a class an explicit allow comes
     before a block; without either, and for pages with no ties, the verdict is
     allow. A URL stands for its host and path, so scheme, query and fragment don't
     part it. A null URL, or one without ``://``, has an empty host and path, ties
