@@ -1,3 +1,4 @@
+import math
 import os
 import random
 import zlib
@@ -31,6 +32,41 @@ def test_compiled_scores_equal_the_plain_ones():
     assert np.allclose(net.logits(x), net.pooled(x) @ net.dense + net.offset, atol=1e-4)
 
 
+def plain_prediction(net, data):
+    """(label, probability, scores) by loops over windows, filters, places and taps of the whole text."""
+    kinds = []
+    for b in data:
+        c = chr(b)
+        kinds.append(4 + ord(c.lower()) - 97 if b < 128 and c.isalpha() else 3 if c.isdigit() and b < 128 else 1 if c in " \t\n\v\f\r" else b - 98 if b >= 128 else 2 if 0x21 <= b < 0x7F else 0)
+    total, weights = [0.0] * len(net.labels), 0
+    for a in range(0, max(1, len(kinds)), WINDOW):
+        window = kinds[a : a + WINDOW]
+        share = len(window) or 1
+        window = window + [0] * (WINDOW - len(window))
+        pooled = []
+        for w, taps in net.taps.items():
+            for f in range(len(net.bias[w])):
+                highest = max(sum(float(taps[j][window[k + j], f]) for j in range(w)) for k in range(WINDOW - w + 1))
+                pooled.append(max(0.0, highest + float(net.bias[w][f])))
+        for i in range(len(net.labels)):
+            total[i] += share * (sum(p * float(net.dense[k, i]) for k, p in enumerate(pooled)) + float(net.offset[i]))
+        weights += share
+    mean = [t / weights for t in total]
+    powers = [math.exp(m - max(mean)) for m in mean]
+    best = max(range(len(mean)), key=lambda i: mean[i])
+    return net.labels[best], powers[best] / sum(powers)
+
+
+def test_predictions_against_plain_loops():
+    net = ByteNet(["aa", "bb", "cc"], seed=11)
+    texts = ["The quick brown fox", "é ñ 日本語 🙂 42 + \x01 tabs\t", "x", "a b " * 200, "word " * 51 + "w", ""]
+    names, scores = net.predict([t.encode() for t in texts])
+    for t, name, score in zip(texts, names, scores, strict=True):
+        want, share = plain_prediction(net, t.encode())
+        assert name == want
+        assert score == pytest.approx(share, abs=1e-5)
+
+
 def test_held_out_accuracy_and_awkward_rows(spark):
     rows = corpus() + [(1000 + (r[0] or 0), r[1], None) for r in AWKWARD] + [(5000, "the and with " * 20000, None)]
     docs = documents(spark, rows)
