@@ -117,6 +117,11 @@ def _quoted(label: str) -> str:
     return '"' + label.replace("\\", "\\\\").replace('"', '\\"') + '"' if any(c in label for c in ',"\n\r') else label
 
 
+def placed_labels(labelled: DataFrame) -> DataFrame:
+    """var, pair and n, the place of a variable's row and column."""
+    return materialise(numbered(labelled.select("var", "pair"), ["var"], "n"), "matrix-labels")
+
+
 def dense_rows(qubo: DataFrame, labelled: DataFrame) -> tuple[DataFrame, int]:
     """(block, n, line of the dense symmetric matrix; the blocks): rows and columns in order of labelled(var, pair).
 
@@ -124,7 +129,7 @@ def dense_rows(qubo: DataFrame, labelled: DataFrame) -> tuple[DataFrame, int]:
     its own; a task holds one block of about CELLS cells. The header is the one line
     that must know all labels: it is put together by an aggregate, once.
     """
-    placed = materialise(numbered(labelled.select("var", "pair"), ["var"], "n"), "matrix-labels")
+    placed = labelled if "n" in labelled.columns else placed_labels(labelled)
     size = placed.count()
     high = max(1, CELLS // max(1, size))
     blocks = max(1, -(-size // high))
@@ -162,7 +167,7 @@ def export_csv(terms: DataFrame, labelled: DataFrame, folder: str) -> list[str]:
     """
     if labelled.isEmpty():
         return []
-    written = []
+    written, labelled = [], placed_labels(labelled)
     for name in ("total", "node", "structure", "penalty"):
         rows, blocks = dense_rows(total(terms if name == "total" else terms.where(F.col("component") == name)), labelled)
         rows.repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("n").select("line").write.mode("overwrite").text(f"{folder}/{name}")

@@ -12,7 +12,7 @@ from twinweave.operators.numbering import numbered
 from twinweave.runtime import drop_table, materialise_at
 
 #: Vectors of a block.
-BLOCK = 512
+BLOCK = 1_024
 #: Pivots at most: they, and a block's angles to them, bound what is broadcast and kept per block.
 PIVOTS = 256
 #: Vectors that pivots are chosen from, a side.

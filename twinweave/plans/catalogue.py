@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinweave.config import RAW_NAMESPACE, RDF_TYPE, Settings
 from twinweave.functions import chunks, text, vectors
-from twinweave.operators import annealing, boundaries, embed, extract, qubo, report, similarity, solve, textvec, training
+from twinweave.operators import annealing, boundaries, embed, extract, incremental, qubo, report, similarity, solve, textvec, training
 from twinweave.operators import triples as graph
 from twinweave.plans import pipelines
 from twinweave.plans import standin as given
@@ -230,6 +231,14 @@ def _payloads(spark, d):
     return n.select("n_nationkey", "n_name", "r_name", payload.alias("answer"))
 
 
+@query("SELECT DISTINCT name FROM (SELECT trim(p_name) AS name FROM part UNION ALL SELECT p_brand FROM part)")
+def entity_union(spark, d):
+    """The set of all entities that answers about parts name."""
+    entity = lambda name: F.struct(name.alias("name"))
+    answers = table(spark, d, "part").select("p_partkey", F.concat(F.lit("Found: "), F.to_json(F.struct(F.array(entity(F.concat(F.lit(" "), "p_name")), entity(F.col("p_brand")), entity(F.lit(" "))).alias("entities")))).alias("answer"))
+    return extract.parse_entities(answers, "p_partkey").select("name").distinct()
+
+
 @query("""SELECT n_nationkey, pos::INTEGER AS pos, name, type, description FROM (
     SELECT n_nationkey, 0 AS pos, n_name AS name, 'Other' AS type, '' AS description FROM nation
     UNION ALL SELECT n_nationkey, 1, r_name, 'Region', 'big' FROM nation JOIN region ON n_regionkey = r_regionkey)""")
@@ -637,6 +646,24 @@ def anneal_blocks(spark, d):
     return greedy.crossJoin(reached).select(F.round("energy", SIX).alias("greedy_energy"), (F.col("reached") <= F.col("energy") + 1e-9).alias("not_worse"))  # one row each
 
 
+@query(f"""WITH {given.CAND}, edited AS (
+        SELECT i, a, sim FROM cand WHERE (i + a) % 7 <> 0 AND NOT (i % 20 = 0 AND a = i + 1)
+        UNION ALL SELECT x.idx, y.idx, 0.5::DOUBLE FROM nodes x JOIN nodes y ON y.idx = x.idx + 1 WHERE x.graph = 'left' AND x.idx % 20 = 0),
+    vars AS (SELECT i, a, sim, i * 1000000 + a AS var FROM edited), {given.WEIGHTS}, {given.STRUCTURE}, {given.PARTS}
+    SELECT u, v, round(sum(coeff), 6) AS coeff FROM parts GROUP BY u, v""")
+def edited_total(spark, d):
+    """The objective after an edit of its cells: a seventh goes, new ones come; only terms with a changed variable are made again."""
+    cells, n = given.similarity(spark, d, given.THRESHOLD), given.nodes(spark, d)
+    gone = cells.where((F.col("i") + F.col("a")) % 7 == 0).select("i", "a", F.lit(None).cast("double").alias("sim"))
+    left, right = n.where("graph = 'left' and idx % 20 = 0").select(F.col("idx").alias("i"), (F.col("idx") + 1).alias("a")), n.where("graph = 'right'").select(F.col("idx").alias("a"))
+    fresh = left.join(right, "a").select("i", "a", F.lit(0.5).alias("sim"))
+    e = given.edges(spark, d)
+    both = cells.select("i", "a").unionByName(fresh.select("i", "a")).distinct()
+    weights = materialise(qubo.structural_weights_of(both, e.where("graph = 'left'"), e.where("graph = 'right'"), given.relation_vectors(spark, d)), "weights")
+    held = incremental.Maintained(cells, weights, 1_000_000, replace(Settings(), similarity_threshold=given.THRESHOLD), reads=2, sweeps=5)
+    return held.edit(gone.unionByName(fresh)).terms.select("u", "v", F.round("coeff", SIX).alias("coeff"))
+
+
 @query(f"""WITH {given.CAND} SELECT 'left' AS side, i AS node, count(*) AS n FROM cand GROUP BY i HAVING count(*) > 1
     UNION ALL SELECT 'right', a, count(*) FROM cand GROUP BY a HAVING count(*) > 1""")
 def violations(spark, d):
