@@ -23,6 +23,8 @@ TOP = 2_000
 GROUP = 8 << 20
 #: Pointers that one growth task takes; a word with more is hot, and phrases that begin with it are dealt out by their next word.
 POINTERS = 400_000
+#: Shares in which a language's phrases are ranked before they meet.
+SHARES = 32
 #: Hot words: a bound on what is broadcast.
 SPLIT_BOUND = 500_000
 
@@ -314,12 +316,14 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, co
         scored = scored.join(cover, ["lang", "key"], "left").where(F.col("cover").isNull() | (100 * F.col("cover") < covered * F.col("a"))).drop("cover")
     # Only rows at or over the last score and count of a language's first ``top`` can be told.
     scored, scored_path = materialise_at(scored, "phrase-scores")
-    rank = lambda *by: F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), *by))
-    last = scored.select("lang", "score", "a").withColumn("k", rank()).where(F.col("k") <= top).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("last"))
+    rank = lambda *by, within=("lang",): F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("score"), F.desc("a"), *by))
+    # A language's rows are ranked in SHARES first, so that its final ranking reads no more than SHARES times ``top``.
+    shared = lambda df, *by: df.withColumn("share", F.pmod(F.xxhash64("key"), F.lit(SHARES))).withColumn("k", rank(*by, within=("lang", "share"))).where(F.col("k") <= top).drop("share", "k")
+    last = shared(scored.select("lang", "key", "score", "a")).withColumn("k", rank()).where(F.col("k") <= top).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("last"))
     near = scored.join(last, "lang").where(F.struct("score", "a") >= F.col("last")).drop("last")
     word = single.select("lang", F.col("name").alias("one"), "word")
     spelt = near.select("*", F.posexplode("key").alias("pos", "one")).join(word, ["lang", "one"]).groupBy("lang", "key", "a", "l", "r", "score").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), " ").alias("phrase"))
-    told = spelt.withColumn("rank", rank("phrase")).where(F.col("rank") <= top).join(total, "lang")
+    told = shared(spelt, "phrase").withColumn("rank", rank("phrase")).where(F.col("rank") <= top).join(total, "lang")
     with settings(spark, spark__sql__optimizer__windowGroupLimitThreshold=str(top)):  # tasks pass on no more than ``top`` rows of a language
         found, _ = materialise_at(told.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score"), "collocations")
     for path in (*paths, parts_path, scored_path):
