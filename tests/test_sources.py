@@ -176,3 +176,14 @@ def test_encoder_is_deterministic(spark):
     got = {r.label: r.vec for r in embed.relation_vectors(labels).collect()}
     assert set(got) == {"runs_on", "is_a"}
     assert np.linalg.norm(got["is_a"]) == pytest.approx(1.0)
+
+
+def test_article_files_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    """Several writers, more articles than they get at once, and a name that comes twice."""
+    monkeypatch.setattr(articles, "WRITERS", 3)
+    monkeypatch.setattr(articles, "FILES", 4)
+    rows = [(k, f"key {k}", f"text ü {k}") for k in range(30)] + [(29, "key 29", "the last")]
+    docs = spark.createDataFrame(rows, "n int, key string, body string").selectExpr("n", "key", "'u' as url", "body").coalesce(1)
+    assert articles.write_article_files(docs, str(tmp_path / "a"), "S") == 31
+    got = {r.key: r.body for r in articles.scan_articles(spark, str(tmp_path / "a")).collect()}
+    assert got == {k: b for _, k, b in rows}
