@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from twinweave.functions import vectors
-from twinweave.operators import qubo, similarity, solve
+from twinweave.operators import coloured, qubo, similarity, solve
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +91,32 @@ def test_numbers_as_bytes():
     for m in (np.array([[0.1, np.nan], [np.inf, -0.0]]), np.float32([[0.1, 2]]).astype(float), np.array([[1e300, 1.0]])):
         assert np.array_equal(vectors.unblob(vectors.blob(m), len(m)).reshape(m.shape), m, equal_nan=True)
     assert vectors.blob(np.float32([[0.1, 2]]).astype(float))[:1] == b"4"
+
+
+def test_annealing_without_pairs_of_penalties(spark, problem):
+    """Energies are those of the objective, the best read is the pairwise annealer's, and a full grid of variables stays small."""
+    variables, left, right, names = problem
+    weights = qubo.structural_weights_of(variables, left, right, names)
+    total = qubo.objective(variables, weights).toPandas()
+    got = coloured.anneal_alignment(variables, weights, 12, 200, 3).collect()
+    assert got == coloured.anneal_alignment(variables, weights, 12, 200, 3).collect()
+    assert [r.read for r in sorted(got)] == list(range(12))
+    for r in got:
+        assert r.energy == pytest.approx(total[total.u.isin(r.vars) & total.v.isin(r.vars)].coeff.sum())
+    best = solve.best_read(solve.anneal(qubo.objective(variables, weights), 24, 300, 3)).first().energy
+    assert min(r.energy for r in got) == pytest.approx(best)
+
+
+def test_reads_dealt_out_over_a_full_grid(spark, monkeypatch):
+    monkeypatch.setattr(coloured, "STATES", 40_000)  # 4 shares
+    rng = np.random.default_rng(7)
+    sim = rng.random((90, 90))
+    variables = spark.createDataFrame([(i, a, float(sim[i, a]), 90 * i + a) for i in range(90) for a in range(90)], "i long, a long, sim double, var long")  # 720,900 pairs of penalties
+    none = spark.createDataFrame([], "i long, j long, a long, b long, w double")
+    got = coloured.anneal_alignment(variables, none, 20, 60, 1).collect()
+    for r in got:
+        rows, columns = np.divmod(np.array(r.vars), 90)
+        assert len(set(rows)) == len(set(columns)) == len(r.vars)  # a penalty costs more than a pair can gain
+        assert r.energy == pytest.approx(-sim[rows, columns].sum())
+    assert min(r.energy for r in got) < -0.7 * 90
+    assert len({tuple(r.vars) for r in got}) > 4  # shares don't repeat each other
