@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinweave.functions.vectors import best_pairs
+from twinweave.runtime import materialise
+
 
 def unaligned(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """graph, idx, label of nodes(idx, label) without a pair(i, a)."""
@@ -43,6 +46,16 @@ def best_similarity(similarity: DataFrame, left: DataFrame, right: DataFrame) ->
     return x.unionByName(y)
 
 
+def best_similarity_of(left: DataFrame, right: DataFrame, digits: int | None = None) -> DataFrame:
+    """best_similarity of nodes(idx, label, vec), all pairs compared once and none of them made a row."""
+    best = materialise(best_pairs(left.select("idx", "vec"), right.select("idx", "vec"), digits), "best")
+    out = None
+    for k, (name, nodes) in enumerate((("left", left), ("right", right))):
+        own = nodes.join(best.where(F.col("side") == k).select("idx", "best"), "idx", "left").select(F.lit(name).alias("graph"), "idx", "label", F.coalesce("best", F.lit(0.0)).alias("best"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def threshold_misses(best: DataFrame, threshold: float | None, solver: str) -> DataFrame:
     """graph, label, best, reason of nodes below the threshold; none of them if there is no threshold."""
     reason = F.lit(f"{solver} threshold {threshold:.2f}" if threshold is not None else "")
