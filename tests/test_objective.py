@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from twinweave.functions import vectors
-from twinweave.operators import coloured, qubo, similarity, solve
+from twinweave.operators import coloured, qubo, report, similarity, solve
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +120,29 @@ def test_reads_dealt_out_over_a_full_grid(spark, monkeypatch):
         assert r.energy == pytest.approx(-sim[rows, columns].sum())
     assert min(r.energy for r in got) < -0.7 * 90
     assert len({tuple(r.vars) for r in got}) > 4  # shares don't repeat each other
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_greedy_in_stages(spark, monkeypatch, fallback):
+    """Stages of any size take what the whole grid gives, ties included, and hold no pair table of the grid."""
+    rng = np.random.default_rng(11)
+    side = lambda n, at: spark.createDataFrame([(int(at + 2 * k), [float(v) for v in rng.integers(-2, 3, 5)]) for k in range(n)] + [(int(at + 2 * n), None)], "idx long, vec array<double>")
+    left, right = side(60, 0), side(45, 1)
+    grid = vectors.similarity_pairs(left.where("vec is not null"), right.where("vec is not null"), None, 6)
+    want, sizes, pairs = told(solve.match(grid, 0.4, fallback)), [], solve.greedy
+    monkeypatch.setattr(solve, "greedy", lambda df: (sizes.append(df.count()), pairs(df))[1])
+    for at_once, each in ((1 << 30, 8), (50, 1)):
+        monkeypatch.setattr(solve, "AT_ONCE", at_once)
+        monkeypatch.setattr(solve, "PAIRS", each)
+        assert told(solve.match_vectors(left, right, 0.4, 6, fallback)) == want
+    assert len(sizes) > 2 and max(sizes[2 if fallback else 1 :]) < 60 * 45 / 4
+
+
+def test_best_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "WIDE", 16)
+    rng = np.random.default_rng(12)
+    side = lambda n: spark.createDataFrame([(k, f"n{k}", [float(v) for v in rng.integers(-2, 3, 4)]) for k in range(n)], "idx long, label string, vec array<double>")
+    left, right = side(50), side(37)
+    assert told(report.best_similarity_of(left, right, 6)) == told(report.best_similarity(vectors.similarity_pairs(left, right, None, 6), left, right))
+    none = right.limit(0)
+    assert {r.best for r in report.best_similarity_of(left, none).collect()} == {0.0}
