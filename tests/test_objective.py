@@ -5,6 +5,7 @@ import pytest
 
 from twinweave.functions import vectors
 from twinweave.operators import coloured, qubo, report, similarity, solve
+from twinweave.sources import graphstore
 
 
 @pytest.fixture(scope="module")
@@ -146,3 +147,13 @@ def test_best_without_pairs(spark, monkeypatch):
     assert told(report.best_similarity_of(left, right, 6)) == told(report.best_similarity(vectors.similarity_pairs(left, right, None, 6), left, right))
     none = right.limit(0)
     assert {r.best for r in report.best_similarity_of(left, none).collect()} == {0.0}
+
+
+def test_rehydrated_without_a_join_of_the_grid(spark, monkeypatch):
+    monkeypatch.setattr(graphstore, "ROWS", 4)
+    monkeypatch.setattr(graphstore, "COLUMNS", 5)
+    left, right = (spark.createDataFrame([(k,) for k in ids], "idx long") for ids in ([*range(0, 20, 2), 4], range(1, 30, 2)))  # id 4 twice
+    cells = spark.createDataFrame([(0, 1, 0.5), (4, 7, 0.25), (18, 29, 0.75), (99, 1, 1.0)], "i long, a long, sim double")
+    grid = left.withColumnRenamed("idx", "i").crossJoin(right.withColumnRenamed("idx", "a"))
+    assert told(graphstore.rehydrated(left, right, cells)) == told(graphstore.rehydrate_similarity(grid, cells))
+    assert graphstore.rehydrated(left.limit(0), right, cells).count() == 0
