@@ -218,3 +218,25 @@ def test_settings_parse():
     for bad in ("", "-1", "nan"):
         with pytest.raises(ValueError):
             parse_weight(bad)
+
+
+def test_a_large_matrix_is_written_cell_by_cell_and_holds_what_the_dense_one_does(spark, tmp_path, monkeypatch):
+    names = [f'a,"{k}" \\ b\nc' if k % 10 == 0 else f"v{k}" for k in range(40)]
+    labelled = spark.createDataFrame([(2 * k, x) for k, x in enumerate(names)], "var long, pair string")
+    terms = spark.createDataFrame([("node", 2 * k, 2 * k, -k / 7) for k in range(1, 40)] + [("penalty", 2 * k, 2 * k + 2, 2.0) for k in range(39)] + [("structure", 0, 6, -1e-9), ("structure", 0, 2, -0.1)], "component string, u long, v long, coeff double")
+    full, dense = qubo.export_matrices(terms, labelled, str(tmp_path / "d"))
+    assert dense
+    monkeypatch.setattr(qubo, "DENSE", 40 * 40 - 1)
+    written, dense = qubo.export_matrices(terms, labelled, str(tmp_path / "s"))
+    assert not dense
+    label = {r.var: r.pair for r in qubo.scan_labels(spark, str(tmp_path / "s")).collect()}
+    assert label == {2 * k: x for k, x in enumerate(names)}
+    for a, b in zip(full, written, strict=True):
+        assert a.rsplit("/", 1)[1] == b.rsplit("/", 1)[1]
+        wide = spark.read.option("header", True).option("maxColumns", 10_000).option("multiLine", True).option("escape", "\\").csv(a)
+        rows = [[float(x) for x in r[1:]] for r in wide.collect()] if wide.columns[0] == "pair" else []
+        cells = {(r.u, r.v): r.coeff for r in qubo.scan_cells(spark, b).collect()}
+        assert len(rows) == 40
+        by_row = sorted(tuple(r) for r in rows)
+        mine = sorted(tuple(cells.get((2 * i, 2 * k), 0.0) for k in range(40)) for i in range(40))
+        assert mine == by_row
