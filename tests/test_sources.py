@@ -187,3 +187,19 @@ def test_article_files_are_written_side_by_side(spark, tmp_path, monkeypatch):
     assert articles.write_article_files(docs, str(tmp_path / "a"), "S") == 31
     got = {r.key: r.body for r in articles.scan_articles(spark, str(tmp_path / "a")).collect()}
     assert got == {k: b for _, k, b in rows}
+
+
+def test_a_large_session_lies_in_lines_and_only_cells_are_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graphstore, "CELLS", 20)
+    cells = spark.createDataFrame([(0, 0, 0.5), (3, 6, 0.1 + 0.2), (3, 6, -1.0), (9, 2, 1e-9), (10, 0, 9.0), (0, 7, 9.0)], "i long, a long, sim double")  # the last two lie outside
+    weights = spark.createDataFrame([(1, 2, 3, 4, 0.25), (1, 2, 3, 4, 0.5)], "i int, j int, a int, b int, w double")
+    graphstore.save_session(cells, 10, 7, weights, ["l"], ["r"], str(tmp_path / "s"))
+    assert len(list((tmp_path / "s" / "similarity").glob("part-*"))) > 1
+    session, found = graphstore.load_session(spark, str(tmp_path / "s"))
+    got = [(r.i, r.a, r.sim) for r in found.collect()]
+    assert len(got) == 70
+    assert {(i, a): x for i, a, x in got if x} == {(0, 0): 0.5, (3, 6): 0.1 + 0.2, (9, 2): 1e-9}
+    assert session.first().wiki_order == ["l"]
+    assert [tuple(r) for r in graphstore.session_weights(session).collect()] == [(1, 2, 3, 4, 0.5)]
+    empty = graphstore.session_lines(cells, 0, 7)
+    assert empty.count() == 0
