@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from twinweave.operators import boundaries
 from twinweave.operators.boundaries import association, learn, learnt_sentences, token_counts
 
 WORDS = ["house", "river", "stone", "garden", "window", "letter", "market", "summer", "winter", "bridge", "paper", "doctor", "street", "music", "mountain"]
@@ -96,3 +97,20 @@ def test_association(spark):
     got = [r.s for r in spark.createDataFrame(rows, "a long, b long, c long, d long").select(association(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("s")).collect()]
     assert got[:2] == pytest.approx([plain(*r) for r in rows[:2]])
     assert got[2] == 0.0
+
+
+def test_texts_that_were_learnt_from_are_cut_once_and_no_text_is_sorted(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"Dr. Ant no. {k} came... It went! (Who?) \n Yes. ") for k in range(30)] + [(30, None), (31, "")], "doc_id long, text string")
+    read, plain = [], boundaries.cut
+    monkeypatch.setattr(boundaries, "cut", lambda *a: read.append(1) or plain(*a))
+    found = boundaries.learn(docs)
+    mine = learnt_sentences(docs, found)
+    assert len(read) == 1
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    apart = learnt_sentences(docs.select("*"), found)  # other docs, as far as is known
+    assert len(read) == 2
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(mine) == rows(apart)
+    assert len({r[0] for r in rows(mine)}) == 30
+    found.drop()

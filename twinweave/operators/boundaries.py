@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinweave.runtime import drop_table, materialise_at
@@ -40,7 +40,16 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Stretches keep their white space; last is the core of their last token, next that
     of the token after them (null at the end of a text).
     """
-    found = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.split(F.regexp_replace(text_col, MARK, f"$1$2{CUT}"), CUT).alias("p"))
+    return stretches(cut(docs, id_col, text_col)).select("row", "doc_id", "k", "piece", "last", "next")
+
+
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, doc_id and p, the stretches of every text."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.split(F.regexp_replace(text_col, MARK, f"$1$2{CUT}"), CUT).alias("p"))
+
+
+def stretches(found: DataFrame) -> DataFrame:
+    """The pieces of cut()."""
     first = lambda x: core(F.regexp_extract(x, rf"^[{SPACE}]*([^{SPACE}]+)", 1))
     last = core(F.regexp_extract(F.col("piece"), rf"([^{SPACE}]+)[{SPACE}]*\z", 1))
     after = F.when(F.col("k") < F.size("p") - 1, first(F.col("p")[F.col("k") + 1]))
@@ -49,8 +58,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """type, ended (occurrences with a period) and free (without) of every token of all texts."""
-    token = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(rf"([^{SPACE}]+)"), F.lit(1))).alias("t")).select(core(F.col("t")).alias("c")).where("c <> ''")
-    return token.groupBy(kind(F.col("c")).alias("type")).agg(F.count(F.when(has_period(F.col("c")), 1)).alias("ended"), F.count(F.when(~has_period(F.col("c")), 1)).alias("free"))
+    token = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(rf"([^{SPACE}]+)"), F.lit(1))).alias("t"))
+    # Equal tokens are one first: patterns are for distinct ones.
+    once = token.groupBy("t").agg(F.count("*").alias("n")).select(core(F.col("t")).alias("c"), "n").where("c <> ''")
+    many = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(F.lit(0).cast("long")))
+    return once.groupBy(kind(F.col("c")).alias("type")).agg(many(has_period(F.col("c"))).alias("ended"), many(~has_period(F.col("c"))).alias("free"))
 
 
 def abbreviation_score(ended: Column, free: Column, type_: Column, total: Column, periods: Column) -> Column:
@@ -74,13 +86,16 @@ def association(both: Column, first: Column, second: Column, total: Column) -> C
 
 @dataclass
 class Boundaries:
-    """What was learnt: tables type, (type, score), (type, score), (first, second, score)."""
+    """What was learnt: tables type, (type, score), (type, score), (first, second, score); and of the texts it was learnt from, their stretches and junctions."""
 
     counts: DataFrame
     abbreviations: DataFrame
     starters: DataFrame
     collocations: DataFrame
     paths: list[str]
+    docs: DataFrame | None = None
+    texts: DataFrame | None = None
+    junctions: DataFrame | None = None
 
     def drop(self) -> None:
         for path in self.paths:
@@ -94,6 +109,11 @@ def _junctions(found: DataFrame) -> DataFrame:
     return found.select("*", mark.alias("mark"), kind(c).alias("w1"), kind(F.col("next")).alias("w2"), F.col("next").rlike(r"^\p{Lu}").alias("up"), F.col("next").rlike(r"^\p{Ll}").alias("down"))
 
 
+def _between(texts: DataFrame) -> DataFrame:
+    """row, k, mark, w1, w2, up and down where a stretch of cut() is followed by a token."""
+    return _junctions(stretches(texts)).where("next is not null").select("row", "k", "mark", "w1", "w2", "up", "down")
+
+
 NUMBER, INITIAL = r"^[0-9]+\z", r"^\p{L}\z"
 
 
@@ -123,7 +143,9 @@ def learn(docs: DataFrame, text_col: str = "text") -> Boundaries:
     score = abbreviation_score(F.col("ended"), F.col("free"), F.col("type"), total_, periods_)
     offered = counts.where((F.col("ended") > 0) & F.col("type").rlike(r"^\p{L}[\p{L}.]*\z")) if 0 < periods < total else counts.limit(0)
     abbreviations = kept(offered.select("type", score.alias("score")).where(F.col("score") >= ABBREVIATION), "abbreviations")
-    ends, ends_path = materialise_at(_junctions(pieces(docs, text_col=text_col, id_col=docs.columns[0])).where("next is not null").select("mark", "w1", "w2"), "boundary-ends")
+    texts = kept(cut(docs, docs.columns[0], text_col), "boundary-texts")
+    junctions = kept(_between(texts), "boundary-junctions")
+    ends = junctions.select("mark", "w1", "w2")
     ends = ends.join(abbreviations.select(F.col("type").alias("w1"), F.lit(True).alias("short")), "w1", "left")
     unsure = F.col("short").isNotNull() | F.col("w1").rlike(NUMBER) | F.col("w1").rlike(INITIAL)
     sure = ends.where((F.col("mark") == "!") | ((F.col("mark") == ".") & ~unsure))
@@ -135,8 +157,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Boundaries:
     firsts = pairs.groupBy("w1").agg(F.sum("both").alias("first"))
     met = pairs.join(firsts, "w1").join(uses, "w2").join(starters.select(F.col("type").alias("w2")), "w2", "left_anti")
     collocations = kept(met.select("w1", "w2", association(F.col("both"), F.col("first"), F.col("uses"), total_).alias("score")).where(F.col("score") >= COLLOCATION), "boundary-pairs")
-    drop_table(spark, ends_path)
-    return Boundaries(counts, abbreviations, starters, collocations, paths)
+    return Boundaries(counts, abbreviations, starters, collocations, paths, docs if text_col == "text" else None, texts, junctions)
 
 
 def learnt_sentences(docs: DataFrame, learnt: Boundaries, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,20 +168,26 @@ def learnt_sentences(docs: DataFrame, learnt: Boundaries, id_col: str = "doc_id"
     number, unless the next word is in lower case; after more than one period, if a
     capital follows. A collocation is never cut. Sentences keep their inner white
     space and are stripped; blank ones, null and empty texts give none; repeated rows
-    are cut each. U+0001 counts as the end of a stretch.
+    are cut each. U+0001 counts as the end of a stretch. Texts that ``learnt`` comes from
+    (the same docs) are not read again; the result reads its tables, so drop() comes after.
     """
-    stretches, path = materialise_at(_junctions(pieces(docs, id_col, text_col)), "stretches")
-    known = stretches.join(learnt.abbreviations.select(F.col("type").alias("w1"), F.lit(True).alias("short")), "w1", "left").join(learnt.starters.select(F.col("type").alias("w2"), F.lit(True).alias("opens")), "w2", "left").join(learnt.collocations.select("w1", "w2", F.lit(True).alias("tied")), ["w1", "w2"], "left")
+    if learnt.docs is docs and (id_col, text_col) == (docs.columns[0], "text"):
+        texts, offered = learnt.texts, learnt.junctions
+    else:
+        texts, _ = materialise_at(cut(docs, id_col, text_col), "stretches")
+        offered = _between(texts)
+    # Only junctions that what was learnt decides meet it, without their text; what is kept of them is where no sentence ends.
+    offered = offered.where(F.col("mark").isin(".", ".."))
+    known = offered.join(learnt.abbreviations.select(F.col("type").alias("w1"), F.lit(True).alias("short")), "w1", "left").join(learnt.starters.select(F.col("type").alias("w2"), F.lit(True).alias("opens")), "w2", "left").join(learnt.collocations.select("w1", "w2", F.lit(True).alias("tied")), ["w1", "w2"], "left")
     short = F.col("short").isNotNull() | F.col("w1").rlike(INITIAL)
     ends = (
-        F.when(F.col("next").isNull() | (F.col("mark") == "!"), True).when(F.col("mark") == "..", F.col("up")).when(F.col("mark") != ".", True).when(F.col("tied").isNotNull(), False)
+        F.when(F.col("mark") == "..", F.col("up")).when(F.col("tied").isNotNull(), False)
         .when(short, F.col("opens").isNotNull() & F.col("up")).when(F.col("w1").rlike(NUMBER), ~F.col("down")).otherwise(True)
     )
-    before = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = known.withColumn("n", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)))
-    joined = numbered.groupBy("row", "doc_id", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda s: s["piece"]), "").alias("s"))
-    whole = joined.select("row", "doc_id", "n", F.regexp_replace("s", rf"^[{SPACE}]+|[{SPACE}]+\z", "").alias("sentence")).where("sentence <> ''")
-    place = F.row_number().over(Window.partitionBy("row").orderBy("n")) - 1
-    found, _ = materialise_at(whole.select("doc_id", place.cast("int").alias("pos"), "sentence"), "sentences")
-    drop_table(docs.sparkSession, path)
-    return found
+    inner = known.where(~ends).groupBy("row").agg(F.collect_list("k").alias("inner"))
+    every = F.sequence(F.lit(0), F.size("p") - 1)
+    whole = texts.where("p is not null").join(inner, "row", "left").select("doc_id", "p", F.when(F.col("inner").isNull(), every).otherwise(F.array_except(every, "inner")).alias("ends"))
+    starts = F.concat(F.array(F.lit(0)), F.transform("ends", lambda e: e + 1))  # one more than there are ends
+    spans = F.filter(F.arrays_zip(starts.alias("start"), F.col("ends").alias("end")), lambda z: z["end"].isNotNull())
+    sentence = F.transform(spans, lambda z: F.regexp_replace(F.array_join(F.slice("p", z["start"] + 1, z["end"] - z["start"] + 1), ""), rf"^[{SPACE}]+|[{SPACE}]+\z", ""))
+    return whole.select("doc_id", F.posexplode(F.filter(sentence, lambda s: s != "")).alias("pos", "sentence"))
