@@ -151,3 +151,22 @@ def test_weights_of_variables_are_the_others(spark):
     assert rounded(qubo.structural_weights_of(variables, left, right, vectors)) == rounded(kept)
     labelled = variables.limit(0).selectExpr("i as var", "cast(a as string) as pair")
     assert qubo.export_csv(spark.createDataFrame([], "component string, u long, v long, coeff double"), labelled, "/nowhere") == []
+
+
+def test_vectors_meet_their_own_kind_once(spark, monkeypatch):
+    """Two blocks of one table meet once and count twice; vectors of few components lie in wider blocks, so each is sent to fewer."""
+    import twinweave.functions.vectors as module
+
+    assert module.shares(615_000, 64) == 16 and module.shares(615_000, 512) == module.shares(615_000) == 76
+    monkeypatch.setattr(module, "WIDE", 4)
+    monkeypatch.setattr(module, "ROOM", 12)
+    monkeypatch.setattr(module, "BLOCK", 3)
+    x = np.random.default_rng(6).random((23, 3))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "idx long, vec array<double>")
+    met = module.block_pairs(df, None, lambda ids, a, others, b, stands: ([len(ids) * len(others)], [stands]), "n long, stands long").collect()
+    assert sum(r.n for r in met) < 23 * 23 == sum(r.n * r.stands for r in met)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    off = ~np.eye(23, dtype=bool)
+    assert np.isclose(kernel_mean(df, df, 0.7, True).first().value, np.exp(-0.7 * d2)[off].mean())
+    d = np.sort(np.sqrt(d2[off]))
+    assert np.isclose(lower_median_distance(df), d[(len(d) - 1) // 2])
