@@ -203,3 +203,24 @@ def test_a_large_session_lies_in_lines_and_only_cells_are_shuffled(spark, tmp_pa
     assert [tuple(r) for r in graphstore.session_weights(session).collect()] == [(1, 2, 3, 4, 0.5)]
     empty = graphstore.session_lines(cells, 0, 7)
     assert empty.count() == 0
+
+
+def test_article_files_are_written_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver writes no file where tasks can, and both ways give the same files; paths and bytes are those of Spark's reader."""
+    rows = [(k, f"key {k}", f"text ü {k}\n") for k in range(30)] + [(29, "key 29", "the last")]
+    docs = spark.createDataFrame(rows, "n int, key string, body string").selectExpr("n", "key", "'u' as url", "body").coalesce(1)
+    monkeypatch.setattr(articles, "_write_from_driver", None)
+    assert articles.write_article_files(docs, str(tmp_path / "a"), "S") == 31
+    monkeypatch.undo()
+    assert articles.write_article_files(docs.limit(0), str(tmp_path / "none"), "S") == 0
+    (tmp_path / "a" / ".hidden.txt").write_text("Title: hidden")
+    (tmp_path / "a" / "other.csv").write_text("Title: other")
+    (tmp_path / "a" / "a b%.txt").write_bytes(b"Title: raw\n---\n\xff")
+    by_tasks = {tuple(r) for r in articles.scan_articles(spark, str(tmp_path / "a")).selectExpr("path", "key", "hex(body)").collect()}
+    monkeypatch.setattr(articles, "_reachable", lambda *_: None)
+    assert by_tasks == {tuple(r) for r in articles.scan_articles(spark, str(tmp_path / "a")).selectExpr("path", "key", "hex(body)").collect()}
+    assert len(by_tasks) == 31
+    assert articles.write_article_files(docs, str(tmp_path / "b"), "S") == 31
+    for at in (tmp_path / "b").glob("*.txt"):
+        assert at.read_bytes() == (tmp_path / "a" / at.name).read_bytes()
+    assert len(list((tmp_path / "b").glob("*.txt"))) == 30
